@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, source_mixing, warc
+from tessera.llm import exact_dedup, minhash_dedup, source_mixing, warc
 
 QUERIES = {
     "op3_source_mixing": source_mixing.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op8_minhash_dedup": minhash_dedup.query,
     "op9_warc": warc.query,
 }
 
 ORACLES = {
     "op3_source_mixing": source_mixing.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op8_minhash_dedup": minhash_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
 }
