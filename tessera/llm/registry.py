@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, minhash_dedup, source_mixing, warc
+from tessera.llm import exact_dedup, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, warc
 
 QUERIES = {
     "op3_source_mixing": source_mixing.query,
+    "op4_sentencepiece": sentencepiece_codec.query,
     "op5_exact_dedup": exact_dedup.query,
     "op8_minhash_dedup": minhash_dedup.query,
     "op9_warc": warc.query,
+    "op10_license_scan": license_scan.query,
 }
 
 ORACLES = {
