@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, warc
+from tessera.llm import exact_dedup, language_id, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, topk_search, warc
 
 QUERIES = {
+    "op2_language_id": language_id.query,
     "op3_source_mixing": source_mixing.query,
     "op4_sentencepiece": sentencepiece_codec.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op7_topk_search": topk_search.query,
     "op8_minhash_dedup": minhash_dedup.query,
     "op9_warc": warc.query,
     "op10_license_scan": license_scan.query,
@@ -16,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op3_source_mixing": source_mixing.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_topk_search": topk_search.ORACLE,
     "op8_minhash_dedup": minhash_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
 }
