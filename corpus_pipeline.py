@@ -1,10 +1,93 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language, exact copies, near copies, mixture, tokens.
 
-STAGES = []
+Every stage takes the documents that the one before kept, as a written table, and returns
+documents again; the last returns each document's encoding.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import exact_dedup, language_id, minhash_dedup, sentencepiece_codec, source_mixing
+from tessera.llm.shared import materialise, table
 
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts and those without a letter go."""
+    model = language_id.fit_languages(docs.where(~language_id.held_out()))
+    return language_id.identify_languages(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the one with the largest doc_id.
+
+    Rows that repeat identifier and text leave one row, whichever of them it is.
+    """
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", "text_sha256", F.lit(True).alias("stays"))
+    return _one_of_each(docs, kept)
+
+
+def _one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    ours = docs.withColumn("_sha", sha)
+    k = materialise(kept, "kept")
+    stay = ours.join(k, ours["doc_id"].eqNullSafe(k["doc_id"]) & (ours["_sha"] == k["text_sha256"]), "left_semi")
+    repeated = materialise(ours.groupBy("doc_id", "_sha").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"), F.col("_sha").alias("r_sha")), "repeated")
+    again = stay["doc_id"].eqNullSafe(F.col("r_id")) & (stay["_sha"] == F.col("r_sha"))
+    once = stay.join(repeated, again, "left_anti")
+    several = stay.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "_sha"])
+    return once.unionByName(several).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: the one with the smallest doc_id."""
+    near = minhash_dedup.near_duplicates(docs)
+    gone = materialise(near.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; of the last repetition only the words it takes.
+
+    A cut text holds its first words with single spaces between them. Rows that repeat identifier,
+    source and size all get the largest of their shares.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(source_mixing.WORD)), F.lit(0)).cast("long")
+    shares = source_mixing.mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"))
+    shares = materialise(shares.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), "_taken"), "shares")
+    ours = docs.withColumn("_size", size)
+    met = ours.join(shares, ours["doc_id"].eqNullSafe(shares["_id"]) & ours["source"].eqNullSafe(shares["_source"]) & (ours["_size"] == shares["_n"]))
+    repeats = met.withColumn("_left", F.explode(F.sequence(F.col("_taken"), F.lit(1), -F.col("_size"))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({source_mixing.WORD})")), F.lit(1), F.col("_left").cast("int")), " ")
+    text = F.when(F.col("_left") < F.col("_size"), cut).otherwise(F.col("text"))
+    taken = repeats.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        taken = taken.withColumn("n_chars", F.length("text").cast("long"))
+    return taken.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, token_hash and the hash of the decoded text of every document."""
+    return sentencepiece_codec.encode_and_decode(docs)
+
+
+STAGES = [
+    ("language ID", keep_known_languages),
+    ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
+]
+
+# Language ID is a trained network, which SQL can't express.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{number}")
+    return docs

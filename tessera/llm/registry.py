@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, topk_search, warc
+from tessera.llm import exact_dedup, language_id, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, topk_search, url_filters, warc
 
 QUERIES = {
+    "op1_url_filters": url_filters.query,
     "op2_language_id": language_id.query,
     "op3_source_mixing": source_mixing.query,
     "op4_sentencepiece": sentencepiece_codec.query,
