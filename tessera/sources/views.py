@@ -102,3 +102,18 @@ def ctes(*names: str) -> str:
     """``WITH`` and the named views; all but ``clips`` stand on ``ev``."""
     needed = ([] if set(names) <= {"clips"} else ["ev"]) + [n for n in SQL if n in names and n != "ev"]
     return "WITH RECURSIVE " + ",\n".join(SQL[n] for n in needed)
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame, x, y, r, g, b): every vector as a frame of 8 by 8 pixels."""
+    v = F.col("v").cast("double")
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    each = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v"))
+    return each.select(
+        "frame", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), unit(0.5 + v * 2).alias("r"), unit(0.45 + v).alias("g"), unit(0.4 - v).alias("b")
+    )
+
+
+SQL["pixels"] = """pixels AS (SELECT vec_id AS frame, (i % 8)::INTEGER AS x, (i // 8)::INTEGER AS y, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5 + v * 2)) AS r,
+    least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.45 + v)) AS g, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.4 - v)) AS b
+    FROM (SELECT vec_id, k AS i, embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS k) n) e)"""
