@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, topk_search, url_filters, warc
+from tessera.llm import exact_dedup, language_id, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, suffix_dedup, topk_search, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mixing": source_mixing.query,
     "op4_sentencepiece": sentencepiece_codec.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_topk_search": topk_search.query,
     "op8_minhash_dedup": minhash_dedup.query,
     "op9_warc": warc.query,
