@@ -301,4 +301,4 @@ def bilinear_resize(frames: DataFrame, width: int, height: int, size: int = 8) -
     weight = F.when(F.col("k.i") == 1, fx).otherwise(1 - fx) * F.when(F.col("k.j") == 1, fy).otherwise(1 - fy)
     taps = at.select("x", "y", clip(F.floor("sx") + F.col("k.i")).alias("px"), clip(F.floor("sy") + F.col("k.j")).alias("py"), weight.alias("w"))
     p = frames.select("frame", F.col("x").alias("px"), F.col("y").alias("py"), "r", "g", "b")
-    return p.join(F.broadcast(taps), ["px", "py"]).groupBy("frame", "x", "y").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "rgb"])
+    return p.join(taps, ["px", "py"]).groupBy("frame", "x", "y").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "rgb"])

@@ -283,9 +283,9 @@ def zero_crossings(spark, d):
     return e.select("vec_id", (flips / (F.size("up") - 1).cast("double")).alias("zcr"))
 
 
-@query("waveform_scope", V.ctes("pixels") + f" SELECT x * 32 AS column_, least(255, floor({LUMA_SQL} * 255))::INTEGER AS level, round(log2(count(*) + 1) * 0.2, 6) AS v FROM pixels GROUP BY 1, 2")
+@query("waveform_scope", V.ctes("pixels") + f" SELECT x * 32 AS column_, floor(least(1, {LUMA_SQL}) * 255 + 0.5)::INTEGER AS level, round(log2(count(*) + 1) * 0.2, 6) AS v FROM pixels GROUP BY 1, 2")
 def waveform_scope(spark, d):
-    g = V.pixels(spark, d).groupBy((F.col("x") * 32).alias("column_"), F.least(F.lit(255), F.floor(luma() * 255)).cast("int").alias("level"))
+    g = V.pixels(spark, d).groupBy((F.col("x") * 32).alias("column_"), F.floor(F.least(F.lit(1.0), luma()) * 255 + 0.5).cast("int").alias("level"))
     return g.agg(r6(F.log2(F.count("*") + 1) * 0.2).alias("v"))
 
 
