@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import aggregate_queries, effect_queries, fold_queries, pixel_queries, scalar_queries, temporal_queries
+from tessera.plans import aggregate_queries, effect_queries, fold_queries, pixel_queries, scalar_queries, temporal_queries, timeline_queries
 
-MODULES = [temporal_queries, aggregate_queries, pixel_queries, scalar_queries, fold_queries, effect_queries]
+MODULES = [temporal_queries, aggregate_queries, pixel_queries, scalar_queries, fold_queries, effect_queries, timeline_queries]
 
 
 def queries() -> dict:
