@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import table
+from tessera.llm.shared import bounded_batches, table
 
 WINDOW, HIDDEN = 64, 8
 PER_LANGUAGE, EXCERPT = 600, 384
@@ -224,6 +224,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str =
     Only the text decides. A null text or one without a letter is ``und`` with score 0, and so is every
     text if the model knows no language. Repeated rows are judged alike; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.drop("lang_pred", "score")
     text = F.col(text_col).cast("string")
     ready = own.select("*", F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(_LETTERS), F.coalesce(text, F.lit("")).cast("binary").alias(_BODY))

@@ -13,6 +13,7 @@ position, so the forward pass gives the encoding that merging the whole word wou
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import table
+from tessera.llm.shared import bounded_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-_CACHE_WORDS, _CACHE_PAIRS, _CHUNK_CHARS = 800_000, 800_000, 1 << 20
+_CACHE_WORDS, _CACHE_PAIRS, _CHUNK_CHARS = 600_000, 800_000, 1 << 20
 
 
 @dataclass
@@ -40,10 +41,20 @@ class Vocabulary:
     byte_ids: list[int] | None
     unknown: int
     raw: list[bytes]
-    longest: int = 0
     words_split: bool = True
     words: dict[str, bytes] = field(default_factory=dict)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
+    follows: dict[str, dict[str, bool]] = field(default_factory=dict)
+    n_pairs: int = 0
+    tails: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        """By the last two characters of pieces: the lengths that pieces with that end have, longest first."""
+        sizes: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                sizes.setdefault(piece[-2:], set()).add(len(piece))
+        self.tails = {k: tuple(sorted(x, reverse=True)) for k, x in sizes.items()}
 
     @classmethod
     def from_pieces(cls, pieces: list[tuple[str, float]], *, kind: str, byte_ids: list[int] | None = None, unknown: int = 0, skip: frozenset[int] = frozenset()) -> Vocabulary:
@@ -53,7 +64,7 @@ class Vocabulary:
         for value, i in enumerate(byte_ids or ()):
             raw[i] = bytes([value])
         inner = any(a != MARK and b == MARK for p in ids for a, b in zip(p, p[1:])) or any("\n" in p and len(p) > 1 for p in ids)
-        return cls(kind, ids, {p: s for p, s in pieces if p in ids}, byte_ids, unknown, raw, max(map(len, ids), default=1), not inner)
+        return cls(kind, ids, {p: s for p, s in pieces if p in ids}, byte_ids, unknown, raw, not inner)
 
 
 def load_vocabulary(model_file: str = MODEL) -> Vocabulary:
@@ -90,11 +101,11 @@ def merged(v: Vocabulary, text: str) -> list[str]:
 
 
 def _may_follow(v: Vocabulary, left: str, right: str) -> bool:
-    known = v.pairs.get((left, right))
-    if known is None:
-        if len(v.pairs) >= _CACHE_PAIRS:
-            v.pairs.clear()
-        known = v.pairs[left, right] = merged(v, left + right) == ([left, right] if left else [right])
+    if v.n_pairs >= _CACHE_PAIRS:
+        v.follows.clear()
+        v.n_pairs = 0
+    v.n_pairs += 1
+    known = v.follows.setdefault(left, {})[right] = merged(v, left + right) == ([left, right] if left else [right])
     return known
 
 
@@ -108,36 +119,56 @@ def _piece_ids(v: Vocabulary, parts: Iterable[str]) -> bytes:
             out.extend(v.byte_ids[b] for b in part.encode())
         elif not out or out[-1] != v.unknown:
             out.append(v.unknown)
-    return np.array(out, np.int32).tobytes()
+    return array("i", out).tobytes()
+
+
+def _extend_bpe(v: Vocabulary, word: str, last: list[str], score: list[float], start: int) -> None:
+    """Forward states of the prefixes behind ``start``: the piece that ends the prefix's encoding.
+
+    Just one piece may; when no longer one does, it is the single character.
+    """
+    ids, follows, tails = v.ids, v.follows, v.tails
+    for end in range(start + 1, len(word) + 1):
+        best = word[end - 1]
+        for size in tails.get(word[end - 2 : end], ()) if end > 1 else ():
+            if size > end:
+                continue
+            piece = word[end - size : end]
+            if piece in ids:
+                left = last[end - size]
+                after = follows.get(left)
+                known = None if after is None else after.get(piece)
+                if _may_follow(v, left, piece) if known is None else known:
+                    best = piece
+                    break
+        last.append(best)
+        score.append(0.0)
+
+
+def _extend_unigram(v: Vocabulary, word: str, last: list[str], score: list[float], start: int) -> None:
+    """Forward states of the prefixes behind ``start``: the best score and the piece it ends with."""
+    scores, floor = v.scores, min(v.scores.values(), default=0.0) - UNKNOWN_PENALTY
+    for end in range(start + 1, len(word) + 1):
+        best, top = word[end - 1], score[end - 1] + scores.get(word[end - 1], floor)
+        for size in v.tails.get(word[end - 2 : end], ()) if end > 1 else ():
+            piece = word[end - size : end]
+            if size <= end and piece in scores and score[end - size] + scores[piece] > top:
+                best, top = piece, score[end - size] + scores[piece]
+        last.append(best)
+        score.append(top)
 
 
 def encode_words(v: Vocabulary, words: Iterable[str]) -> dict[str, bytes]:
     """The ids of distinct words, as int32 bytes. One depth-first pass over the words' trie."""
     out: dict[str, bytes] = {}
     previous, last, score = "", [""], [0.0]
-    floor = min(v.scores.values(), default=0.0) - UNKNOWN_PENALTY
-    bpe, longest, ids, scores = v.kind == "bpe", v.longest, v.ids, v.scores
+    extend = _extend_bpe if v.kind == "bpe" else _extend_unigram
     for word in sorted(words):
         shared, most = 0, min(len(word), len(previous))
         while shared < most and word[shared] == previous[shared]:
             shared += 1
         del last[shared + 1 :], score[shared + 1 :]
-        for end in range(shared + 1, len(word) + 1):
-            best, best_score = word[end - 1], float("-inf")
-            for size in range(min(longest, end), 0, -1):
-                piece = word[end - size : end]
-                if piece not in ids and size > 1:
-                    continue
-                if bpe:
-                    if _may_follow(v, last[end - size], piece):
-                        best = piece
-                        break
-                else:
-                    total = score[end - size] + scores.get(piece, floor)
-                    if total > best_score:
-                        best, best_score = piece, total
-            last.append(best)
-            score.append(best_score)
+        extend(v, word, last, score, shared)
         parts, end = [], len(word)
         while end:
             parts.append(last[end])
@@ -158,11 +189,14 @@ def marked_words(v: Vocabulary, text: str) -> list[str]:
 def _encoder(v: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def chunk_of(ids: list, texts: list[str]) -> pa.RecordBatch:
         split = [marked_words(v, t) for t in texts]
+        # two generations of known words, so that frequent ones outlive the rest
         new = set().union(*split).difference(v.words)
         if len(v.words) + len(new) > _CACHE_WORDS:
-            v.words.clear()
+            v.older, v.words = v.words, {}
             new = set().union(*split)
-        v.words.update(encode_words(v, new))
+        known = new.intersection(v.older)
+        v.words.update((w, v.older[w]) for w in known)
+        v.words.update(encode_words(v, new - known))
         rows = [b"".join(map(v.words.__getitem__, words)) for words in split]
         offsets = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
         values = pa.array(np.frombuffer(b"".join(rows), np.int32))
@@ -190,6 +224,7 @@ def encode(docs: DataFrame, *, vocabulary: Vocabulary | None = None, id_col: str
     Null and empty texts have no tokens. Special tokens are never produced; their strings in a
     text are ordinary text. Repeated rows are encoded alike. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     v = vocabulary or load_vocabulary()
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return named.mapInArrow(_encoder(v), "doc_id long, tokens array<int>")

@@ -30,6 +30,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session hands at most ``ARROW_ROWS`` rows and about ``ARROW_BYTES`` bytes to Python
+    at once, since texts can be long. Smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -37,6 +49,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     size is known to the planner afterwards, so it broadcasts only what is small.
     """
     path = new_path(df.sparkSession, name)
+    bounded_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
