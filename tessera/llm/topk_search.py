@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import materialise, table
 
 PIVOTS, DATA_ROWS, QUERY_ROWS = 32, 2048, 1024
-FAN_OUT, LEAF = 12, 48
+FAN_OUT, LEAF = 8, 256
 _SLACK = 1 + 1e-9
 
 
@@ -111,11 +111,20 @@ class DualSearch:
         products = self.q[q.rows] @ self.d[d.rows].T
         self.scored += products.size
         products[self.q_rows[q.rows][:, None] == self.d_rows[d.rows][None, :]] = -np.inf
-        scores = np.concatenate([self.scores[q.rows], products], axis=1)
-        ids = np.concatenate([self.ids[q.rows], np.broadcast_to(self.d_ids[d.rows], products.shape)], axis=1)
-        best = np.lexsort((ids, -scores), axis=-1)[:, : self.k]
-        self.scores[q.rows] = np.take_along_axis(scores, best, axis=1)
-        self.ids[q.rows] = np.take_along_axis(ids, best, axis=1)
+        k, wanted = self.k, np.maximum(self.scores[q.rows, -1], self.floor[q.rows])
+        better = np.flatnonzero((products.max(axis=1) >= wanted) & (products.max(axis=1) > -np.inf))
+        if not len(better):
+            return
+        some = products[better]
+        if some.shape[1] > k:  # nothing under a row's own k-th product can count
+            wanted[better] = np.maximum(wanted[better], np.partition(some, -k, axis=1)[:, -k])
+        ids = self.d_ids[d.rows]
+        for n, at in enumerate(better.tolist()):
+            row, hits = q.rows[at], np.flatnonzero(some[n] >= wanted[at])
+            scores = np.concatenate([self.scores[row], some[n, hits]])
+            names = np.concatenate([self.ids[row], ids[hits]])
+            best = np.lexsort((names, -scores))[:k]
+            self.scores[row], self.ids[row] = scores[best], names[best]
         q.worst = float(np.maximum(self.scores[q.rows, -1], self.floor[q.rows]).min())
 
 
