@@ -6,18 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import temporal as T
+from tessera.plans.registry import Registry
 from tessera.sources import views as V
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, oracle):
-    def keep(f):
-        QUERIES[name] = f
-        ORACLES[name] = oracle
-        return f
-
-    return keep
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 def r6(c):
