@@ -30,6 +30,7 @@ MOST_FILTER_BITS = 1 << 28
 MOST_CONTEXTS = 2048
 _GROUP_ROWS = 16384
 _ODD = np.uint64(0x9FB21C651E98DF25)
+_PLACE = np.uint64((1 << 30) - 1)  # texts are shorter than 1 GB
 
 
 def _anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -43,10 +44,10 @@ def _anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     up, down = _powers(n + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[joined] * up[:n], dtype=np.uint64)])
     grams = finish((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
-    least, place = grams, np.arange(len(grams), dtype=np.int32)
+    # the place in the low bits makes the smallest value also the leftmost one
+    least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     for step in (1, 2, 4, 8, 16, 32, SPAN + 1 - 64):
-        left = least[:-step] <= least[step:]
-        least, place = np.where(left, least[:-step], least[step:]), np.where(left, place[:-step], place[step:])
+        least = np.minimum(least[:-step], least[step:])
     begins = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     edge = np.zeros(n + 1, np.int32)
     whole = lengths >= LENGTH
@@ -55,7 +56,7 @@ def _anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
     if not len(starts):
         return none
-    x = place[starts].astype(np.int64)
+    x = (least[starts] & _PLACE).view(np.int64)
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
@@ -213,10 +214,18 @@ def _compare(rows: dict[str, np.ndarray], bodies: list[bytes]) -> dict[str, np.n
 def _compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, compared a number of whole keys at a time."""
 
-    def done(part: pa.Table) -> pa.RecordBatch:
+    def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = {c: np.asarray(part.column(c)) for c in _CONTEXT}
-        out = _compare(rows, part.column("body").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], names=list(out))
+        edge = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1], [True]])
+        single = edge[1:] & edge[:-1]
+        # an anchor with one context is the same wherever it stands
+        same = single & (rows["n"] > 1)
+        took = {"key": "key", "context": "context", "a_from": "least", "a_to": "most", "e_doc": "doc", "e_uid": "uid", "e_x": "x"}
+        yield pa.RecordBatch.from_arrays([pa.array(rows[c][same]) for c in took.values()], names=list(took))
+        if not single.all():
+            several = np.flatnonzero(~single)
+            out = _compare({c: v[several] for c, v in rows.items()}, part.column("body").take(pa.array(several)).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], names=list(out))
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -226,10 +235,10 @@ def _compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             keys = np.asarray(whole.column("key"))
             cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
             if cut:
-                yield done(whole.slice(0, cut))
+                yield from done(whole.slice(0, cut))
             held = whole.slice(cut).combine_chunks().to_batches()
     if held and sum(b.num_rows for b in held):
-        yield done(pa.Table.from_batches(held))
+        yield from done(pa.Table.from_batches(held))
 
 
 def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +317,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     contexts = occurrences.groupBy("key", "context").agg(first.alias("f"), F.count("*").alias("n"), F.max("least").alias("least"), F.max("most").alias("most"), F.max("body").alias("body"))
     contexts = materialise(contexts.select("key", "context", "f.doc", "f.uid", "f.x", "n", "least", "most", "body"), "contexts")
 
-    per_key = contexts.groupBy("key").agg(F.count("*").alias("n_contexts"), F.max("n").alias("most_n"))
+    per_key = contexts.groupBy("key").agg(F.count("*").alias("n_contexts"))
     common = materialise(per_key.where(F.col("n_contexts") > MOST_CONTEXTS).select("key"), "common")
-    once = materialise(per_key.where("n_contexts = 1 and most_n = 1").select("key"), "once")
-    rest = contexts.join(common, "key", "left_anti").join(once, "key", "left_anti")
+    rest = contexts.join(common, "key", "left_anti")
     runs = rest.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_sorted, _RUNS)
 
     windows = contexts.join(common, "key", "left_semi").select(*_CONTEXT, "body").mapInArrow(
@@ -323,7 +331,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     runs = materialise(runs.unionByName(more), "runs")
 
     later = ~((F.col("doc") == F.col("e_doc")) & (F.col("uid") == F.col("e_uid")) & (F.col("x") == F.col("e_x")))
-    covered = occurrences.select("key", "context", "doc", "uid", "x").join(runs, ["key", "context"]).where(later)
+    covered = occurrences.select("context", "doc", "uid", "x").join(runs.drop("key"), "context").where(later)
     ranges = covered.groupBy("doc", "uid").agg(F.collect_list(F.struct((F.col("x") - F.col("a_to")).alias("start"), (F.col("x") - F.col("a_from") + LENGTH).alias("stop"))).alias("ranges"))
     ranges = materialise(ranges, "ranges")
     return named.join(ranges, ["doc", "uid"], "left").select("doc_id", "body", "ranges").mapInArrow(
