@@ -118,22 +118,6 @@ def fx_tonemap_aces(exposure: float = 0.3) -> Rgb:
     return p.each(lambda c: F.pow(film(c), 1 / 2.2))
 
 
-def odt_acescg_to_rec709() -> Rgb:
-    p = source()
-    luma = dot(p, LUMA_709)
-    high = smoothstep(1.0, 4.0, F.greatest(luma, F.lit(0.0)))
-    q = p.each(lambda c: mix(c, luma, 0.12 * high))
-    red = smoothstep(0.0, 0.25, q.r - F.greatest(q.g, q.b))
-    spread = F.sqrt(sum((F.pow(c - luma, 2) for c in q), F.lit(0.0)))
-    q = Rgb(mix(q.r, luma, 0.06 * red * smoothstep(0.03, 0.25, spread)), q.g, q.b)
-
-    def curve(c: Column) -> Column:
-        x = F.greatest(c, F.lit(0.0))
-        return (x * (x + 0.0245786) - 0.000090537) / (x * (x * 0.983729 + 0.4329510) + 0.238081)
-
-    return matrix(q.each(curve), ACESCG_TO_REC709).each(lambda c: clamp(srgb_encode(clamp(c))))
-
-
 def fx_color_grade_simple(exposure: float = 0.2, contrast: float = 1.1, saturation: float = 0.9, temperature: float = 0.3, tint: float = -0.2) -> Rgb:
     p = source().each(lambda c: mix(F.lit(0.5), c * 2.0**exposure, contrast))
     luma = dot(p, LUMA_709)
@@ -168,12 +152,32 @@ def masked_grade(exposure: float = 0.5, key: tuple[float, float, float] = (0.6,
 POINT_KERNELS = {
     f.__name__: f
     for f in (
-        exposure_adjust, contrast_adjust, cdl_correct, idt_rec709_to_acescg, idt_linear_rec709_to_acescg, aces_tonemap, fx_tonemap_aces, odt_acescg_to_rec709,
+        exposure_adjust, contrast_adjust, cdl_correct, idt_rec709_to_acescg, idt_linear_rec709_to_acescg, aces_tonemap, fx_tonemap_aces,
         fx_color_grade_simple, fx_bloom_threshold, fx_anamorphic_threshold, watermark_diagonal_stripes, pq_output, masked_grade,
     )
 }
 
 
+def odt_acescg_to_rec709(frames: DataFrame) -> DataFrame:
+    """The viewing transform: soft highlights and reds, a fitted curve, gamut, gamma. Each step is a
+    projection of its own, so that its terms are computed once."""
+    p = source()
+    luma = dot(p, LUMA_709)
+    q = frames.withColumn("luma", luma).withColumn("high", smoothstep(1.0, 4.0, F.greatest("luma", F.lit(0.0))) * 0.12)
+    q = q.withColumns({c: mix(F.col(c), F.col("luma"), F.col("high")) for c in "rgb"})
+    q = q.withColumn("spread", F.sqrt(sum((F.pow(F.col(c) - F.col("luma"), 2) for c in "rgb"), F.lit(0.0))))
+    q = q.withColumn("pull", smoothstep(0.0, 0.25, F.col("r") - F.greatest("g", "b")) * smoothstep(0.03, 0.25, F.col("spread")) * 0.06)
+    q = q.withColumn("r", mix(F.col("r"), F.col("luma"), F.col("pull")))
+
+    def curve(c: str) -> Column:
+        x = F.greatest(F.col(c), F.lit(0.0))
+        return (x * (x + 0.0245786) - 0.000090537) / (x * (x * 0.983729 + 0.4329510) + 0.238081)
+
+    q = q.withColumns({c: curve(c) for c in "rgb"})
+    q = q.withColumns(dict(zip("rgb", (clamp(c) for c in matrix(source(), ACESCG_TO_REC709)))))
+    return q.withColumns({c: clamp(srgb_encode(F.col(c))) for c in "rgb"}).drop("luma", "high", "spread", "pull")
+
+
 # Generators need no input.
 def grid(spark: SparkSession, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))

@@ -74,6 +74,25 @@ for _name, _kernel in P.POINT_KERNELS.items():
         lambda spark, d, k=_kernel: rounded(P.put(V.pixels(spark, d), k()))
     )
 
+def _mix(a, b, t):
+    return f"({a} * (1 - {t}) + {b} * {t})"
+
+
+ODT = V.ctes("pixels") + f""", l AS (SELECT frame, x, y, r, g, b, {L709} AS luma FROM pixels), h AS (SELECT *, 0.12 * {_smooth(1.0, 4.0, 'greatest(luma, 0)')} AS hi FROM l),
+  d AS (SELECT frame, x, y, luma, {', '.join(f'{_mix(c, "luma", "hi")} AS {c}' for c in RGB)} FROM h),
+  s AS (SELECT *, 0.06 * {_smooth(0.0, 0.25, 'r - greatest(g, b)')} * {_smooth(0.03, 0.25, 'sqrt(power(r - luma, 2) + power(g - luma, 2) + power(b - luma, 2))')} AS pull FROM d),
+  m AS (SELECT frame, x, y, {_mix('r', 'luma', 'pull')} AS r, g, b FROM s),
+  c AS (SELECT frame, x, y, {', '.join(f'(greatest({c}, 0) * (greatest({c}, 0) + 0.0245786) - 0.000090537) / (greatest({c}, 0) * (0.983729 * greatest({c}, 0) + 0.4329510) + 0.238081) AS {c}' for c in RGB)} FROM m),
+  k AS (SELECT frame, x, y, {', '.join(f'{_clamp(e)} AS {c}' for c, e in zip(RGB, _mat(P.ACESCG_TO_REC709, RGB)))} FROM c)""" + _select(
+    [f"CASE WHEN {c} <= 0.0031308 THEN 12.92 * {c} ELSE 1.055 * power({c}, {1 / 2.4}) - 0.055 END" for c in RGB], "k"
+)
+
+
+@query("px_odt_acescg_to_rec709", ODT)
+def odt_acescg_to_rec709(spark, d):
+    return rounded(P.odt_acescg_to_rec709(V.pixels(spark, d)))
+
+
 PAIR = V.ctes("pixels") + ", two AS (SELECT a.frame, a.x, a.y, a.r, a.g, a.b, c.r AS r2, c.g AS g2, c.b AS b2 FROM pixels a JOIN pixels c ON c.frame = a.frame + 1 AND c.x = a.x AND c.y = a.y)"
 FALL = f"(1 - {_smooth(0.3, 1.0, 'sqrt(power((x + 0.5) / 8 - 0.5, 2) + power((y + 0.5) / 8 - 0.5, 2)) * 2')})"
 TWO_SQL = {
