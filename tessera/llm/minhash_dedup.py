@@ -79,35 +79,79 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their whole sets: whether they are links, how similar they are, which of a's
+    shingles b has (as bits) and what else b has."""
+    longs = pa.list_(pa.int64())
     for batch in batches:
-        keep = []
+        link, share, bits, rest = [], [], [], []
         for one, two in zip(batch.column("set_a"), batch.column("set_b")):
             x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            has = np.isin(x, y, assume_unique=True)
+            both = int(has.sum())
+            link.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            share.append(both / max(1, len(x) + len(y) - both))
+            bits.append(np.packbits(np.pad(has, (0, -len(x) % 64))).view(np.int64).tolist())
+            rest.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(share, pa.float64()), pa.array(bits, longs), pa.array(rest, longs)],
+            names=["a", "b", "link", "share", "hub_bits", "rest"],
+        )
+
+
+def _links_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _confirm(batches):
+        yield batch.filter(batch.column("link")).select(["a", "b"])
+
+
+_SKETCH = ("n_shingles", "bits", "first", "second", "hub", "hub_bits", "shared")
+
 
+def _first_shared(keys: str) -> Column:
+    """Position, from 1, of the first key that both sides of a pair have."""
+    return F.array_position(F.zip_with("x_" + keys, "y_" + keys, lambda x, y: x == y), True)
 
-def _bit_distance(x: str, y: str) -> Column:
+
+def _may_link(x: str, y: str) -> Column:
+    """Sizes that differ too much rule a link out; bits that do leave it no chance worth naming."""
     words = -(-2 * _HASHES // 64)
-    return sum((F.bit_count(F.col(x)[n].bitwiseXOR(F.col(y)[n])) for n in range(words)), F.lit(0))
+    apart = sum((F.bit_count(F.col(x + "bits")[n].bitwiseXOR(F.col(y + "bits")[n])) for n in range(words)), F.lit(0))
+    few, many = F.least(x + "n_shingles", y + "n_shingles"), F.greatest(x + "n_shingles", y + "n_shingles")
+    return (few * 100 >= many * PERCENT) & (apart <= MOST_BITS)
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Sizes and bits come first: a pair whose
-    sizes differ too much can't be a link, and one whose bits do has no chance worth naming."""
-    x = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a"))
-    y = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bits").alias("bits_b"))
-    close = pairs.join(x, "a").join(y, "b").where(
-        (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (_bit_distance("bits_a", "bits_b") <= MOST_BITS)
-    )
-    close = materialise(close.select("a", "b"), "close_pairs")
+def _with_sets(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be links, with both whole sets."""
+    x = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("x_n_shingles"), F.col("bits").alias("x_bits"))
+    y = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("y_n_shingles"), F.col("bits").alias("y_bits"))
+    close = materialise(pairs.join(x, "a").join(y, "b").where(_may_link("x_", "y_")).select("a", "b"), "close_pairs")
     full = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return materialise(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long"), "linked")
+    return full.select("a", "b", "set_a", "set_b")
+
+
+def _near_hub(tested: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes with the hub most like them, which of its shingles they have, and those of their
+    other shingles that another node of that hub has too."""
+    best = tested.groupBy("b").agg(F.max_by(F.struct("a", "hub_bits", "rest"), F.struct("share", "a")).alias("m"))
+    best = materialise(best.select(F.col("b").alias("node"), F.col("m.a").alias("hub"), "m.hub_bits", "m.rest"), "near_hub")
+    others = best.select("node", "hub", F.explode("rest").alias("shingle"))
+    common = others.groupBy("hub", "shingle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = others.join(common, ["hub", "shingle"], "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("shared"))
+    none = F.array().cast("array<long>")
+    return nodes.join(best.drop("rest"), "node", "left").join(shared, "node", "left").withColumn("shared", F.coalesce("shared", none))
+
+
+def _within_reach() -> Column:
+    """False where two nodes of one hub are no link: they have in common the hub's shingles that both have
+    and what their others have in common. Nodes of different hubs are left to their whole sets."""
+    ands = F.zip_with("x_hub_bits", "y_hub_bits", lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    most = F.aggregate(ands, F.lit(0), lambda s, n: s + n) + F.size(F.array_intersect("x_shared", "y_shared"))
+    enough = most * 100 >= (F.col("x_n_shingles") + F.col("y_n_shingles") - most) * PERCENT
+    return F.when(F.col("x_hub") == F.col("y_hub"), enough).otherwise(True)
 
 
-def _shared_keys(nodes: DataFrame) -> DataFrame:
-    """Rows (key, node, hub) for every table key that at least two nodes share; hub is its smallest node."""
+def _shared_keys(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node, hub) for every table key that at least two nodes share, hub being its smallest node; and
+    rows (node, i, part) for every key of the first collection that at least two share."""
     first = nodes.select("node", F.posexplode("first").alias("i", "part"))
     many = first.groupBy("i", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     # a key of the second collection can only be shared where the first one is
@@ -115,7 +159,7 @@ def _shared_keys(nodes: DataFrame) -> DataFrame:
     both = halves.join(nodes.select("node", "second"), "node").select("node", "i", "part", F.posexplode("second").alias("j", "other"))
     keyed = materialise(both.select(F.xxhash64("i", "j", "part", "other").alias("key"), "node"), "keys")
     hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
-    return materialise(keyed.join(hubs, "key"), "members")
+    return materialise(keyed.join(hubs, "key"), "members"), halves
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,24 +181,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = materialise(named.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>, bits array<long>"), "sketches")
     linkable = sketches.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialise(linkable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"), F.first("second").alias("second"), F.first("bits").alias("bits")), "classes")
-    members = _shared_keys(classes)
+    members, halves = _shared_keys(classes)
     involved = materialise(members.select("node").distinct(), "involved")
-    nodes = materialise(classes.select("node", "n_shingles", "bits").join(involved, "node", "left_semi"), "nodes")
+    codes = [F.transform(c, lambda x: F.shiftright(x, 32).cast("int")).alias(c) for c in ("first", "second")]
+    nodes = materialise(classes.select("node", "n_shingles", "bits", *codes).join(involved, "node", "left_semi"), "nodes")
     sets = materialise(named.withColumnRenamed("doc_id", "node").join(involved, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary"), "sets")
 
     stars = materialise(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = _linked(stars, nodes, sets)
+    tested = materialise(_with_sets(stars, nodes, sets).mapInArrow(_confirm, "a long, b long, link boolean, share double, hub_bits array<long>, rest array<long>"), "tested")
+    links = tested.where("link").select("a", "b")
     labels = components(links)
 
-    # What is still apart within a key: everything outside the key's largest component against all of it.
-    labelled = materialise(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("apart")).where("apart > 1").drop("apart")
-    mixed = materialise(labelled.join(largest, "key"), "mixed")
-    outside = mixed.where("label <> largest").select("key", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    inside = mixed.select("key", F.col("node").alias("y"), F.col("label").alias("y_label"))
-    apart = outside.join(inside, "key").where("x_label <> y_label").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = _linked(materialise(apart.join(stars, ["a", "b"], "left_anti"), "apart"), nodes, sets)
+    # What is still apart: everything outside the largest component of a first key against all of it. Pairs
+    # must share a key of the second collection too, which makes it a table's key, and of the first keys
+    # that a pair shares only the first gives it.
+    labelled = materialise(halves.join(involved, "node", "left_semi").join(labels, "node", "left").select("i", "part", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    sizes = labelled.groupBy("i", "part", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("i", "part").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("apart")).where("apart > 1").drop("apart")
+    mixed = materialise(labelled.join(largest, ["i", "part"]).join(materialise(_near_hub(tested, nodes), "placed"), "node"), "mixed")
+    outside = mixed.where("label <> largest").select("i", "part", *[F.col(c).alias("x_" + c) for c in ("node", "label", *_SKETCH)])
+    inside = mixed.select("i", "part", *[F.col(c).alias("y_" + c) for c in ("node", "label", *_SKETCH)])
+    of_table = (_first_shared("first") == F.col("i") + 1) & (_first_shared("second") > 0)
+    apart = outside.join(inside, ["i", "part"]).where((F.col("x_label") != F.col("y_label")) & _may_link("x_", "y_") & of_table & _within_reach())
+    apart = apart.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    untested = materialise(apart.join(stars, ["a", "b"], "left_anti"), "apart")
+    rest = materialise(_with_sets(untested, nodes, sets).mapInArrow(_links_only, "a long, b long"), "rest")
 
     final = components(links.union(rest))
     by_digest = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
