@@ -113,7 +113,7 @@ def _repeated_filter(keys: DataFrame, count: int) -> np.ndarray:
 
 
 def _occurrences(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Occurrences of anchors that may be repeated; the bytes of a context once for each chunk."""
+    """Occurrences of anchors that may be repeated; the bytes around one once for each context and chunk."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -130,9 +130,9 @@ def _occurrences(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 joined = b"".join(chunk)
                 _, once = np.unique(found["context"], return_index=True)
                 bodies: list[bytes | None] = [None] * len(found["key"])
-                for n in once.tolist():
-                    bodies[n] = joined[int(found["low"][n]) : int(found["high"][n]) + LENGTH]
                 x = found["x"] + found["base"]
+                for n, low, at_x, high in zip(once.tolist(), found["low"][once].tolist(), x[once].tolist(), found["high"][once].tolist()):
+                    bodies[n] = joined[low:at_x] + joined[at_x + GRAM : high + LENGTH]  # the anchor itself is the key's
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(found["key"]), pa.array(found["context"]), pa.array(docs[at + found["text"]]), pa.array(uids[at + found["text"]]), pa.array(found["x"]),
@@ -174,7 +174,7 @@ def _compare(rows: dict[str, np.ndarray], bodies: list[bytes]) -> dict[str, np.n
     right, left = np.zeros((n, SPAN), np.uint8), np.zeros((n, SPAN), np.uint8)
     for i, (body, most) in enumerate(zip(bodies, rows["most"].tolist())):
         b = np.frombuffer(body, np.uint8)
-        r, l = b[most + GRAM :], b[:most][::-1]
+        r, l = b[most:], b[:most][::-1]
         right[i, : len(r)], left[i, : len(l)] = r, l
     order = _interval_order(rows["key"], right)
     differ = right[order[1:]] != right[order[:-1]]
@@ -250,7 +250,7 @@ def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a in range(int(rows["least"][i]), int(rows["most"][i]) + 1):
                 o = int(rows["most"][i]) - a
                 at.append((i, a))
-                hashes.append(hashlib.blake2b(body[o : o + LENGTH], digest_size=16).digest())
+                hashes.append(hashlib.blake2b(body[o : o + SPAN], digest_size=16).digest())
         if at:
             i, a = np.array(at).T
             yield pa.RecordBatch.from_arrays(
@@ -326,8 +326,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         _each_window, "key long, context long, a int, window binary, doc long, uid long, x long, n long"
     )
     windows = materialise(windows, "windows")
-    same = windows.groupBy("window", "a").agg(first.alias("e"), F.sum("n").alias("n")).where("n > 1").select("window", "a", "e")
-    more = windows.join(same, ["window", "a"]).select("key", "context", F.col("a").alias("a_from"), F.col("a").alias("a_to"), F.col("e.doc").alias("e_doc"), F.col("e.uid").alias("e_uid"), F.col("e.x").alias("e_x"))
+    same = windows.groupBy("key", "window", "a").agg(first.alias("e"), F.sum("n").alias("n")).where("n > 1").select("key", "window", "a", "e")
+    more = windows.join(same, ["key", "window", "a"]).select("key", "context", F.col("a").alias("a_from"), F.col("a").alias("a_to"), F.col("e.doc").alias("e_doc"), F.col("e.uid").alias("e_uid"), F.col("e.x").alias("e_x"))
     runs = materialise(runs.unionByName(more), "runs")
 
     later = ~((F.col("doc") == F.col("e_doc")) & (F.col("uid") == F.col("e_uid")) & (F.col("x") == F.col("e_x")))
