@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-_CACHE_WORDS, _CACHE_PAIRS, _CHUNK_CHARS = 600_000, 800_000, 1 << 20
+_CACHE_WORDS, _CACHE_PAIRS, _CHUNK_CHARS = 300_000, 300_000, 1 << 20
 
 
 @dataclass
