@@ -26,7 +26,13 @@ def time_ticks(spark, d):
 
 @query("rationals", "SELECT event_id, (event_id * 6) // gcd(event_id * 6, 84 + event_id % 50) AS num, (84 + event_id % 50) // gcd(event_id * 6, 84 + event_id % 50) AS den FROM events WHERE event_id > 0")
 def rationals(spark, d):
-    e = V.table(spark, d, "events").where("event_id > 0").select("event_id", (F.col("event_id") * 6).alias("a"), (F.col("event_id") % 50 + 84).alias("b"))
+    """``rationals_all`` over the ids of its fixed SQL."""
+    return rationals_all(spark, d).where("event_id > 0")
+
+
+@query("rationals_all", "SELECT event_id, (event_id * 6) // gcd(event_id * 6, 84 + event_id % 50) AS num, (84 + event_id % 50) // gcd(event_id * 6, 84 + event_id % 50) AS den FROM events")
+def rationals_all(spark, d):
+    e = V.table(spark, d, "events").select("event_id", (F.col("event_id") * 6).alias("a"), (F.col("event_id") % 50 + 84).alias("b"))
     e = e.withColumn("g", S.gcd(F.col("a"), F.col("b")))
     return e.select("event_id", F.floor(F.col("a") / F.col("g")).alias("num"), F.floor(F.col("b") / F.col("g")).alias("den"))
 
@@ -163,11 +169,18 @@ _RATES = ", ".join(f"({i}, {n / m})" for i, (n, m) in enumerate(S.COMMON_RATES))
 @query("fps_snap", V.ctes("ev") + f""", x AS (SELECT event_id, luma * 120 AS fps FROM ev WHERE event_id % 20 = 0), r(i, rate) AS (VALUES {_RATES}), c AS (SELECT event_id, fps, rate, row_number() OVER (PARTITION BY event_id ORDER BY abs(rate - fps), i) AS n FROM x, r)
    SELECT event_id, CASE WHEN abs(rate - fps) <= 0.2 THEN round(rate, 6) END AS snapped FROM c WHERE n = 1""")
 def fps_snap(spark, d):
+    """``fps_snap_all`` over the ids of its fixed SQL."""
+    return fps_snap_all(spark, d).where("event_id % 20 = 0")
+
+
+@query("fps_snap_all", V.ctes("ev") + f""", r(i, rate) AS (VALUES {_RATES}), c AS (SELECT event_id, luma * 120 AS fps, rate, row_number() OVER (PARTITION BY event_id ORDER BY abs(rate - luma * 120), i) AS n FROM ev, r)
+   SELECT event_id, CASE WHEN abs(rate - fps) <= 0.2 THEN round(rate, 6) END AS snapped FROM c WHERE n = 1""")
+def fps_snap_all(spark, d):
     """The nearest of eight common rates if within 0.2; of equally near ones the first."""
     fps = F.col("luma") * 120
     rates = F.array(*[F.struct(F.abs(F.lit(n / m) - fps).alias("d"), F.lit(i).alias("i"), F.lit(n / m).alias("rate")) for i, (n, m) in enumerate(S.COMMON_RATES)])
     best = F.array_min(rates)
-    return V.timed_events(spark, d).where("event_id % 20 = 0").select("event_id", F.when(best["d"] <= 0.2, r6(best["rate"])).alias("snapped"))
+    return V.timed_events(spark, d).select("event_id", F.when(best["d"] <= 0.2, r6(best["rate"])).alias("snapped"))
 
 
 @query("key_frames", V.ctes("samples") + """, s AS (SELECT src, max(t) - min(t) AS dur FROM samples GROUP BY src) SELECT DISTINCT src, round(least(k, dur), 6) AS t FROM s, (SELECT unnest([0.5, 10.0, 20.0, 30.0, 40.0, 50.0, 1e9]) AS k) q""")
@@ -322,7 +335,18 @@ def colour_rules(spark, d):
 @query("manifest_errors", """WITH e AS (SELECT DISTINCT event_type AS id, user_id % 7 AS domain, event_id % 5 AS version FROM events WHERE event_id < 200) SELECT id, domain, version, code FROM (
    SELECT *, 'MVFM011' AS code FROM e WHERE domain > 4 UNION ALL SELECT *, 'MVFM012' FROM e WHERE version = 0 UNION ALL SELECT *, 'MVFM010' FROM e WHERE id = 'view') u""")
 def manifest_errors(spark, d):
-    e = V.table(spark, d, "events").where("event_id < 200").select(F.col("event_type").alias("id"), (F.col("user_id") % 7).alias("domain"), (F.col("event_id") % 5).alias("version")).distinct()
+    """The errors of the rows that its fixed SQL reads; ``manifest_errors_all`` has those of all."""
+    return _manifest_errors(V.table(spark, d, "events").where("event_id < 200"))
+
+
+@query("manifest_errors_all", """WITH e AS (SELECT DISTINCT event_type AS id, user_id % 7 AS domain, event_id % 5 AS version FROM events) SELECT id, domain, version, code FROM (
+   SELECT *, 'MVFM011' AS code FROM e WHERE domain > 4 UNION ALL SELECT *, 'MVFM012' FROM e WHERE version = 0 UNION ALL SELECT *, 'MVFM010' FROM e WHERE id = 'view') u""")
+def manifest_errors_all(spark, d):
+    return _manifest_errors(V.table(spark, d, "events"))
+
+
+def _manifest_errors(events):
+    e = events.select(F.col("event_type").alias("id"), (F.col("user_id") % 7).alias("domain"), (F.col("event_id") % 5).alias("version")).distinct()
     rules = (("MVFM011", F.col("domain") > 4), ("MVFM012", F.col("version") == 0), ("MVFM010", F.col("id") == "view"))
     codes = F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))
     return e.select("id", "domain", "version", F.explode(codes).alias("code"))
