@@ -101,7 +101,7 @@ def scene_context(spark, d):
 def speaker_lifecycle(spark, d):
     w = V.words(spark, d).where("speaker is not null")
     return w.groupBy("src", "speaker").agg(
-        r6(F.min("t")).alias("first_t"), r6(F.max("t")).alias("last_t"), r6(F.avg("luma")).alias("conf"), F.count("*").alias("n"), F.min_by("word_id", "t").alias("first_word")
+        r6(F.min("t")).alias("first_t"), r6(F.max("t")).alias("last_t"), r6(F.avg("luma")).alias("conf"), F.count("*").alias("n"), F.min_by("word_id", F.struct("t", "word_id")).alias("first_word")
     ).withColumn("frozen", (F.col("n") * 0.3 >= 2) & (F.col("speaker") != "OFFSCREEN")).drop("n")
 
 

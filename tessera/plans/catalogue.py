@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 from tessera.plans import aggregate_queries, effect_queries, fold_queries, pixel_queries, scalar_queries, temporal_queries, timeline_queries
+from tessera.sources import views as V
 
 MODULES = [temporal_queries, aggregate_queries, pixel_queries, scalar_queries, fold_queries, effect_queries, timeline_queries]
+ROLES = ("samples", "faces", "words", "segments")
+#: Queries on these views that have no SQL.
+UNWRITTEN = ("sticky_speaker", "one_to_one_bindings", "normalised_cues", "pink_noise")
+
+
+def _given() -> tuple[dict, dict[str, str]]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}, {name: sql for m in MODULES for name, sql in m.ORACLES.items() if sql}
+
+
+def on_roles() -> list[str]:
+    """The queries on views that split the events by role; each has a form ``_whole`` on all rows."""
+    found, sqls = _given()
+    return [name for name in found if name in UNWRITTEN or any(V.SQL[role] in sqls.get(name, "") for role in ROLES)]
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    found = _given()[0]
+    return found | {f"{name}_whole": lambda spark, d, f=found[name]: f(spark, V.Whole(d)) for name in on_roles()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLES.items() if sql}
+    sqls = _given()[1]
+    return sqls | {f"{name}_whole": V.whole(sqls[name]) for name in on_roles() if name in sqls}

@@ -1,6 +1,7 @@
 """Queries read every row that their operator is about."""
 
 from tessera.plans import catalogue
+from tessera.sources import views as V
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -12,3 +13,16 @@ def test_every_event(spark):
     distinct = {(r.event_type, r.user_id % 7, r.event_id % 5) for r in events.collect()}
     want = {(*e, code) for e in distinct for code, bad in (("MVFM011", e[1] > 4), ("MVFM012", e[2] == 0), ("MVFM010", e[0] == "view")) if bad}
     assert {tuple(r) for r in catalogue.queries()["manifest_errors_all"](spark, FOLDER).collect()} == want
+
+
+def test_views_of_all_rows(spark):
+    whole = V.Whole(FOLDER)
+    events = spark.read.parquet(f"{FOLDER}/events.parquet").collect()
+    ids = sorted(r.event_id for r in events)
+    assert sorted(r.pos for r in V.samples(spark, whole).collect()) == ids
+    assert V.faces(spark, whole).count() == sum(i % 5 % 4 for i in ids)
+    assert V.segments(spark, whole).count() == len(ids) - len({r.user_id % 10 for r in events})
+    said = spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()
+    words = V.words(spark, whole).collect()
+    assert len(words) == sum(w != "" for r in said for w in (r.text or "").split(" ")) == len({w.word_id for w in words})
+    assert catalogue.queries()["lag_deltas_whole"](spark, FOLDER).count() == len(ids)
