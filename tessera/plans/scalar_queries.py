@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import attribution as A
 from tessera.operators import temporal as T
+from tessera.operators.similar import block_top_k
 from tessera.plans.registry import Registry
 from tessera.sources import views as V
 
@@ -136,6 +137,18 @@ def vector_top_k(spark, d):
     return e.crossJoin(F.broadcast(q.limit(1))).select("vec_id", r6(S.cosine(F.col("embedding"), F.col("q"))).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+@query(
+    "vector_top_k_all",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM e),
+      s AS (SELECT q.vec_id AS query_id, n.vec_id, round(list_inner_product(n.e, q.e) / (n.norm * q.norm + 1e-6), 6) AS score FROM n, n q WHERE q.vec_id % 100 = 0)
+      SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) r WHERE n <= 10""",
+)
+def vector_top_k_all(spark, d):
+    """The ten vectors most like each vector whose identifier is divisible by 100."""
+    e = V.table(spark, d, "embeddings").select("vec_id", "embedding")
+    return block_top_k(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, k=10)
+
+
 @query("vector_upsert", "SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY version DESC) AS n FROM (SELECT vec_id, label, 0 AS version FROM embeddings UNION ALL SELECT vec_id, label + 100, 1 FROM embeddings WHERE vec_id % 3 = 0) u) q WHERE n = 1")
 def vector_upsert(spark, d):
     e = V.table(spark, d, "embeddings").select("vec_id", "label", F.lit(0).alias("version"))

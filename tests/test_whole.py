@@ -1,5 +1,8 @@
 """Queries read every row that their operator is about."""
 
+from collections import Counter
+
+from tessera.operators import similar
 from tessera.plans import catalogue
 from tessera.sources import views as V
 
@@ -26,3 +29,16 @@ def test_views_of_all_rows(spark):
     words = V.words(spark, whole).collect()
     assert len(words) == sum(w != "" for r in said for w in (r.text or "").split(" ")) == len({w.word_id for w in words})
     assert catalogue.queries()["lag_deltas_whole"](spark, FOLDER).count() == len(ids)
+
+
+def test_every_query_vector(spark, monkeypatch):
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
+    asked = {r.vec_id for r in rows if r.vec_id % 100 == 0}
+    got = catalogue.queries()["vector_top_k_all"](spark, FOLDER).collect()
+    assert Counter(r.query_id for r in got) == dict.fromkeys(asked, 10)
+    monkeypatch.setattr(similar, "QUERY_ROWS", 2)
+    monkeypatch.setattr(similar, "DATA_ROWS", 7)
+    data = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(1, 401)] + [(500, [1.0]), (501, None)], "vec_id long, embedding array<float>")
+    queries = data.where("vec_id in (100, 200, 300, 501)").withColumnRenamed("vec_id", "query_id")
+    found = similar.block_top_k(queries, data, k=3).collect()
+    assert {q: sorted(r.vec_id for r in found if r.query_id == q) for q in (100, 200, 300, 501)} == {100: [1, 4, 7], 200: [2, 5, 8], 300: [3, 6, 9], 501: []}
