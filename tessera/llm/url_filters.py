@@ -8,7 +8,7 @@ Templates whose smoothed purity is too low are rejected. Pages that a rule decid
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import materialise, table
@@ -38,48 +38,58 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return found
 
 
-def _generalise(paths: DataFrame) -> DataFrame:
+def _generalise(paths: DataFrame, whole: bool) -> DataFrame:
     """Rows (host, segments) with their template: level by level, a segment stays if it has support
-    below its parent's template on its host, or at its level over all hosts."""
+    below its parent's template on its host, or at its level over all hosts. If ``whole``, support is a
+    number of pages only and levels go on until fewer pages than that have a further segment."""
     grown = paths.withColumn("template", F.lit(""))
     total = paths.count()
-    for level in range(DEPTH):
-        segment = F.get("segments", F.lit(level))
-        here = grown.withColumn("segment", segment)
-        counts = here.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(F.count("*").alias("n"))
-        counts = materialise(counts.where(F.col("n") >= 1), "segments")
-        parents = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        own = counts.where(F.col("n") >= SUPPORT).join(parents, ["host", "template"]).where(F.col("n") >= HOST_SHARE * F.col("all")).select("host", "template", "segment", F.lit(True).alias("supported"))
+    level, left, done = 0, total, []
+    while left >= SUPPORT if whole else level < DEPTH:
+        done.append(grown.where(F.size("segments") <= level))
+        here = grown.where(F.size("segments") > level).withColumn("segment", F.get("segments", F.lit(level)))
+        counts = materialise(here.groupBy("host", "template", "segment").agg(F.count("*").alias("n")), "segments")
+        own = counts.where(F.col("n") >= SUPPORT)
+        if not whole:
+            parents = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
+            own = own.join(parents, ["host", "template"]).where(F.col("n") >= HOST_SHARE * F.col("all"))
+        own = own.select("host", "template", "segment", F.lit(True).alias("supported"))
         wide = counts.groupBy("segment").agg(F.sum("n").alias("n")).where(F.col("n") >= max(SUPPORT, WIDE_SHARE * total)).select("segment", F.lit(True).alias("wide"))
         # at most 1 / WIDE_SHARE segments can be wide
         joined = here.join(materialise(own, "own"), ["host", "template", "segment"], "left").join(F.broadcast(materialise(wide, "wide")), "segment", "left")
         kept = F.coalesce("supported", "wide", F.lit(False))
-        step = F.when(F.col("segment").isNull(), "").when(kept, F.concat(F.lit("/"), F.col("segment"))).otherwise("/" + WILD)
+        step = F.when(kept, F.concat(F.lit("/"), F.col("segment"))).otherwise("/" + WILD)
         grown = materialise(joined.withColumn("template", F.concat("template", step)).drop("segment", "supported", "wide"), "grown")
-    deeper = F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise("")
-    return grown.withColumn("template", F.concat("template", deeper))
+        level += 1
+        left = grown.where(F.size("segments") > level).count()
+    deeper = F.repeat(F.lit("/" + WILD), F.size("segments") - level) if whole else F.when(F.size("segments") > level, F.lit("/**")).otherwise("")
+    out = grown.withColumn("template", F.concat("template", deeper))
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
-def _merge_similar(stats: DataFrame) -> DataFrame:
+def _merge_similar(stats: DataFrame, whole: bool) -> DataFrame:
     """Rows (host, template, labelled, blocked) with ``branch``: sibling templates that differ in one
-    segment and whose rates differ by no more than chance explains share a branch with a wildcard there."""
+    segment and whose rates differ by no more than chance explains share a branch with a wildcard there.
+    If ``whole``, templates without a label join the wildcard beside labelled siblings."""
     merged = stats.withColumn("branch", F.col("template"))
-    for level in reversed(range(DEPTH)):
+    named = F.size(F.split(F.regexp_replace("template", r"(/\*)+$", ""), "/")) - 1
+    levels = (stats.agg(F.max(named)).first()[0] or 0) if whole else DEPTH
+    for level in reversed(range(levels)):
         parts = F.split("branch", "/")
-        wild = F.when(F.size(parts) > level + 1, F.array_join(F.concat(F.slice(parts, 1, level + 1), F.array(F.lit(WILD)), F.slice(parts, level + 3, DEPTH + 2)), "/")).otherwise(F.col("branch"))
-        pooled, own = Window.partitionBy("host", "wild"), Window.partitionBy("host", "wild", "branch")
-        rows = merged.withColumn("wild", wild).select(
-            "*",
-            F.sum("labelled").over(own).alias("n"),
-            F.sum("blocked").over(own).alias("b"),
-            F.sum("labelled").over(pooled).alias("n_all"),
-            F.sum("blocked").over(pooled).alias("b_all"),
-        )
+        wild = F.when(F.size(parts) > level + 1, F.array_join(F.concat(F.slice(parts, 1, level + 1), F.array(F.lit(WILD)), F.slice(parts, F.lit(level + 3), F.size(parts))), "/")).otherwise(F.col("branch"))
+        own = merged.withColumn("wild", wild).groupBy("host", "wild", "branch").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
+        own = materialise(own, "siblings")
+        pooled = own.groupBy("host", "wild").agg(F.sum("n").alias("n_all"), F.sum("b").alias("b_all"))
         rate = (F.col("b_all") + 1) / (F.col("n_all") + 2)
         others = F.col("n_all") - F.col("n")
         differ = F.abs(F.try_divide(F.col("b"), F.col("n")) - F.try_divide(F.col("b_all") - F.col("b"), others))
         chance = SIMILAR_Z * F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), F.col("n")) + F.try_divide(F.lit(1), others)))
-        merged = rows.withColumn("branch", F.when(F.coalesce(differ <= chance, F.lit(False)), F.col("wild")).otherwise(F.col("branch"))).select(*stats.columns, "branch")
+        alike = F.coalesce(differ <= chance, (F.col("n") == 0) & (F.col("n_all") > 0) if whole else F.lit(False))
+        moved = own.join(pooled, ["host", "wild"]).where(alike & (F.col("wild") != F.col("branch"))).select("host", "branch", "wild")
+        merged = merged.join(materialise(moved, "moved"), ["host", "branch"], "left").withColumn("branch", F.coalesce("wild", "branch")).select(*stats.columns, "branch")
+        merged = materialise(merged, "merged")
     return merged
 
 
@@ -90,12 +100,14 @@ def filter_urls(
     url_col: str = "url",
     rules: tuple[tuple[str, str], ...] = RULES,
     min_purity: float = MIN_PURITY,
+    whole: bool = False,
 ) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, template, purity.
 
     The longest fitting rule decides; else the page's template does: ``block`` if the smoothed share of
     pages that are not blocked is under ``min_purity``. Pages decided by a rule are the labelled ones.
     Paths are told apart to ``DEPTH`` segments, deeper ones end in ``/**``; trailing slashes don't count.
+    If ``whole``, to any depth, and a segment is kept by its own support alone, whatever share of its host it has.
 
     Nulls: a null url has an empty host and path and is judged by the share over all pages; a null identifier is
     carried through. Repeated rows are judged alike, each counted. Without any label the purity is 0.5 and
@@ -108,10 +120,10 @@ def filter_urls(
     segments = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, "/"))
     base = materialise(ruled.withColumn("segments", segments), "urls")
 
-    templated = _generalise(base)
+    templated = _generalise(base, whole)
     label = F.col("ruled")
     stats = materialise(templated.groupBy("host", "template").agg(F.count(label).alias("labelled"), F.count(F.when(label == "block", 1)).alias("blocked")), "templates")
-    merged = materialise(_merge_similar(stats), "branches")
+    merged = _merge_similar(stats, whole)
     every = stats.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("every_rate")).withColumn("every_rate", F.coalesce("every_rate", F.lit(0.5)))
     shapes = stats.groupBy("template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).crossJoin(F.broadcast(every))
     shapes = shapes.select("template", ((F.col("b") + STRENGTH * F.col("every_rate")) / (F.col("n") + STRENGTH)).alias("shape_rate"))
@@ -132,4 +144,4 @@ def filter_urls(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    return filter_urls(table(spark, sf_dir, "pages"), whole=True)
