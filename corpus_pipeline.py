@@ -14,8 +14,12 @@ from tessera.llm.shared import materialise, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and those without a letter go."""
+    """Documents whose language can be told; null texts and those without a letter go.
+
+    With no labelled document to learn from, every text with a letter stays."""
     model = language_id.fit_languages(docs.where(~language_id.held_out()))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language_id.identify_languages(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
 
 
