@@ -1,14 +1,14 @@
 """License scans by diagonal voting.
 
-All rolling word k-grams of a text are looked up among those of the templates; hits are joined
-to template positions, and every hit votes for its diagonal (text position less template
-position). Neighbouring diagonals are merged, since an inserted or dropped word moves the rest by
-one, and a span counts once enough of the template's k-grams agree, word for word.
+All rolling word k-grams of all texts are hashed and joined to the template positions that have them.
+Every hit votes for its diagonal (text position less template position). Neighbouring diagonals are
+merged, since an inserted or dropped word moves the rest by one, and a span counts once enough of the
+template's k-grams agree, each by two independent hashes of its words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import materialise, table
-from tessera.llm.shingles import in_chunks, rolling, word_hashes
+from tessera.llm.shingles import SLICE, bodies, finish, in_chunks, long_word_hashes, rolling, word_hashes
 
 PHRASE_K, TEXT_K = 2, 5
 MIN_COVERAGE = 0.75
@@ -73,61 +73,72 @@ _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[0x30:0x3A] = _OUTSIDE[0x61:0x7B] = _OUTSIDE[0x80:] = False
 
 
-def _words(text: str) -> list[str]:
-    body = text.encode()
-    _, starts, ends, _ = word_hashes([body], drop=_OUTSIDE)
-    return [body[a:b].decode().translate(_ASCII_LOWER) for a, b in zip(starts.tolist(), ends.tolist())]
+_OTHER = np.uint64(0xA24BAED4963EE407)
+_KINDS = (PHRASE_K, TEXT_K)
 
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+def _gram_hashes(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every k consecutive words two hashes, of 64 and 32 bits."""
+    return rolling(words, k).view(np.int64), rolling(finish(words + _OTHER), k).astype(np.uint32).view(np.int32)
 
 
-def template_grams(phrases: dict[str, str], notices: dict[str, str]) -> list[tuple[int, str, bool, int, str, int]]:
-    """(template, label, is a phrase, position, gram, number of grams); one row for each k-gram."""
+def template_grams(phrases: dict[str, str], notices: dict[str, str]) -> list[tuple[int, str, int, int, int, int, int]]:
+    """(template, label, k, gram, check, place, number of grams); one row for each k-gram."""
     rows = []
-    for n, (text, label, phrase) in enumerate([(t, x, True) for t, x in phrases.items()] + [(t, x, False) for x, t in notices.items()]):
-        words = _words(text)
-        k = PHRASE_K if phrase else TEXT_K
-        if len(words) < k:
+    for n, (text, label, k) in enumerate([(t, x, PHRASE_K) for t, x in phrases.items()] + [(t, x, TEXT_K) for x, t in notices.items()]):
+        grams, checks = _gram_hashes(word_hashes([text.encode()], drop=_OUTSIDE)[0], k)
+        if not len(grams):
             raise ValueError(f"a template needs {k} words: {text[:40]}")
-        grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
-        rows += [(n, label, phrase, i, g, len(grams)) for i, g in enumerate(grams)]
+        rows += [(n, label, k, g, c, i, len(grams)) for i, (g, c) in enumerate(zip(grams.tolist(), checks.tolist()))]
     return rows
 
 
-def _scanner(grams: set[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows with their word count and those of their k-grams that a template has."""
-    wanted = {}
-    for k in (PHRASE_K, TEXT_K):
-        own = [g.encode() for g in grams if g.count(" ") == k - 1]
-        wanted[k] = np.unique(np.array([rolling(word_hashes([g], drop=_OUTSIDE)[0], k)[0] for g in own], np.uint64))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("body").to_pylist()]
-            for at, chunk in in_chunks(texts):
-                hashes, starts, ends, first = word_hashes(chunk, drop=_OUTSIDE)
-                joined = b" ".join(chunk)
-                hits: list[list] = [[] for _ in chunk]
-                for k, own in wanted.items():
-                    rolled = rolling(hashes, k)
-                    near = np.minimum(np.searchsorted(own, rolled), len(own) - 1) if len(own) else []
-                    for n in np.flatnonzero(own[near] == rolled).tolist() if len(own) else ():
-                        text = int(np.searchsorted(first, n, side="right")) - 1
-                        if n + k > first[text + 1]:
-                            continue
-                        gram = " ".join(joined[a:b].decode("utf-8", "replace").translate(_ASCII_LOWER) for a, b in zip(starts[n : n + k].tolist(), ends[n : n + k].tolist()))
-                        hits[text].append({"position": n - int(first[text]), "gram": gram})
-                rows = range(row, row + len(chunk))
-                row += len(chunk)
-                kind = pa.list_(pa.struct([("position", pa.int64()), ("gram", pa.string())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), batch.column("doc_id")[at : at + len(chunk)], pa.array(np.diff(first), pa.int64()), pa.array(hits, kind)],
-                    names=["row", "doc_id", "n_words", "hits"],
-                )
-
-    return scan
+_GRAM = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("gram", pa.int64()), ("check", pa.int32()), ("position", pa.int64()), ("doc_id", pa.int64())])
+# Stands for a text as a whole; position has its number of words.
+_TEXT = (-1, "", 0, 0, 0, 0, 1)
+
+
+def _rows(row: np.ndarray, k: int, grams: np.ndarray, checks: np.ndarray, position: np.ndarray, doc_id: pa.Array | None = None) -> pa.RecordBatch:
+    n = len(row)
+    ids = pa.nulls(n, pa.int64()) if doc_id is None else doc_id
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.full(n, k, np.int32)), pa.array(grams), pa.array(checks), pa.array(position), ids], schema=_GRAM)
+
+
+def _long_grams(row: int, text: bytes) -> Iterator[pa.RecordBatch]:
+    """The k-grams of one long text, slice by slice; the return value is its number of words."""
+    count, tail = 0, np.empty(0, np.uint64)
+    for hashes in long_word_hashes(text, drop=_OUTSIDE):
+        words = np.concatenate([tail, hashes])
+        for k in _KINDS:
+            own = words[max(0, len(tail) - k + 1) :]
+            grams, checks = _gram_hashes(own, k)
+            yield _rows(np.full(len(grams), row), k, grams, checks, np.arange(len(grams)) + count - min(k - 1, len(tail)))
+        count += len(hashes)
+        tail = words[max(0, len(words) - max(_KINDS) + 1) :]
+    return count
+
+
+def _all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every k-gram of every text, and one for the text itself."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for at, chunk in in_chunks(bodies(batch.column("body"))):
+            rows = np.arange(row, row + len(chunk))
+            row += len(chunk)
+            if len(chunk) == 1 and len(chunk[0]) > SLICE:
+                sizes = np.array([(yield from _long_grams(int(rows[0]), chunk[0]))])
+            else:
+                hashes, first = word_hashes(chunk, drop=_OUTSIDE)
+                sizes = np.diff(first)
+                text = np.repeat(np.arange(len(chunk)), sizes)
+                for k in _KINDS:
+                    grams, checks = _gram_hashes(hashes, k)
+                    n = len(grams)
+                    inside = text[:n] == text[k - 1 :][:n]
+                    position = np.arange(n) - first[text[:n]]
+                    yield _rows(rows[text[:n]][inside], k, grams[inside], checks[inside], position[inside])
+            none = np.zeros(len(chunk), np.int64)
+            yield _rows(rows, 0, none, none.astype(np.int32), sizes, batch.column("doc_id").slice(at, len(chunk)))
 
 
 def scan_licenses(
@@ -146,20 +157,21 @@ def scan_licenses(
     ``score`` is the largest coverage of any template, 1 where a phrase stands, 0 without a hit.
 
     Nulls: a null text has no words; a null identifier is carried through. Rows that repeat
-    an identifier are scanned each for itself. An empty table gives an empty result. Templates must
-    be a bounded list: they are broadcast.
+    an identifier are scanned each for itself. An empty table gives an empty result. A text may be of any
+    length and have any number of hits: it is hashed slice by slice, and hits are rows. Templates must be
+    a bounded list: they are broadcast.
     """
     spark = docs.sparkSession
     grams = template_grams(PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
-    templates = spark.createDataFrame(grams, "template int, label string, phrase boolean, place int, gram string, n_grams int")
+    templates = spark.createDataFrame([_TEXT, *grams], "template int, label string, k int, gram long, check int, place int, n_grams int")
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body"))
-    scanned = materialise(named.mapInArrow(_scanner({g[4] for g in grams}), "row long, doc_id long, n_words long, hits array<struct<position: long, gram: string>>"), "scanned")
-
-    hits = scanned.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
-    votes = hits.join(F.broadcast(templates), "gram").withColumn("diagonal", F.col("position") - F.col("place"))
+    every = named.mapInArrow(_all_grams, "row long, k int, gram long, check int, position long, doc_id long")
+    hits = materialise(every.join(F.broadcast(templates), ["k", "gram", "check"]).drop("gram", "check"), "hits")
+    scanned = hits.where("k = 0").select("row", "doc_id", F.col("position").alias("n_words"))
+    votes = hits.where("k > 0").withColumn("diagonal", F.col("position") - F.col("place"))
 
     places = (
-        votes.where("phrase").groupBy("row", "template", "label", "diagonal").agg(F.count("*").alias("n"), F.max("n_grams").alias("n_grams")).where("n = n_grams")
+        votes.where(F.col("k") == PHRASE_K).groupBy("row", "template", "label", "diagonal").agg(F.count("*").alias("n"), F.max("n_grams").alias("n_grams")).where("n = n_grams")
     )
     base = places.groupBy("row").agg(
         F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set")
@@ -167,7 +179,7 @@ def scan_licenses(
 
     beside = Window.partitionBy("row", "template").orderBy("diagonal", "place")
     banded = (
-        votes.where("not phrase")
+        votes.where(F.col("k") == TEXT_K)
         .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(beside) > MAX_DRIFT).cast("int"))
         .withColumn("band", F.sum(F.coalesce("new", F.lit(0))).over(beside))
     )
@@ -176,8 +188,7 @@ def scan_licenses(
 
     none = F.array().cast("array<string>")
     return (
-        scanned.select("row", "doc_id", "n_words")
-        .join(base, "row", "left")
+        scanned.join(base, "row", "left")
         .join(found, "row", "left")
         .select(
             "doc_id",
