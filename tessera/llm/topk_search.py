@@ -1,15 +1,16 @@
 """Exact top-k search for the largest inner products with dual cover trees.
 
-The top of the tree is a bounded set of pivots. Data and queries are assigned to their nearest
-pivot; each pair of a query node and a data node has an upper bound from the two covering radii,
-and is searched only if that reaches the worst k-th score of the query node, which a first
-pass over each query's own node provides. Inside a task both sides are cover trees again and
-are walked together with the same bound.
+Vectors are dealt to their nearest pivot; a query meets a pivot's vectors only if its inner product
+with the pivot and the pivot's covering radius allow its k-th score. Inside a task queries and data
+stand in one cover tree, which is walked against itself: a pair of nodes is left out if
+its bound from both covering radii is under the worst k-th score of the first node's queries.
+A first pass over each query's own pivot provides those scores.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -22,55 +23,115 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import materialise, table
 
-PIVOTS, DATA_ROWS, QUERY_ROWS = 32, 2048, 1024
-FAN_OUT, LEAF = 8, 256
-_SLACK = 1 + 1e-9
+# The pivots are a sample of about the square root of all rows, of at most so many.
+MOST_PIVOTS = 1024
+# Data and queries that meet in one task, each.
+GROUP_BYTES = 4 << 20
+LEAF = 64
+_SLACK = 1e-9
 
 
 @dataclass
+class Net:
+    """Points in farthest-first order with the distance of each to those before it.
+
+    Those with a distance over 2**i are level i of a cover tree: they lie apart by more than 2**i, and every
+    point is within 2**i of one of them. ``parent`` is the nearest point of the level above a point's own;
+    ``owner`` is, for every row, the nearest point of all.
+    """
+
+    order: np.ndarray
+    distance: np.ndarray
+    level: np.ndarray
+    parent: np.ndarray
+    owner: np.ndarray
+
+
+def build_net(x: np.ndarray, most: int) -> Net:
+    """The net of the rows of ``x`` down to ``most`` points, or to all different ones."""
+    near = np.full(len(x), np.inf)
+    owner = np.zeros(len(x), np.int64)
+    order, distance = [], []
+    at = 0
+    while len(order) < most and (not order or near[at] > 0):
+        order.append(at)
+        distance.append(near[at])
+        d = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+        closer = d < near
+        owner[closer], near[closer] = len(order) - 1, d[closer]
+        at = int(near.argmax())
+    distance[0] = 2 * distance[1] if len(distance) > 1 else 1.0  # the root is one level above all others
+    level = np.ceil(np.log2(distance)).astype(int) - 1
+    if len(level) > 1:
+        level[0] = level[1] + 1
+    parent = np.zeros(len(order), np.int64)
+    points = x[order]
+    for n in range(1, len(order)):
+        above = int(np.searchsorted(-level[:n], -level[n], side="left"))  # levels descend
+        parent[n] = ((points[:above] - points[n]) ** 2).sum(axis=1).argmin()
+    return Net(np.array(order), np.array(distance), level, parent, owner)
+
+
+@dataclass(eq=False)
 class Node:
-    """``rows`` are all rows below; every one is within ``radius`` of ``center``."""
+    """A point at a level with all rows below it; the radii are those of its queries and of its data."""
 
     center: np.ndarray
-    radius: float
-    rows: np.ndarray
+    level: int
+    queries: np.ndarray
+    data: np.ndarray
+    query_radius: float = 0.0
+    data_radius: float = 0.0
     children: list[Node] = field(default_factory=list)
+    parent: Node | None = None
     worst: float = -np.inf
 
 
-def cover_tree(x: np.ndarray, rows: np.ndarray, shrink: float = 1.5) -> Node:
-    """Children are centred on rows that lie apart by more than the shrunk radius, up to ``FAN_OUT``
-    of them; each row goes to the first that covers it, else to the nearest."""
-    center = x[rows[0]]
-    radius = float(np.sqrt(((x[rows] - center) ** 2).sum(axis=1).max()))
-    node = Node(center, radius, rows)
-    if len(rows) <= LEAF or radius == 0:
-        if len(rows) > LEAF:  # one point, many times
-            node.children = [Node(center, 0.0, rows[a : a + LEAF]) for a in range(0, len(rows), LEAF)]
-        return node
-    nearest, owner, reach = np.full(len(rows), np.inf), np.zeros(len(rows), int), radius / shrink
-    at = 0
-    for n in range(FAN_OUT):
-        d = np.sqrt(((x[rows] - x[rows[at]]) ** 2).sum(axis=1))
-        mine = (d < nearest) & ((nearest > reach) | (d == 0))
-        owner[mine], nearest[mine] = n, d[mine]
-        at = int(nearest.argmax())
-        if nearest[at] <= reach:
-            break
-    node.children = [cover_tree(x, part, shrink) for n in range(FAN_OUT) if len(part := rows[owner == n])]
-    if len(node.children) == 1:
-        node.children = [Node(center, radius, rows[a : a + LEAF]) for a in range(0, len(rows), LEAF)]
-    return node
+def cover_tree(x: np.ndarray, n_data: int) -> Node:
+    """One tree over the data (the first ``n_data`` rows of x) and the queries (the others)."""
+    net = build_net(x, max(1, 2 * len(x) // LEAF))
+    by_owner = np.argsort(net.owner, kind="stable")
+    starts = np.searchsorted(net.owner[by_owner], np.arange(len(net.order) + 1))
+    children: list[list[int]] = [[] for _ in net.order]
+    for n in range(1, len(net.order)):
+        children[net.parent[n]].append(n)
+
+    def node(point: int, level: int, rows: np.ndarray, below: list[Node]) -> Node:
+        out = Node(x[net.order[point]], level, rows[rows >= n_data] - n_data, rows[rows < n_data], children=below)
+        far = np.sqrt(((x[rows] - out.center) ** 2).sum(axis=1))
+        out.query_radius = float(far[rows >= n_data].max(initial=0.0))
+        out.data_radius = float(far[rows < n_data].max(initial=0.0))
+        for child in below:
+            child.parent = out
+        return out
+
+    # points come after their parents, so the last ones are finished first
+    done: list[tuple[Node, np.ndarray] | None] = [None] * len(net.order)
+    for point in reversed(range(len(net.order))):
+        rows = by_owner[starts[point] : starts[point + 1]]
+        here = node(point, int(net.level[-1]) - 1, rows, [])
+        for level in sorted({int(net.level[c]) for c in children[point]}):
+            own = [done[c] for c in children[point] if net.level[c] == level]
+            rows = np.concatenate([rows, *[r for _, r in own]])
+            here = node(point, level + 1, rows, [here, *[c for c, _ in own]])
+        done[point] = here, rows
+        for c in children[point]:
+            done[c] = None
+    return done[0][0]
 
 
 def bound(q: np.ndarray, q_radius: float, d: np.ndarray, d_radius: float) -> float:
     """No inner product of a point near q and one near d is larger."""
     lq, ld = float(np.sqrt(q @ q)), float(np.sqrt(d @ d))
-    return (float(q @ d) + lq * d_radius + ld * q_radius + q_radius * d_radius) + (_SLACK - 1) * (lq + q_radius) * (ld + d_radius)
+    return (float(q @ d) + lq * d_radius + ld * q_radius + q_radius * d_radius) + _SLACK * (lq + q_radius) * (ld + d_radius)
 
 
 class DualSearch:
-    """The k best rows of ``data`` for every row of ``queries``; ties go to the smaller identifier."""
+    """The k best rows of ``data`` for every row of ``queries``; ties go to the smaller identifier.
+
+    Rows of equal number are one row and no result for each other. ``floor`` has a score that each
+    query's results must reach.
+    """
 
     def __init__(self, queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, data_rows: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray):
         self.q, self.q_rows, self.d, self.d_rows, self.d_ids, self.k = queries, query_rows, data, data_rows, data_ids, k
@@ -80,52 +141,70 @@ class DualSearch:
         self.scored = 0
 
     def run(self) -> None:
-        root_q, root_d = cover_tree(self.q, np.arange(len(self.q))), cover_tree(self.d, np.arange(len(self.d)))
-        self._refresh(root_q)
+        root = cover_tree(np.concatenate([self.d, self.q]), len(self.d))
+        self._start(root)
         order = 0
-        heap = [(-bound(root_q.center, root_q.radius, root_d.center, root_d.radius), order, root_q, root_d)]
+        heap = [(-bound(root.center, root.query_radius, root.center, root.data_radius), order, root, root)]
         while heap:  # the most promising pair first
             minus, _, q, d = heapq.heappop(heap)
-            if -minus < self._worst(q):
+            if -minus < q.worst:
                 continue
             if not q.children and not d.children:
                 self._base(q, d)
                 continue
-            split_q = q.children and (not d.children or q.radius > d.radius)
+            split_q = q.children and (not d.children or q.query_radius > d.data_radius)
             for a, b in [(c, d) for c in q.children] if split_q else [(q, c) for c in d.children]:
-                if (most := bound(a.center, a.radius, b.center, b.radius)) >= self._worst(a):
+                if len(a.queries) and len(b.data) and (most := bound(a.center, a.query_radius, b.center, b.data_radius)) >= a.worst:
                     order += 1
                     heapq.heappush(heap, (-most, order, a, b))
 
-    def _worst(self, q: Node) -> float:
-        return q.worst
+    def _start(self, q: Node) -> None:
+        q.worst = float(self.floor[q.queries].min(initial=np.inf))
+        for child in q.children:
+            self._start(child)
 
-    def _refresh(self, q: Node) -> float:
-        if q.children:
-            q.worst = min(self._refresh(c) for c in q.children)
-        else:
-            q.worst = float(np.maximum(self.scores[q.rows, -1], self.floor[q.rows]).min())
-        return q.worst
+    def _raise(self, q: Node) -> None:
+        """After better scores in a leaf: its worst one, and those of the nodes above."""
+        worst = float(np.maximum(self.scores[q.queries, -1], self.floor[q.queries]).min(initial=np.inf))
+        at: Node | None = q
+        while at is not None and worst > at.worst:
+            at.worst = worst
+            at = at.parent
+            worst = min(c.worst for c in at.children) if at is not None else worst
 
     def _base(self, q: Node, d: Node) -> None:
-        products = self.q[q.rows] @ self.d[d.rows].T
+        for a in range(0, len(q.queries), 16 * LEAF):
+            for b in range(0, len(d.data), 16 * LEAF):
+                self._score(q.queries[a : a + 16 * LEAF], d.data[b : b + 16 * LEAF])
+        self._raise(q)
+
+    def _score(self, queries: np.ndarray, data: np.ndarray) -> None:
+        products = self.q[queries] @ self.d[data].T
         self.scored += products.size
-        products[self.q_rows[q.rows][:, None] == self.d_rows[d.rows][None, :]] = -np.inf
-        k, wanted = self.k, np.maximum(self.scores[q.rows, -1], self.floor[q.rows])
-        better = np.flatnonzero((products.max(axis=1) >= wanted) & (products.max(axis=1) > -np.inf))
+        products[self.q_rows[queries][:, None] == self.d_rows[data][None, :]] = -np.inf
+        k, wanted, most = self.k, np.maximum(self.scores[queries, -1], self.floor[queries]), products.max(axis=1)
+        better = np.flatnonzero((most >= wanted) & (most > -np.inf))
         if not len(better):
             return
         some = products[better]
         if some.shape[1] > k:  # nothing under a row's own k-th product can count
             wanted[better] = np.maximum(wanted[better], np.partition(some, -k, axis=1)[:, -k])
-        ids = self.d_ids[d.rows]
+        ids = self.d_ids[data]
         for n, at in enumerate(better.tolist()):
-            row, hits = q.rows[at], np.flatnonzero(some[n] >= wanted[at])
+            row, hits = queries[at], np.flatnonzero(some[n] >= wanted[at])
             scores = np.concatenate([self.scores[row], some[n, hits]])
             names = np.concatenate([self.ids[row], ids[hits]])
             best = np.lexsort((names, -scores))[:k]
             self.scores[row], self.ids[row] = scores[best], names[best]
-        q.worst = float(np.maximum(self.scores[q.rows, -1], self.floor[q.rows]).min())
+
+
+def _padded(lists: pa.Array, scale: float, width: int) -> np.ndarray:
+    """floor(scale * x) of lists of numbers, filled up with zeros to ``width``."""
+    sizes = np.diff(np.asarray(lists.offsets))
+    out = np.zeros((len(lists), width))
+    row = np.repeat(np.arange(len(lists)), sizes)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.floor(scale * np.asarray(lists.flatten(), np.float64))
+    return out
 
 
 def _assigner(pivots: np.ndarray, scale: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -136,7 +215,7 @@ def _assigner(pivots: np.ndarray, scale: float) -> Callable[[Iterator[pa.RecordB
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.floor(scale * np.asarray(batch.column("vector").flatten(), np.float64)).reshape(batch.num_rows, -1)
+            x = _padded(batch.column("vector"), scale, pivots.shape[1])
             square = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(axis=1)[None, :], 0)
             near = square.argmin(axis=1)
             far = np.sqrt(((x - pivots[near]) ** 2).sum(axis=1))
@@ -149,6 +228,29 @@ def _assigner(pivots: np.ndarray, scale: float) -> Callable[[Iterator[pa.RecordB
     return assign
 
 
+_ASKED = "pivot int, q_row long, q_id long, q_body binary, least double"
+
+
+def _reach(pivots: np.ndarray, radii: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Queries with every pivot but their own that may have a vector of their k-th score; a radius under 0 has none."""
+    lengths = np.sqrt((pivots**2).sum(axis=1))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q = np.frombuffer(b"".join(batch.column("q_body").to_pylist()), np.float64).reshape(batch.num_rows, -1)
+            long = np.sqrt((q**2).sum(axis=1))[:, None]
+            most = q @ pivots.T + long * radii + _SLACK * long * (lengths + radii)
+            may = (most >= np.asarray(batch.column("least"))[:, None]) & (radii >= 0)
+            may[np.arange(len(q)), np.asarray(batch.column("pivot"))] = False
+            query, pivot = np.nonzero(may)
+            met = batch.take(pa.array(query))
+            yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), *[met.column(c) for c in ("q_row", "q_id", "q_body", "least")]], names=["pivot", "q_row", "q_id", "q_body", "least"])
+
+    return meet
+
+
 def _searcher(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def search(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(queries):
@@ -170,69 +272,46 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
 
     Components become floor(scale * x); scores are their inner products, exact below 2**53. All other rows
     are candidates, those that repeat the query's id too; equal scores go to the smaller id.
-    A null id, a null or empty vector and one with a null or non-finite component take no part, nor do
-    vectors whose length isn't the most frequent one (the larger of equally frequent ones).
-    An empty table gives an empty result.
+    A null id, a null or empty vector and one with a null or non-finite component take no part. Shorter
+    vectors count as filled up with zeros. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     good = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).where(finite)
     good = good.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    length = good.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
-    if length is None:
+    count, width = good.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    good = good.where(F.size("vector") == length["n"])
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(PIVOTS).select("vector").collect()
-    pivots = np.unique(np.floor(scale * np.array([r["vector"] for r in sample])), axis=0)
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(min(MOST_PIVOTS, math.isqrt(count) + 1)).select("vector").collect()
+    pivots = np.unique(_padded(pa.array([r["vector"] for r in sample], pa.list_(pa.float64())), scale, width), axis=0)
     placed = materialise(good.mapInArrow(_assigner(pivots, scale), "row long, vec_id long, body binary, pivot int, distance double"), "vectors")
 
-    # One row for each pivot, so the driver holds the top of both trees.
-    is_query = F.col("vec_id") % every == 0
-    tops = placed.groupBy("pivot").agg(
-        F.count("*").alias("rows"), F.max("distance").alias("radius"), F.count(F.when(is_query, 1)).alias("queries"), F.max(F.when(is_query, F.col("distance"))).alias("query_radius")
-    )
-    tops = {r["pivot"]: r for r in tops.collect()}
-    salts = {p: -(-r["rows"] // DATA_ROWS) for p, r in tops.items()}
-    # Query blocks: small pivots share one, large ones have several.
-    blocks, block, filled = {}, 0, 0
-    for p, r in sorted(tops.items()):
-        if filled and filled + r["queries"] > QUERY_ROWS:
-            block, filled = block + 1, 0
-        n = max(1, -(-r["queries"] // QUERY_ROWS))
-        blocks[p] = (block, n)
-        block, filled = (block, filled + r["queries"]) if n == 1 else (block + n, 0)
-
-    def of_pivot(values: dict[int, int]):
-        return F.element_at(F.create_map(*[F.lit(x).cast("int") for item in sorted(values.items()) for x in item]), F.col("pivot"))
-
-    spread = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
-    data = placed.withColumn("salt", (spread % of_pivot(salts)).cast("int"))
-    queries = placed.where(is_query).withColumn("block", (of_pivot({p: b for p, (b, _) in blocks.items()}) + spread % of_pivot({p: n for p, (_, n) in blocks.items()})).cast("int"))
-    queries = queries.select(F.col("row").alias("q_row"), F.col("vec_id").alias("q_id"), F.col("body").alias("q_body"), F.col("pivot").alias("own"), "block")
-
-    def searched(pairs: list[tuple[int, int]], asked: DataFrame) -> DataFrame:
-        """pairs: (own pivot of queries, pivot of data); asked has the score that a result must reach."""
-        pair = F.broadcast(spark.createDataFrame(pairs or [(-1, -1)], "own int, pivot int"))
-        met = asked.join(pair, "own").withColumn("salt", F.explode(F.sequence(F.lit(0), of_pivot(salts) - 1)))
-        keys = ["pivot", "salt", "block"]
-        called = F.broadcast(spark.createDataFrame(sorted({(p, b) for o, p in pairs for b in range(blocks[o][0], blocks[o][0] + blocks[o][1])}) or [(-1, -1)], "pivot int, block int"))
-        sides = data.join(called, "pivot").select(*keys, "row", "vec_id", "body").groupBy(*keys).cogroup(met.select(*keys, "q_row", "q_id", "q_body", "least").groupBy(*keys))
+    # One row for each pivot.
+    tops = materialise(placed.groupBy("pivot").agg(F.count("*").alias("rows"), F.max("distance").alias("radius")), "pivots")
+    radii = np.full(len(pivots), -1.0)
+    for top in tops.collect():
+        radii[top["pivot"]] = top["radius"]
+    group_rows = max(LEAF, GROUP_BYTES // (8 * width))
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """asked: queries with a pivot to search and the score that a result must reach."""
+        groups = lambda n: F.ceil(F.col(n) / group_rows).cast("int")
+        plan = tops.join(asked.groupBy("pivot").agg(F.count("*").alias("queries")), "pivot")
+        plan = F.broadcast(materialise(plan.select("pivot", groups("rows").alias("salts"), groups("queries").alias("blocks")), "plan"))
+        spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n).cast("long")).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        data = placed.join(plan, "pivot").select("pivot", spread("row", "salts").alias("salt"), each("blocks").alias("block"), "row", "vec_id", "body")
+        met = asked.join(plan, "pivot").select(F.col("pivot").alias("q_pivot"), each("salts").alias("q_salt"), spread("q_row", "blocks").alias("q_block"), "q_row", "q_id", "q_body", "least")
+        sides = data.groupBy("pivot", "salt", "block").cogroup(met.groupBy("q_pivot", "q_salt", "q_block"))
         return materialise(sides.applyInPandas(_searcher(k), _FOUND), "found")
 
-    asking = [p for p, r in tops.items() if r["queries"]]
-    first = searched([(p, p) for p in asking], queries.withColumn("least", F.lit(float("-inf"))))
+    queries = placed.where(F.col("vec_id") % every == 0).select("pivot", F.col("row").alias("q_row"), F.col("vec_id").alias("q_id"), F.col("body").alias("q_body"))
+    first = searched(queries.withColumn("least", F.lit(float("-inf"))))
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select(F.col("row").alias("q_row"), F.col("score").alias("kth"))
-    asked = materialise(queries.join(kth, "q_row", "left").select("q_row", "q_id", "q_body", "own", "block", F.coalesce("kth", F.lit(float("-inf"))).alias("least")), "asked")
-    worst = {r["own"]: r["worst"] for r in asked.groupBy("own").agg(F.min("least").alias("worst")).collect()}
-    rest = [
-        (o, p)
-        for o in asking
-        for p, r in tops.items()
-        if o != p and bound(pivots[o], tops[o]["query_radius"], pivots[p], r["radius"]) >= worst[o]
-    ]
-    every_one = first.unionByName(searched(rest, asked))
-    ranked = every_one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    asked = queries.join(kth, "q_row", "left").withColumn("least", F.coalesce("kth", F.lit(float("-inf"))))
+    rest = searched(materialise(asked.mapInArrow(_reach(pivots, radii), _ASKED), "asked"))
+    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
 
 
