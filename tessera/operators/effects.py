@@ -18,7 +18,7 @@ TURBO = (
 
 
 def gradient_noise(x: Column, y: Column) -> Column:
-    """A dither value in [0, 1) for a pixel."""
+    """A dither value in [0, 1) for a pixel; its numbers are fixed values."""
     inner = x * 0.06711056 + y * 0.00583715
     outer = (inner - F.floor(inner)) * 52.9829189
     return outer - F.floor(outer)

@@ -77,12 +77,13 @@ def srgb_encode(x: Column) -> Column:
 
 
 def pq_encode(x: Column) -> Column:
-    """ST 2084 of linear light with 1 at 10,000 nits."""
+    """ST 2084 of linear light with 1 at 10,000 nits; its numbers are fixed values."""
     p = F.pow(F.greatest(x, F.lit(0.0)), 2610 / 16384)
     return F.pow((p * (2413 / 4096 * 32) + 3424 / 4096) / (p * (2392 / 4096 * 32) + 1), 2523 / 4096 * 128)
 
 
 def film(x: Column) -> Column:
+    """A fitted film curve; its numbers are fixed values."""
     return clamp(x * (x * 2.51 + 0.03) / (x * (x * 2.43 + 0.59) + 0.14))
 
 
@@ -126,7 +127,7 @@ def fx_color_grade_simple(exposure: float = 0.2, contrast: float = 1.1, saturati
 
 
 def fx_bloom_threshold(threshold: float = 0.45) -> Rgb:
-    return source().each(lambda c: F.when(dot(source(), LUMA_709) > threshold, c).otherwise(0.0))
+    return source().each(lambda c: F.when(dot(source(), LUMA_AP1) > threshold, c).otherwise(0.0))
 
 
 def fx_anamorphic_threshold(threshold: float = 0.6) -> Rgb:
@@ -158,26 +159,6 @@ POINT_KERNELS = {
 }
 
 
-def odt_acescg_to_rec709(frames: DataFrame) -> DataFrame:
-    """The viewing transform: soft highlights and reds, a fitted curve, gamut, gamma. Each step is a
-    projection of its own, so that its terms are computed once."""
-    p = source()
-    luma = dot(p, LUMA_709)
-    q = frames.withColumn("luma", luma).withColumn("high", smoothstep(1.0, 4.0, F.greatest("luma", F.lit(0.0))) * 0.12)
-    q = q.withColumns({c: mix(F.col(c), F.col("luma"), F.col("high")) for c in "rgb"})
-    q = q.withColumn("spread", F.sqrt(sum((F.pow(F.col(c) - F.col("luma"), 2) for c in "rgb"), F.lit(0.0))))
-    q = q.withColumn("pull", smoothstep(0.0, 0.25, F.col("r") - F.greatest("g", "b")) * smoothstep(0.03, 0.25, F.col("spread")) * 0.06)
-    q = q.withColumn("r", mix(F.col("r"), F.col("luma"), F.col("pull")))
-
-    def curve(c: str) -> Column:
-        x = F.greatest(F.col(c), F.lit(0.0))
-        return (x * (x + 0.0245786) - 0.000090537) / (x * (x * 0.983729 + 0.4329510) + 0.238081)
-
-    q = q.withColumns({c: curve(c) for c in "rgb"})
-    q = q.withColumns(dict(zip("rgb", (clamp(c) for c in matrix(source(), ACESCG_TO_REC709)))))
-    return q.withColumns({c: clamp(srgb_encode(F.col(c))) for c in "rgb"}).drop("luma", "high", "spread", "pull")
-
-
 # Generators need no input.
 def grid(spark: SparkSession, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
@@ -231,13 +212,7 @@ def face_mask(faces: DataFrame, spark: SparkSession, width: int = 16, height: in
     return each.groupBy("pos", "x", "y").agg(F.max(1 - smoothstep(0.5, 1.5, dx * dx + dy * dy)).alias("mask"))
 
 
-# Two frames.
-def beside(frames: DataFrame, step: int = 1) -> DataFrame:
-    """Every frame with the channels (r2, g2, b2) of the frame ``step`` later."""
-    other = frames.select((F.col("frame") - step).alias("frame"), "x", "y", *[F.col(c).alias(c + "2") for c in "rgb"])
-    return frames.join(other, ["frame", "x", "y"])
-
-
+# Two frames, the second with channels r2, g2, b2.
 def second() -> Rgb:
     return Rgb(F.col("r2"), F.col("g2"), F.col("b2"))
 

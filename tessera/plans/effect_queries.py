@@ -37,7 +37,7 @@ for _name, _kernel in E.POINT_EFFECTS.items():
 
 @query("px_bloom_composite", PAIR + _select([f"{c} + {c}2 * 0.5 + ({NOISE} - 0.5) / 255" for c in RGB], "two"))
 def bloom_composite(spark, d):
-    return rounded(P.put(P.beside(V.pixels(spark, d)), E.bloom_composite()).drop("r2", "g2", "b2"))
+    return rounded(P.put(V.pixel_neighbours(spark, d, 2), E.bloom_composite()).drop("r2", "g2", "b2"))
 
 
 def _tent(c, side):

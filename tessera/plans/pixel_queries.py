@@ -44,6 +44,7 @@ def _smooth(a, b, x):
 
 
 L709 = "(0.2126 * r + 0.7152 * g + 0.0722 * b)"
+LAP1 = "(0.2722287 * r + 0.6740818 * g + 0.0536895 * b)"
 RGB = ["r", "g", "b"]
 CDL = [f"power(greatest({c} * 1.1 - 0.02, 0), 0.9)" for c in RGB]
 GRADE = [f"(0.5 * (1 - 1.1) + {c} * {2**0.2} * 1.1)" for c in RGB]
@@ -62,7 +63,7 @@ POINT_SQL = {
     "fx_tonemap_aces": _select([f"power({_film(e)}, {1 / 2.2})" for e in _mat(P.ACESCG_TO_REC709, EXPOSED)]),
     "fx_color_grade_simple": f", c AS (SELECT frame, x, y, {GRADE[0]} AS r, {GRADE[1]} AS g, {GRADE[2]} AS b FROM pixels)"
     + _select([f"({L709} * 0.1 + r * 0.9) + 0.03", f"({L709} * 0.1 + g * 0.9) - 0.02", f"({L709} * 0.1 + b * 0.9) - 0.03"], "c"),
-    "fx_bloom_threshold": _select([f"CASE WHEN {L709} > 0.45 THEN {c} ELSE 0 END" for c in RGB]),
+    "fx_bloom_threshold": _select([f"CASE WHEN {LAP1} > 0.45 THEN {c} ELSE 0 END" for c in RGB]),
     "fx_anamorphic_threshold": _select([f"CASE WHEN greatest(r, g, b) > 0.6 THEN {c} ELSE 0 END" for c in RGB]),
     "watermark_diagonal_stripes": _select([f"CASE WHEN (x + y) % 5 < 2 THEN {c} * 0.825 ELSE {c} END" for c in RGB]),
     "pq_output": _select([PQ.format(x=f"({c} * 0.1)") for c in RGB]),
@@ -78,22 +79,19 @@ def _mix(a, b, t):
     return f"({a} * (1 - {t}) + {b} * {t})"
 
 
-ODT = V.ctes("pixels") + f""", l AS (SELECT frame, x, y, r, g, b, {L709} AS luma FROM pixels), h AS (SELECT *, 0.12 * {_smooth(1.0, 4.0, 'greatest(luma, 0)')} AS hi FROM l),
-  d AS (SELECT frame, x, y, luma, {', '.join(f'{_mix(c, "luma", "hi")} AS {c}' for c in RGB)} FROM h),
-  s AS (SELECT *, 0.06 * {_smooth(0.0, 0.25, 'r - greatest(g, b)')} * {_smooth(0.03, 0.25, 'sqrt(power(r - luma, 2) + power(g - luma, 2) + power(b - luma, 2))')} AS pull FROM d),
-  m AS (SELECT frame, x, y, {_mix('r', 'luma', 'pull')} AS r, g, b FROM s),
-  c AS (SELECT frame, x, y, {', '.join(f'(greatest({c}, 0) * (greatest({c}, 0) + 0.0245786) - 0.000090537) / (greatest({c}, 0) * (0.983729 * greatest({c}, 0) + 0.4329510) + 0.238081) AS {c}' for c in RGB)} FROM m),
-  k AS (SELECT frame, x, y, {', '.join(f'{_clamp(e)} AS {c}' for c, e in zip(RGB, _mat(P.ACESCG_TO_REC709, RGB)))} FROM c)""" + _select(
-    [f"CASE WHEN {c} <= 0.0031308 THEN 12.92 * {c} ELSE 1.055 * power({c}, {1 / 2.4}) - 0.055 END" for c in RGB], "k"
-)
+_UNIT = {"r": "0.5 + {e} * 2", "g": "0.45 + {e}", "b": "0.4 - {e}"}
 
 
-@query("px_odt_acescg_to_rec709", ODT)
-def odt_acescg_to_rec709(spark, d):
-    return rounded(P.odt_acescg_to_rec709(V.pixels(spark, d)))
+def frames_beside(n: int) -> str:
+    """``many``: every frame's pixels with those of the next ones, channels r, g, b, r2, g2, b2, r3..."""
+    joins = " ".join(f"JOIN v v{k} ON v{k}.frame = v1.frame + {k - 1}" for k in range(2, n + 1))
+    values = ", ".join(f"{_clamp(e.format(e=f'e{k}[i + 1]'))} AS {c}{k if k > 1 else ''}" for k in range(1, n + 1) for c, e in _UNIT.items())
+    return f"""WITH v AS (SELECT vec_id AS frame, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings),
+      together AS (SELECT v1.frame, {', '.join(f'v{k}.e AS e{k}' for k in range(1, n + 1))} FROM v v1 {joins}),
+      many AS (SELECT frame, (i % 8)::INTEGER AS x, (i // 8)::INTEGER AS y, {values} FROM (SELECT *, unnest(range(0, 64)) AS i FROM together) u)"""
 
 
-PAIR = V.ctes("pixels") + ", two AS (SELECT a.frame, a.x, a.y, a.r, a.g, a.b, c.r AS r2, c.g AS g2, c.b AS b2 FROM pixels a JOIN pixels c ON c.frame = a.frame + 1 AND c.x = a.x AND c.y = a.y)"
+PAIR = frames_beside(2) + ", two AS (SELECT * FROM many)"
 FALL = f"(1 - {_smooth(0.3, 1.0, 'sqrt(power((x + 0.5) / 8 - 0.5, 2) + power((y + 0.5) / 8 - 0.5, 2)) * 2')})"
 TWO_SQL = {
     "crossfade": [f"{c} * 0.7 + {c}2 * 0.3" for c in RGB],
@@ -105,7 +103,7 @@ TWO_SQL = {
 }
 for _name, _kernel in P.TWO_FRAME_KERNELS.items():
     query("px_" + _name, PAIR + _select(TWO_SQL[_name], "two"))(
-        lambda spark, d, k=_kernel: rounded(P.put(P.beside(V.pixels(spark, d)), k()).drop("r2", "g2", "b2"))
+        lambda spark, d, k=_kernel: rounded(P.put(V.pixel_neighbours(spark, d, 2), k()).drop("r2", "g2", "b2"))
     )
 
 

@@ -141,6 +141,22 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pixel_neighbours(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Every frame's pixels with those of the next ``n`` - 1 frames: r, g, b, r2, g2, b2... Whole frames are
+    joined before they are laid out in pixels."""
+    whole = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = whole.select(F.col("vec_id").alias("frame"), F.col("embedding").alias("e1"))
+    for k in range(2, n + 1):
+        out = out.join(whole.select((F.col("vec_id") - (k - 1)).alias("frame"), F.col("embedding").alias(f"e{k}")), "frame")
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    each = out.select("frame", F.posexplode(F.arrays_zip(*[f"e{k}" for k in range(1, n + 1)])).alias("i", "v"))
+    channels = []
+    for k in range(1, n + 1):
+        v, name = F.col(f"v.e{k}").cast("double"), str(k) if k > 1 else ""
+        channels += [unit(0.5 + v * 2).alias("r" + name), unit(0.45 + v).alias("g" + name), unit(0.4 - v).alias("b" + name)]
+    return each.select("frame", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), *channels)
+
+
 SQL["pixels"] = """pixels AS (SELECT vec_id AS frame, (i % 8)::INTEGER AS x, (i // 8)::INTEGER AS y, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5 + v * 2)) AS r,
     least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.45 + v)) AS g, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.4 - v)) AS b
     FROM (SELECT vec_id, k AS i, embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS k) n) e)"""
