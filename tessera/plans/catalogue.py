@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import aggregate_queries, effect_queries, fold_queries, grading_queries, pixel_queries, scalar_queries, temporal_queries, timeline_queries
+from tessera.plans import aggregate_queries, effect_queries, fold_queries, grading_queries, pixel_queries, procedural_queries, scalar_queries, stencil_queries, temporal_queries, timeline_queries
 from tessera.sources import views as V
 
-MODULES = [temporal_queries, aggregate_queries, pixel_queries, scalar_queries, fold_queries, effect_queries, grading_queries, timeline_queries]
+MODULES = [temporal_queries, aggregate_queries, pixel_queries, scalar_queries, fold_queries, effect_queries, grading_queries, procedural_queries, stencil_queries, timeline_queries]
 ROLES = ("samples", "faces", "words", "segments")
 #: Queries on these views that have no SQL.
 UNWRITTEN = ("sticky_speaker", "one_to_one_bindings", "normalised_cues", "pink_noise")
