@@ -26,3 +26,11 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
         if jumped.where("old <> label").isEmpty():
             return labels
+
+
+def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after more links (a, b) between those nodes."""
+    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias("label_" + c)) for c in "ab")
+    between = links.join(a, "a").join(b, "b").where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    return materialise(labels.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "labels")

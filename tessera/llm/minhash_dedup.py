@@ -6,12 +6,14 @@ them, its key the i-th of the first with the j-th of the second: TABLES**2 table
 confirmed on whole shingle sets.
 
 At a similarity of 0.75 a link is missed by all tables with a probability of about 4e-5
-(2 * (1 - 0.75**3)**20); components join most of those by other links.
+(2 * (1 - 0.75**3)**20); components join most of those by other links. No candidate is
+dropped on a sketch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.components import components
+from tessera.llm.components import components, merge_components
 from tessera.llm.shared import materialise, table
-from tessera.llm.shingles import finish, in_chunks, shingle_sets
+from tessera.llm.shingles import bodies, finish, in_chunks, shingle_sets
 
 TABLES, ROWS, SHINGLE = 20, 3, 5
 _HASHES = 2 * TABLES * ROWS
 _FACTORS = np.random.default_rng(8).integers(1, 2**63, _HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-# Of two bits of each minhash, texts of similarity 0.75 differ in 30 with a deviation of 6.1.
-MOST_BITS = 63
 PERCENT = 75
+_SIZE_STEP = 1.1
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -44,8 +45,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     longs = pa.list_(pa.int64())
     for batch in batches:
-        texts = [t or b"" for t in batch.column("body").to_pylist()]
-        for at, chunk in in_chunks(texts, 1 << 18):
+        for at, chunk in in_chunks(bodies(batch.column("body"))):
             sets = list(shingle_sets(chunk, SHINGLE))
             full = [s for s in sets if len(s)]
             if full:
@@ -53,113 +53,138 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = mins[:, 0::ROWS].copy()
                 for r in range(1, ROWS):
                     keys = finish(keys * np.uint64(3) + mins[:, r::ROWS])
-                two = ((mins[:, :, None] >> np.array([7, 23], np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(len(full), -1)
-                bits = np.packbits(np.pad(two, ((0, 0), (0, -two.shape[1] % 64))), axis=1).view(np.int64)
                 keys = keys.view(np.int64)
             rows, n = [], 0
             for s in sets:
                 if len(s):
-                    rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys[n, :TABLES].tolist(), keys[n, TABLES:].tolist(), bits[n].tolist()))
+                    rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys[n, :TABLES].tolist(), keys[n, TABLES:].tolist()))
                     n += 1
                 else:
-                    rows.append((None, None, None, None))
-            digest, first, second, bit = zip(*rows)
+                    rows.append((None, None, None))
+            digest, first, second = zip(*rows)
+            own = batch.slice(at, len(chunk))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[at : at + len(chunk)], pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(first, longs), pa.array(second, longs), pa.array(bit, longs)],
-                names=["doc_id", "n_shingles", "digest", "first", "second", "bits"],
+                [own.column("doc_id"), own.column("uid"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(first, longs), pa.array(second, longs)],
+                names=["doc_id", "uid", "n_shingles", "digest", "first", "second"],
             )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or b"" for t in batch.column("body").to_pylist()]
-        for at, chunk in in_chunks(texts):
+        for at, chunk in in_chunks(bodies(batch.column("body"))):
             sets = [s.tobytes() for s in shingle_sets(chunk, SHINGLE)]
-            yield pa.RecordBatch.from_arrays([batch.column("node")[at : at + len(chunk)], pa.array(sets, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(chunk)), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their whole sets: whether they are links, how similar they are, which of a's
-    shingles b has (as bits) and what else b has."""
+def _shared_part(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each pair of sets: the first, the second, and which of the first's members the second has."""
+    for one, two in zip(batch.column("set_a"), batch.column("set_b")):
+        x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
+        yield x, y, y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+def _is_link(both: int, x: int, y: int) -> bool:
+    return 100 * both >= PERCENT * (x + y - both)
+
+
+_COMPARED = "a long, b long, link boolean, both long, hub_bits array<long>, rest array<long>"
+
+
+def _compare_with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of a hub and a node: whether they are linked, which of the hub's shingles the node has
+    (how many and as bits), and what else it has."""
     longs = pa.list_(pa.int64())
     for batch in batches:
-        link, share, bits, rest = [], [], [], []
-        for one, two in zip(batch.column("set_a"), batch.column("set_b")):
-            x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-            has = np.isin(x, y, assume_unique=True)
+        link, count, bits, rest = [], [], [], []
+        for x, y, has in _shared_part(batch):
             both = int(has.sum())
-            link.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            share.append(both / max(1, len(x) + len(y) - both))
+            link.append(_is_link(both, len(x), len(y)))
+            count.append(both)
             bits.append(np.packbits(np.pad(has, (0, -len(x) % 64))).view(np.int64).tolist())
             rest.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(share, pa.float64()), pa.array(bits, longs), pa.array(rest, longs)],
-            names=["a", "b", "link", "share", "hub_bits", "rest"],
+            [batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(count, pa.int64()), pa.array(bits, longs), pa.array(rest, longs)],
+            names=["a", "b", "link", "both", "hub_bits", "rest"],
         )
 
 
-def _links_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _confirm(batches):
-        yield batch.filter(batch.column("link")).select(["a", "b"])
-
-
-_SKETCH = ("n_shingles", "bits", "first", "second", "hub", "hub_bits", "shared")
-
-
 def _first_shared(keys: str) -> Column:
     """Position, from 1, of the first key that both sides of a pair have."""
     return F.array_position(F.zip_with("x_" + keys, "y_" + keys, lambda x, y: x == y), True)
 
 
-def _may_link(x: str, y: str) -> Column:
-    """Sizes that differ too much rule a link out; bits that do leave it no chance worth naming."""
-    words = -(-2 * _HASHES // 64)
-    apart = sum((F.bit_count(F.col(x + "bits")[n].bitwiseXOR(F.col(y + "bits")[n])) for n in range(words)), F.lit(0))
-    few, many = F.least(x + "n_shingles", y + "n_shingles"), F.greatest(x + "n_shingles", y + "n_shingles")
-    return (few * 100 >= many * PERCENT) & (apart <= MOST_BITS)
-
-
-def _with_sets(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that may be links, with both whole sets."""
-    x = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("x_n_shingles"), F.col("bits").alias("x_bits"))
-    y = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("y_n_shingles"), F.col("bits").alias("y_bits"))
-    close = materialise(pairs.join(x, "a").join(y, "b").where(_may_link("x_", "y_")).select("a", "b"), "close_pairs")
-    full = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return full.select("a", "b", "set_a", "set_b")
-
-
-def _near_hub(tested: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes with the hub most like them, which of its shingles they have, and those of their
-    other shingles that another node of that hub has too."""
-    best = tested.groupBy("b").agg(F.max_by(F.struct("a", "hub_bits", "rest"), F.struct("share", "a")).alias("m"))
-    best = materialise(best.select(F.col("b").alias("node"), F.col("m.a").alias("hub"), "m.hub_bits", "m.rest"), "near_hub")
-    others = best.select("node", "hub", F.explode("rest").alias("shingle"))
-    common = others.groupBy("hub", "shingle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = others.join(common, ["hub", "shingle"], "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("shared"))
-    none = F.array().cast("array<long>")
-    return nodes.join(best.drop("rest"), "node", "left").join(shared, "node", "left").withColumn("shared", F.coalesce("shared", none))
-
-
-def _within_reach() -> Column:
-    """False where two nodes of one hub are no link: they have in common the hub's shingles that both have
-    and what their others have in common. Nodes of different hubs are left to their whole sets."""
-    ands = F.zip_with("x_hub_bits", "y_hub_bits", lambda x, y: F.bit_count(x.bitwiseAND(y)))
-    most = F.aggregate(ands, F.lit(0), lambda s, n: s + n) + F.size(F.array_intersect("x_shared", "y_shared"))
-    enough = most * 100 >= (F.col("x_n_shingles") + F.col("y_n_shingles") - most) * PERCENT
-    return F.when(F.col("x_hub") == F.col("y_hub"), enough).otherwise(True)
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both whole sets."""
+    # a hub has many pairs, so its set comes last and is moved once
+    full = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    return full.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
 
 
 def _shared_keys(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (key, node, hub) for every table key that at least two nodes share, hub being its smallest node; and
     rows (node, i, part) for every key of the first collection that at least two share."""
     first = nodes.select("node", F.posexplode("first").alias("i", "part"))
-    many = first.groupBy("i", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    many = materialise(first.groupBy("i", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "many")
     # a key of the second collection can only be shared where the first one is
     halves = materialise(first.join(many, ["i", "part"], "left_semi"), "halves")
     both = halves.join(nodes.select("node", "second"), "node").select("node", "i", "part", F.posexplode("second").alias("j", "other"))
     keyed = materialise(both.select(F.xxhash64("i", "j", "part", "other").alias("key"), "node"), "keys")
-    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
-    return materialise(keyed.join(hubs, "key"), "members"), halves
+    smallest = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n"), "smallest")
+    return materialise(keyed.join(smallest, "key"), "members"), halves
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Rows (i, part, largest): keys of the first collection whose nodes have several labels, with the most frequent one."""
+    sizes = labelled.groupBy("i", "part", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("i", "part").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("apart"))
+    return materialise(largest.where("apart > 1").drop("apart"), "mixed_keys")
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(_SIZE_STEP)).cast("int")
+
+
+def _links_across(mixed: DataFrame, compared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different labels that share a table key.
+
+    All nodes of a mixed key were compared with one hub. What two of them have in common is what both
+    have of the hub, and what both have besides, which is among the shingles that several nodes of the
+    hub have besides. That gives the intersection of any two without their sets, and bounds the sizes
+    of a node's partners, so a node meets only those of sizes that it can be linked to.
+    """
+    needed = materialise(mixed.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "needed")
+    known = materialise(compared.join(needed, ["a", "b"], "left_semi").drop("link"), "known")
+    others = known.select("a", "b", F.explode("rest").alias("shingle"))
+    common = materialise(others.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "common")
+    shared = materialise(others.join(common, ["a", "shingle"], "left_semi").groupBy("a", "b").agg(F.collect_list("shingle").alias("shared")), "shared")
+    placed = known.drop("rest").join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
+    codes = [F.transform(c, lambda x: F.shiftright(x, 32).cast("int")).alias(c) for c in ("first", "second")]
+    placed = placed.withColumnsRenamed({"a": "hub", "b": "node"}).join(nodes.select("node", F.col("n_shingles").alias("n"), *codes), "node")
+    # a link needs 100 * both >= PERCENT * (x + y - both), and both is at most this
+    most = F.col("both") + F.size("shared")
+    placed = placed.withColumn("reach", F.floor((100 + PERCENT) * most / PERCENT) - F.col("n")).where(F.col("reach") >= F.floor(F.col("n") * PERCENT / 100))
+    placed = materialise(placed, "placed")
+
+    sketch = ("node", "label", "n", "reach", "first", "second", "hub_bits", "shared")
+    ready = mixed.join(placed, ["hub", "node"])
+    outside = ready.where("label <> largest").select("i", "part", *[F.col(c).alias("x_" + c) for c in sketch])
+    of_largest = (F.col("label") == F.col("largest")).alias("y_largest")
+    inside = ready.select("i", "part", of_largest, *[F.col(c).alias("y_" + c) for c in sketch], _size_class(F.col("n")).alias("size_class"))
+    least, greatest = F.greatest(F.lit(1), F.floor(F.col("x_n") * PERCENT / 100)), F.least(F.col("x_reach"), F.ceil(F.col("x_n") * 100 / PERCENT))
+    outside = outside.withColumn("size_class", F.explode(F.sequence(_size_class(least), _size_class(F.greatest(least, greatest)))))
+    ands = F.zip_with("x_hub_bits", "y_hub_bits", lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    both = F.aggregate(ands, F.lit(0), lambda s, n: s + n) + F.size(F.array_intersect("x_shared", "y_shared"))
+    met = (
+        (F.col("x_label") != F.col("y_label"))
+        & (F.col("y_largest") | (F.col("x_node") < F.col("y_node")))
+        & (F.col("y_n") <= F.col("x_reach"))
+        & (F.col("x_n") <= F.col("y_reach"))
+        # of the first keys that a pair shares only one gives it, and with one of the second it is a table's key
+        & (_first_shared("first") == F.col("i") + 1)
+        & (_first_shared("second") > 0)
+        & (both * 100 >= (F.col("x_n") + F.col("y_n") - both) * PERCENT)
+    )
+    return outside.join(inside, ["i", "part", "size_class"]).where(met).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,49 +194,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct five-word shingles, or with fewer words all of them as one. Documents are linked if
     100 * intersection >= 75 * union; component_id is the smallest identifier that links reach.
 
-    Equal sets are one node from the start. Every key's nodes are first compared to its smallest
-    one; after that, only nodes of a key that are still in different components are
-    compared, so a group of thousands of copies costs about one comparison each.
+    Equal sets are one node from the start. All nodes of a key are compared to one representative, which
+    costs one comparison for each member. From these follow the intersections of all other pairs of
+    the key, and only real links between components become rows.
 
     Nulls: a null or wordless text has no shingles, is linked to nothing and is its own component;
     a null identifier has a null component_id and is kept. Rows that repeat an identifier each get
-    the component of their own text. An empty table gives an empty result.
+    the component of their own text. An empty table gives an empty result. Texts may be of any length.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body"))
-    sketches = materialise(named.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>, bits array<long>"), "sketches")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body")).withColumn("uid", F.xxhash64("body"))
+    sketches = materialise(named.mapInArrow(_sketch, "doc_id long, uid long, n_shingles long, digest binary, first array<long>, second array<long>"), "sketches")
     linkable = sketches.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialise(linkable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"), F.first("second").alias("second"), F.first("bits").alias("bits")), "classes")
-    members, halves = _shared_keys(classes)
-    involved = materialise(members.select("node").distinct(), "involved")
-    codes = [F.transform(c, lambda x: F.shiftright(x, 32).cast("int")).alias(c) for c in ("first", "second")]
-    nodes = materialise(classes.select("node", "n_shingles", "bits", *codes).join(involved, "node", "left_semi"), "nodes")
-    sets = materialise(named.withColumnRenamed("doc_id", "node").join(involved, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary"), "sets")
-
-    stars = materialise(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    tested = materialise(_with_sets(stars, nodes, sets).mapInArrow(_confirm, "a long, b long, link boolean, share double, hub_bits array<long>, rest array<long>"), "tested")
-    links = tested.where("link").select("a", "b")
-    labels = components(links)
-
-    # What is still apart: everything outside the largest component of a first key against all of it. Pairs
-    # must share a key of the second collection too, which makes it a table's key, and of the first keys
-    # that a pair shares only the first gives it.
-    labelled = materialise(halves.join(involved, "node", "left_semi").join(labels, "node", "left").select("i", "part", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    sizes = labelled.groupBy("i", "part", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("i", "part").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("apart")).where("apart > 1").drop("apart")
-    mixed = materialise(labelled.join(largest, ["i", "part"]).join(materialise(_near_hub(tested, nodes), "placed"), "node"), "mixed")
-    outside = mixed.where("label <> largest").select("i", "part", *[F.col(c).alias("x_" + c) for c in ("node", "label", *_SKETCH)])
-    inside = mixed.select("i", "part", *[F.col(c).alias("y_" + c) for c in ("node", "label", *_SKETCH)])
-    of_table = (_first_shared("first") == F.col("i") + 1) & (_first_shared("second") > 0)
-    apart = outside.join(inside, ["i", "part"]).where((F.col("x_label") != F.col("y_label")) & _may_link("x_", "y_") & of_table & _within_reach())
-    apart = apart.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    untested = materialise(apart.join(stars, ["a", "b"], "left_anti"), "apart")
-    rest = materialise(_with_sets(untested, nodes, sets).mapInArrow(_links_only, "a long, b long"), "rest")
-
-    final = components(links.union(rest))
-    by_digest = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
-    placed = sketches.join(by_digest, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")
-    )
+    one = F.min(F.struct("doc_id", "uid")).alias("one")
+    classes = materialise(linkable.groupBy("digest").agg(one, *[F.first(c).alias(c) for c in ("n_shingles", "first", "second")]), "classes")
+    # nodes are numbered by their smallest identifier
+    in_order = classes.repartitionByRange("one", "digest").sortWithinPartitions("one", "digest")
+    nodes = materialise(in_order.select(F.monotonically_increasing_id().alias("node"), "one.doc_id", "one.uid", "digest", "n_shingles", "first", "second"), "nodes")
+    members, halves = _shared_keys(nodes)
+    involved = materialise(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "uid"), "involved")
+    # Those in need of a set grow with the documents, so they are never broadcast; rows that repeat
+    # identifier and text give one set.
+    wanted = named.join(involved.hint("merge"), ["doc_id", "uid"]).groupBy("doc_id", "uid").agg(F.first("node").alias("node"), F.first("body").alias("body"))
+    sets = materialise(wanted.select("node", "body").mapInArrow(_sets, "node long, shingles binary"), "sets")
+
+    # a key's hub is the node that is the smallest one of most tables' keys
+    degree = members.groupBy(F.col("hub").alias("node")).agg(F.count("*").alias("n"))
+    own = materialise(halves.join(involved.select("node"), "node").join(degree, "node", "left").withColumn("n", F.coalesce("n", F.lit(0))), "own_keys")
+    hubs = own.groupBy("i", "part").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("hub"), F.count("*").alias("several")).where("several > 1").drop("several")
+    hubs = materialise(hubs, "hubs")
+    mixed = materialise(own.drop("n").join(hubs, ["i", "part"]), "mixed")
+    pairs = mixed.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    compared = materialise(_with_sets(pairs, sets).mapInArrow(_compare_with_hub, _COMPARED), "compared")
+    labels = merge_components(involved.select("node", F.col("node").alias("label")), compared.where("link and a <> b").select("a", "b"))
+
+    labelled = materialise(mixed.join(labels, "node"), "labelled")
+    mixed = materialise(labelled.join(_mixed(labelled), ["i", "part"]), "mixed")
+    labels = merge_components(labels, materialise(_links_across(mixed, compared, nodes), "links_across"))
+
+    reached = labels.join(nodes.select(F.col("node").alias("label"), F.col("doc_id").alias("component_id")), "label").select("node", "component_id")
+    by_digest = nodes.select("digest", "node", F.col("doc_id").alias("own")).join(reached, "node", "left").select("digest", F.coalesce("component_id", "own").alias("component_id"))
+    placed = sketches.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
+    placed = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

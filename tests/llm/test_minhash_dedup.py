@@ -15,23 +15,25 @@ def shingles(text):
 
 
 def brute(rows):
+    """Components of rows: two rows with one identifier are linked only by their own texts."""
     sets = [(i, shingles(t)) for i, t in rows]
-    linked = {i: {i} for i, s in sets if i is not None}
-    known = [(i, s) for i, s in sets if i is not None and s]
-    for n, (i, s) in enumerate(known):
-        for j, t in known[:n]:
+    linked = {n: {n} for n, (i, _) in enumerate(sets) if i is not None}
+    known = [n for n in linked if sets[n][1]]
+    for at, n in enumerate(known):
+        for m in known[:at]:
+            s, t = sets[n][1], sets[m][1]
             if 100 * len(s & t) >= 75 * len(s | t):
-                linked[i].add(j)
-                linked[j].add(i)
+                linked[n].add(m)
+                linked[m].add(n)
     label = {}
-    for i in linked:
-        seen, todo = {i}, [i]
+    for n in linked:
+        seen, todo = {n}, [n]
         while todo:
-            for j in linked[todo.pop()] - seen:
-                seen.add(j)
-                todo.append(j)
-        label[i] = min(seen)
-    return sorted(((i, len(s), label.get(i), i is None or label[i] == i) for i, s in sets), key=str)
+            for m in linked[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        label[n] = min(sets[m][0] for m in seen)
+    return sorted(((i, len(s), label.get(n), i is None or label[n] == i) for n, (i, s) in enumerate(sets)), key=str)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -61,3 +63,29 @@ def test_repeated_rows_and_empty_table(spark):
     got = near_duplicates(spark.createDataFrame([(*r, 1, "l", 2) for r in rows], SCHEMA)).collect()
     assert [(r.component_id, r.kept) for r in sorted(got)] == [(1, True), (1, True), (1, False)]
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_two_texts_of_one_identifier_are_two_nodes(spark):
+    words = [f"w{n}" for n in range(80)]
+    x, y = " ".join(words[:40]), " ".join(words[40:])
+    rows = [(1, x + " more"), (5, x), (5, y), (7, y + " more"), (8, "alone " * 3), (8, y)]
+    got = near_duplicates(spark.createDataFrame([(*r, 1, "l", 2) for r in rows], SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert [(r.doc_id, r.component_id) for r in sorted(got)] == [(1, 1), (5, 1), (5, 5), (7, 5), (8, 8), (8, 5)]
+
+
+@pytest.mark.parametrize("most", [16, 40])
+def test_recall_in_a_large_group_around_the_threshold(spark, most):
+    """Copies of one text with up to ``most`` changed words: similarities from 0.3 to 1, most of them near 0.75 from either side."""
+    rng = random.Random(most)
+    words = [f"w{n}" for n in range(3000)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for n in range(400):
+        out = list(base)
+        for _ in range(rng.randrange(most)):
+            at = rng.randrange(len(out) - 3)
+            out[at : at + rng.randrange(3)] = rng.choices(words, k=rng.randrange(3))
+        rows.append((n, " ".join(out)))
+    got = near_duplicates(spark.createDataFrame([(*r, 1, "l", 2) for r in rows], SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
