@@ -25,9 +25,16 @@ def confidence_grade(score: Column) -> Column:
     )
 
 
-def attribute_words(words: DataFrame, samples: DataFrame, faces: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """Words with the best face of the sample nearest to them; a sample without faces gives OFFSCREEN."""
-    near = asof_nearest(words, samples, by="src", t="t", key="word_id", pos="pos", tolerance=tolerance).where("pos is not null")
+def nearest_samples(words: DataFrame, samples: DataFrame) -> DataFrame:
+    """Words with the sample nearest to them, null where none is within half a stride of the source and a little more."""
+    stride = (F.max("t") - F.min("t")) / F.greatest(F.lit(1), F.count("*") - 1)
+    reach = samples.groupBy("src").agg(F.greatest(F.lit(0.12), F.greatest(F.lit(0.01), stride) / 2 + 0.02).alias("reach"))
+    return asof_nearest(words.join(reach, "src", "left"), samples.join(reach, "src"), by="src", t="t", key="word_id", pos="pos", tolerance="reach")
+
+
+def attribute_words(words: DataFrame, samples: DataFrame, faces: DataFrame) -> DataFrame:
+    """Words with the best face of the sample nearest to them; without a sample in reach, or with one without faces, OFFSCREEN."""
+    near = nearest_samples(words, samples)
     scored = faces.select("pos", "track", face_score().alias("score"))
     best = scored.groupBy("pos").agg(F.max_by("track", F.struct("score", F.expr("-cast(substr(track, 2) as int)"))).alias("track"), F.count("*").alias("n_faces"))
     return near.join(best, "pos", "left").select("word_id", "src", "t", "pos", F.coalesce("track", F.lit("OFFSCREEN")).alias("track"), F.coalesce("n_faces", F.lit(0)).alias("n_faces"))

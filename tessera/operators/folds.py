@@ -51,14 +51,12 @@ def spaced(rows: DataFrame, *, by: str, t: str, key: str, gap: float) -> DataFra
 
 def sticky_speaker(candidates: DataFrame, *, factor: float = 1.15, lift: float = 0.005) -> DataFrame:
     """Rows (src, word_id, tracks, scores) to (src, word_id, track): the speaker changes only for a clearly better
-    candidate, or when the last one is absent; without candidates the word has none and the state stays."""
+    candidate, or when the last one is absent; without candidates it is OFFSCREEN."""
     own = candidates.select("src", "word_id", "tracks", "scores")
 
     def step(last, row):
         src, word, tracks, scores = row
-        found = sorted(zip(scores, tracks), key=lambda x: (-x[0], x[1])) if tracks is not None else []
-        if not found:
-            return last, [(src, word, None)]
+        found = sorted(zip(scores, tracks), key=lambda x: (-x[0], x[1])) if tracks is not None else [(1.0, "OFFSCREEN")]
         of = {t: s for s, t in found}
         best = found[0]
         keep = last in of and best[0] < of[last] * factor + lift
@@ -68,6 +66,27 @@ def sticky_speaker(candidates: DataFrame, *, factor: float = 1.15, lift: float =
     return ordered_fold(own, by="src", order=["word_id"], start=lambda: None, step=step, schema="src long, word_id long, track string")
 
 
+def undo_redo(edits: DataFrame) -> DataFrame:
+    """Edits (doc, seq, kind, value) to (doc, seq, value, undoable, redoable): the value in force after each step.
+
+    An undo takes the last step back and a redo the last one undone forward again; a new edit forgets what was undone."""
+    own = edits.select("doc", "seq", "kind", "value")
+
+    def step(state, row):
+        doc, seq, kind, value = row
+        done, undone = state
+        if kind == "undo" and done:
+            undone.append(done.pop())
+        elif kind == "redo" and undone:
+            done.append(undone.pop())
+        elif kind == "edit":
+            done.append(value)
+            undone.clear()
+        return state, [(doc, seq, done[-1] if done else None, len(done), len(undone))]
+
+    return ordered_fold(own, by="doc", order=["seq"], start=lambda: ([], []), step=step, schema="doc long, seq long, value long, undoable long, redoable long")
+
+
 def caption_chunks(words: DataFrame, *, seconds: float = 4.0, most: int = 12, gap: float = 0.8) -> DataFrame:
     """Words (src, start, end, word, speaker) to cues: a cue ends at its length, word count, a gap, a sentence end or another speaker."""
     own = words.select("src", "start", "end", "word", "speaker")

@@ -10,22 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucket(t: Column, width: float) -> Column:
+def _bucket(t: Column, width: Column | float) -> Column:
     return F.floor(t / width)
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, *, by: str, t: str, key: str, pos: str, tolerance: float, later_wins: bool = False) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, *, by: str, t: str, key: str, pos: str, tolerance: float | str, later_wins: bool = False) -> DataFrame:
     """Left rows with the right row nearest in time within ``tolerance``; no match gives nulls.
 
-    ``key`` identifies left rows. Equal distances go to the smaller ``pos`` of the right side, or with
+    ``tolerance`` is a number, or a column that both sides have and that is the same for all rows of a
+    source. ``key`` identifies left rows. Equal distances go to the smaller ``pos`` of the right side, or with
     ``later_wins`` to the later time. Result: left columns, ``pos`` and ``dt``.
     """
-    width = tolerance if tolerance > 0 else 1e-9
-    r = right.select(F.col(by).alias("_by"), F.col(t).alias("_t"), F.col(pos).alias("_pos"))
-    r = r.withColumn("_b", F.explode(F.array(*[_bucket(F.col("_t"), width) + d for d in (-1, 0, 1)])))
+    reach = F.col(tolerance) if isinstance(tolerance, str) else F.lit(float(tolerance))
+    width = F.greatest(reach, F.lit(1e-9))
+    r = right.select(F.col(by).alias("_by"), F.col(t).alias("_t"), F.col(pos).alias("_pos"), F.explode(F.array(*[_bucket(F.col(t), width) + d for d in (-1, 0, 1)])).alias("_b"))
     l = left.withColumn("_b", _bucket(F.col(t), width))
     dt = F.abs(F.col("_t") - F.col(t))
-    met = l.join(r, (l[by] == r["_by"]) & (l["_b"] == r["_b"])).where(dt <= tolerance)
+    met = l.join(r, (l[by] == r["_by"]) & (l["_b"] == r["_b"])).where(dt <= reach)
     order = F.struct(dt, -F.col("_t"), F.col("_pos")) if later_wins else F.struct(dt, F.col("_pos"))
     best = met.groupBy(key).agg(F.min_by(F.struct(F.col("_pos").alias(pos), dt.alias("dt")), order).alias("_m")).select(key, F.col(f"_m.{pos}").alias(pos), "_m.dt")
     return left.join(best, key, "left")
@@ -37,9 +38,10 @@ def asof_bracket(left: DataFrame, right: DataFrame, *, by: str, t: str, key: str
     r = right.select(F.col(by), F.col(t), F.lit(None).cast("long").alias(key), F.col(pos).cast("long").alias("_pos"), F.lit(1).alias("_side"))
     order = [F.col(t), F.col("_side").desc(), F.col("_pos")]
     mark = F.when(F.col("_side") == 1, F.struct(F.col(t).alias("t"), F.col("_pos").alias("pos")))
-    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    both = l.unionByName(r).withColumn("_p", F.last(mark, True).over(before)).withColumn("_n", F.first(mark, True).over(after)).where("_side = 0")
+    # the next mark is the last one on the way back, so either window only adds rows at its end
+    back = [F.col(t).desc(), F.col("_side"), F.col("_pos").desc()]
+    before, after = (Window.partitionBy(by).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (order, back))
+    both = l.unionByName(r).withColumn("_p", F.last(mark, True).over(before)).withColumn("_n", F.last(mark, True).over(after)).where("_side = 0")
     take_next = F.col("_p").isNull() | (F.abs(F.col("_n.t") - F.col(t)) <= F.abs(F.col(t) - F.col("_p.t")))
     chosen = F.when(F.coalesce(take_next, F.lit(False)), F.col("_n")).otherwise(F.col("_p"))
     return both.select(by, key, chosen["pos"].alias(pos), F.abs(chosen["t"] - F.col(t)).alias("dt"))

@@ -27,11 +27,12 @@ def layers_at(clips: DataFrame, t: int, fade: int = 30000) -> DataFrame:
     """The video clips shown at tick ``t`` of every timeline from the bottom up, with the weight that is left of each."""
     shown = clips.where("kind = 'video'").withColumn("alpha", clip_alpha(F.lit(t), F.col("start"), F.col("dur"), F.lit(fade), F.lit(fade))).where("alpha > 0")
     order = Window.partitionBy("timeline").orderBy("track", "start", "clip")
-    above = order.rowsBetween(1, Window.unboundedFollowing)
-    # over: what lies above lets through the product of its transparencies
-    through = F.coalesce(F.expr("aggregate(above, 1D, (a, x) -> a * (1 - x))"), F.lit(1.0))
-    stacked = shown.withColumn("above", F.collect_list("alpha").over(above)).withColumn("layer", F.row_number().over(order))
-    return stacked.select("timeline", "layer", "clip", "alpha", (F.col("alpha") * through).alias("weight"))
+    above = Window.partitionBy("timeline").orderBy(F.desc("track"), F.desc("start"), F.desc("clip")).rowsBetween(Window.unboundedPreceding, -1)
+    # over: what lies above lets through the product of its transparencies, nothing if one is opaque
+    opaque = F.coalesce(F.max(F.col("alpha") >= 1).over(above), F.lit(False))
+    left = F.exp(F.coalesce(F.sum(F.when(F.col("alpha") < 1, F.log1p(-F.col("alpha")))).over(above), F.lit(0.0)))
+    weight = F.col("alpha") * F.when(opaque, 0.0).otherwise(left)
+    return shown.select("timeline", F.row_number().over(order).alias("layer"), "clip", "alpha", weight.alias("weight"))
 
 
 def transition_progress(t: Column, start: Column, length: Column) -> Column:
@@ -50,10 +51,8 @@ def ripple_others(clips: DataFrame, point: int, ticks: int) -> DataFrame:
 
 
 def versions(edits: DataFrame) -> DataFrame:
-    """Edits (doc, seq, kind, value) with undo and redo to the state after each step.
-
-    An undo steps back and a redo forward again over steps undone; a new edit drops those. Depth counts the
-    edits in force, found without replaying: an undo cancels the nearest edit before it that is still in force.
+    """Edits (doc, seq, kind) with undo to the number of edits in force after each step, found without
+    replaying: an undo cancels the nearest edit before it that is still in force, if any.
     """
     w = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("kind") == "undo", -1).when(F.col("kind") == "edit", 1).otherwise(0)

@@ -21,8 +21,11 @@ def r6(c):
 SCORE_SQL = "w * h + 0.05 * greatest(0, 1 - sqrt(power(x + w / 2 - 0.5, 2) + power(y + h / 2 - 0.5, 2)) / 0.7071)"
 NEAR_SQL = """near AS (SELECT * FROM (SELECT w.word_id, w.src, w.t, w.speaker, s.pos, row_number() OVER (PARTITION BY w.word_id ORDER BY abs(s.t - w.t), s.pos) AS n
     FROM words w JOIN samples s ON s.src = w.src AND abs(s.t - w.t) <= 0.5) q WHERE n = 1)"""
-ATTR_SQL = f"""{NEAR_SQL}, best AS (SELECT pos, track FROM (SELECT pos, track, row_number() OVER (PARTITION BY pos ORDER BY {SCORE_SQL} DESC, track) AS k FROM faces) z WHERE k = 1),
-    attr AS (SELECT near.word_id, near.src, near.t, coalesce(best.track, 'OFFSCREEN') AS track FROM near LEFT JOIN best USING (pos))"""
+REACH_SQL = """tol AS (SELECT src, greatest(0.12, greatest(0.01, (max(t) - min(t)) / greatest(1, count(*) - 1)) / 2 + 0.02) AS tol FROM samples GROUP BY src),
+    within AS (SELECT * FROM (SELECT w.word_id, w.src, w.t, s.pos, row_number() OVER (PARTITION BY w.word_id ORDER BY abs(s.t - w.t), s.pos) AS n
+      FROM words w LEFT JOIN tol USING (src) LEFT JOIN samples s ON s.src = w.src AND abs(s.t - w.t) <= tol.tol) q WHERE n = 1)"""
+ATTR_SQL = f"""{REACH_SQL}, best AS (SELECT pos, track FROM (SELECT pos, track, row_number() OVER (PARTITION BY pos ORDER BY {SCORE_SQL} DESC, track) AS k FROM faces) z WHERE k = 1),
+    attr AS (SELECT n.word_id, n.src, n.t, coalesce(best.track, 'OFFSCREEN') AS track FROM within n LEFT JOIN best USING (pos))"""
 
 
 @query(
@@ -173,12 +176,15 @@ def person_votes(spark, d):
     SELECT src, round(least(-45, greatest(-70, db[least(len(db) - 1, floor(0.15 * len(db))::BIGINT) + 1] + 8)), 6) AS floor_db FROM s""",
 )
 def noise_floor(spark, d):
-    """The sample at rank floor(0.15 n) plus 8 dB, by counting instead of collecting a source."""
-    s = V.samples(spark, d).withColumn("db", 20 * F.log10(F.greatest(F.col("luma"), F.lit(1e-5))))
-    by = Window.partitionBy("src")
-    s = s.withColumn("rank", F.row_number().over(by.orderBy("db"))).withColumn("n", F.count("*").over(by))
+    """The sample at rank floor(0.15 n) plus 8 dB. Counts by hundredths of a dB tell in which the rank lies,
+    so only that one's samples are put in order."""
+    s = V.samples(spark, d).withColumn("db", 20 * F.log10(F.greatest(F.col("luma"), F.lit(1e-5)))).withColumn("bin", F.floor(F.col("db") * 100))
+    counts, by = s.groupBy("src", "bin").agg(F.count("*").alias("here")), Window.partitionBy("src")
+    upto = counts.withColumn("upto", F.sum("here").over(by.orderBy("bin"))).withColumn("n", F.sum("here").over(by))
     at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.15)) + 1
-    return s.where(F.col("rank") == at).select("src", r6(F.least(F.lit(-45.0), F.greatest(F.lit(-70.0), F.col("db") + 8))).alias("floor_db"))
+    found = upto.where((F.col("upto") >= at) & (F.col("upto") - F.col("here") < at)).select("src", "bin", (at - F.col("upto") + F.col("here")).alias("at"))
+    ranked = s.join(found, ["src", "bin"]).withColumn("rank", F.row_number().over(by.orderBy("db")))
+    return ranked.where("rank = at").select("src", r6(F.least(F.lit(-45.0), F.greatest(F.lit(-70.0), F.col("db") + 8))).alias("floor_db"))
 
 
 def luma():
@@ -353,24 +359,26 @@ def linked_clips(spark, d):
     return c.where("kind = 'video'").join(a, ["timeline", "dur"]).select("timeline", F.col("clip").alias("video"), "audio")
 
 
+GROW = 0.15  # landmark boxes are wider than faces
+BOX_SQL = f"box AS (SELECT pos, track, x - {GROW} AS x, y - {GROW} AS y, w + {2 * GROW} AS w, h + {2 * GROW} AS h FROM faces)"
 IOU_SQL = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 
 
 @query(
     "iou_matches",
     V.ctes("faces")
-    + f""", i AS (SELECT a.pos, a.track, b.track AS other, {IOU_SQL} AS both_, a.w * a.h + b.w * b.h AS areas, b.x, b.y FROM faces a JOIN faces b ON a.pos = b.pos AND a.track <> b.track),
+    + f""", {BOX_SQL}, i AS (SELECT a.pos, a.track, b.track AS other, {IOU_SQL} AS both_, a.w * a.h + b.w * b.h AS areas, b.x, b.y, b.w, b.h FROM box a JOIN box b ON a.pos = b.pos AND a.track <> b.track),
     j AS (SELECT *, round(both_ / greatest(areas - both_, 1e-9), 9) AS iou FROM i)
-    SELECT pos, track, other, round(iou, 6) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY pos, track ORDER BY iou DESC, x, y, other) AS n FROM j WHERE iou >= 0.03) q WHERE n = 1""",
+    SELECT pos, track, other, round(iou, 6) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY pos, track ORDER BY iou DESC, x, y, w DESC, h DESC, other) AS n FROM j WHERE iou >= 0.03) q WHERE n = 1""",
 )
 def iou_matches(spark, d):
-    """For each face of a sample the other face that overlaps it most."""
-    a = V.faces(spark, d)
+    """For each box of a sample the other one that overlaps it most; ties by place and size."""
+    a = V.faces(spark, d).select("pos", "track", (F.col("x") - GROW).alias("x"), (F.col("y") - GROW).alias("y"), (F.col("w") + 2 * GROW).alias("w"), (F.col("h") + 2 * GROW).alias("h"))
     b = a.select("pos", F.col("track").alias("other"), *[F.col(c).alias("o" + c) for c in "xywh"])
     inter = F.expr("greatest(0, least(x + w, ox + ow) - greatest(x, ox)) * greatest(0, least(y + h, oy + oh) - greatest(y, oy))")
     j = a.join(b, "pos").where("track <> other").withColumn("both", inter)
     j = j.withColumn("iou", F.round(F.col("both") / F.greatest(F.expr("w * h + ow * oh") - F.col("both"), F.lit(1e-9)), 9)).where("iou >= 0.03")
-    w = Window.partitionBy("pos", "track").orderBy(F.desc("iou"), "ox", "oy", "other")
+    w = Window.partitionBy("pos", "track").orderBy(F.desc("iou"), "ox", "oy", F.desc("ow"), F.desc("oh"), "other")
     return j.withColumn("n", F.row_number().over(w)).where("n = 1").select("pos", "track", "other", r6("iou").alias("iou"))
 
 

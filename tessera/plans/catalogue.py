@@ -7,8 +7,8 @@ from tessera.sources import views as V
 
 MODULES = [temporal_queries, aggregate_queries, pixel_queries, scalar_queries, fold_queries, effect_queries, grading_queries, procedural_queries, stencil_queries, timeline_queries]
 ROLES = ("samples", "faces", "words", "segments")
-#: Queries on these views that have no SQL.
-UNWRITTEN = ("sticky_speaker", "one_to_one_bindings", "normalised_cues", "pink_noise")
+#: Forms on all rows whose recursive SQL takes a step for each of a source's many words.
+TOO_LONG = ("sticky_speaker_whole", "speaker_diarization_whole")
 
 
 def _given() -> tuple[dict, dict[str, str]]:
@@ -18,7 +18,7 @@ def _given() -> tuple[dict, dict[str, str]]:
 def on_roles() -> list[str]:
     """The queries on views that split the events by role; each has a form ``_whole`` on all rows."""
     found, sqls = _given()
-    return [name for name in found if name in UNWRITTEN or any(V.SQL[role] in sqls.get(name, "") for role in ROLES)]
+    return [name for name in found if any(V.SQL[role] in sqls.get(name, "") for role in ROLES)]
 
 
 def queries() -> dict:
@@ -28,4 +28,4 @@ def queries() -> dict:
 
 def oracles() -> dict[str, str]:
     sqls = _given()[1]
-    return sqls | {f"{name}_whole": V.whole(sqls[name]) for name in on_roles() if name in sqls}
+    return sqls | {f"{name}_whole": V.whole(sqls[name]) for name in on_roles() if f"{name}_whole" not in TOO_LONG}
