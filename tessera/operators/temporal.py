@@ -32,17 +32,19 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, by: str, t: str, key: str
     return left.join(best, key, "left")
 
 
-def asof_bracket(left: DataFrame, right: DataFrame, *, by: str, t: str, key: str, pos: str) -> DataFrame:
-    """The nearest right row without a tolerance: of the rows before and after, the later on a tie."""
+def asof_bracket(left: DataFrame, right: DataFrame, *, by: str, t: str, key: str, pos: str, later_wins: bool = True) -> DataFrame:
+    """The nearest right row without a tolerance: of the rows before and after, the later on a tie or the
+    earlier; of several at one time the one with the smallest ``pos``."""
     l = left.select(F.col(by), F.col(t), F.col(key), F.lit(None).cast("long").alias("_pos"), F.lit(0).alias("_side"))
     r = right.select(F.col(by), F.col(t), F.lit(None).cast("long").alias(key), F.col(pos).cast("long").alias("_pos"), F.lit(1).alias("_side"))
-    order = [F.col(t), F.col("_side").desc(), F.col("_pos")]
+    order = [F.col(t), F.col("_side").desc(), F.col("_pos").desc()]
     mark = F.when(F.col("_side") == 1, F.struct(F.col(t).alias("t"), F.col("_pos").alias("pos")))
     # the next mark is the last one on the way back, so either window only adds rows at its end
     back = [F.col(t).desc(), F.col("_side"), F.col("_pos").desc()]
     before, after = (Window.partitionBy(by).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (order, back))
     both = l.unionByName(r).withColumn("_p", F.last(mark, True).over(before)).withColumn("_n", F.last(mark, True).over(after)).where("_side = 0")
-    take_next = F.col("_p").isNull() | (F.abs(F.col("_n.t") - F.col(t)) <= F.abs(F.col(t) - F.col("_p.t")))
+    to_next, to_last = F.abs(F.col("_n.t") - F.col(t)), F.abs(F.col(t) - F.col("_p.t"))
+    take_next = F.col("_p").isNull() | (to_next <= to_last if later_wins else to_next < to_last)
     chosen = F.when(F.coalesce(take_next, F.lit(False)), F.col("_n")).otherwise(F.col("_p"))
     return both.select(by, key, chosen["pos"].alias(pos), F.abs(chosen["t"] - F.col(t)).alias("dt"))
 
