@@ -46,7 +46,7 @@ def ease(t: Column, curve: str) -> Column:
 def timestamp_text(s: Column, separator: str = ".") -> Column:
     """HH:MM:SS.mmm with truncated milliseconds."""
     ms = F.floor(s * 1000).cast("long")
-    part = lambda v, n: F.lpad(v.cast("string"), n, "0")
+    part = lambda v, n: F.lpad(v.cast("string"), F.greatest(F.lit(n), F.length(v.cast("string"))), F.lit("0"))
     div = lambda n: F.floor(ms / n).cast("long")
     return F.concat(part(div(3600000), 2), F.lit(":"), part(div(60000) % 60, 2), F.lit(":"), part(div(1000) % 60, 2), F.lit(separator), part(ms % 1000, 3))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import aggregate_queries, effect_queries, fold_queries, grading_queries, media_queries, pixel_queries, procedural_queries, scalar_queries, speaker_queries, stencil_queries, temporal_queries, timeline_queries
+from tessera.plans import aggregate_queries, effect_queries, fold_queries, grading_queries, media_queries, pixel_queries, procedural_queries, scalar_queries, source_queries, speaker_queries, stencil_queries, temporal_queries, timeline_queries
 from tessera.sources import views as V
 
-MODULES = [temporal_queries, aggregate_queries, pixel_queries, scalar_queries, fold_queries, effect_queries, grading_queries, procedural_queries, stencil_queries, speaker_queries, media_queries, timeline_queries]
+MODULES = [temporal_queries, aggregate_queries, pixel_queries, scalar_queries, fold_queries, effect_queries, grading_queries, procedural_queries, stencil_queries, speaker_queries, media_queries, source_queries, timeline_queries]
 ROLES = ("samples", "faces", "words", "segments")
 #: Forms on all rows whose recursive SQL takes a step for each of a source's many words.
 TOO_LONG = ("sticky_speaker_whole", "speaker_diarization_whole", "rare_speakers_whole", "word_clusters_whole")

@@ -52,6 +52,39 @@ def read_srt(spark: SparkSession, path: str) -> DataFrame:
     return _cues(_files(spark, path), ",", r"^\[([^\]]+)\]\s*", skip_first=False)
 
 
+def first_existing(candidates: DataFrame) -> DataFrame:
+    """Of files (asset, path) each asset's captions: a .vtt before a .srt, then by name; nothing else counts."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
+    ranked = candidates.withColumn("rank", F.when(kind == "vtt", 0).when(kind == "srt", 1)).where("rank is not null")
+    return ranked.groupBy("asset").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+
+
+def env_values(lines: DataFrame) -> DataFrame:
+    """Lines (file, n, line) of KEY=VALUE files to (file, key, value): comments and lines without a key or ``=`` don't
+    count, one pair of quotes goes, and the last value of a key stays."""
+    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
+    own = lines.select("file", "n", line.alias("line")).where("line <> '' and not startswith(line, '#') and instr(line, '=') > 0")
+    key = F.trim(F.regexp_extract("line", r"(?s)^([^=]*)=", 1))
+    value = F.trim(F.regexp_extract("line", r"(?s)^[^=]*=(.*)$", 1))
+    bare = F.when(value.rlike(r"""(?s)^(".*"|'.*')$""") & (F.length(value) >= 2), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    each = own.select("file", "n", key.alias("key"), bare.alias("value")).where("key <> ''")
+    return each.groupBy("file", "key").agg(F.max_by("value", "n").alias("value"))
+
+
+def sorted_json(rows: DataFrame) -> DataFrame:
+    """One JSON object a line with its keys in order, nulls left out."""
+    return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
+
+
+def read_projects(spark: SparkSession, path: str, versions: tuple[int, ...], with_context: bool = False) -> DataFrame:
+    """Project documents of known versions; an unknown version fails the scan. Their visual context is dropped unless asked for."""
+    schema = "schemaVersion int, name string, clips array<struct<id: string, start: long>>, visualContext string"
+    read = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    known = F.assert_true(F.coalesce(F.col("schemaVersion").isin(*versions), F.lit(False)), F.concat(F.lit("unknown schemaVersion "), F.coalesce(F.col("schemaVersion").cast("string"), F.lit("null"))))
+    checked = read.where(known.isNull())
+    return checked if with_context else checked.drop("visualContext")
+
+
 def _clock(s: Column, mark: str) -> Column:
     from tessera.functions.scalars import timestamp_text
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK, CARD = 2880, 80
+_VALUES_AT_ONCE = 1 << 18
 _TYPES = {-32: ">f4", 16: ">i2"}
+_LINES = "file string, header map<string,string>, width int, height int, bitpix int, y int, row array<double>"
 
 
 def _header(content: bytes, at: int) -> tuple[dict[str, str], int] | None:
@@ -26,28 +28,50 @@ def _header(content: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return None
 
 
-def _images(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for path, content in zip(frame["path"], frame["content"]):
-            at = 0
-            while (found := _header(content, at)) is not None:
-                cards, data = found
-                axes = [int(cards.get(f"NAXIS{k + 1}", 0)) for k in range(int(cards.get("NAXIS", 0)))]
-                bits = int(cards.get("BITPIX", 8))
-                if len(axes) >= 2 and bits in _TYPES:
-                    width, height = axes[:2]
-                    pixels = np.frombuffer(content, _TYPES[bits], width * height, data).astype(float).reshape(height, width)
-                    out += [(path, cards, width, height, bits, y, row.tolist()) for y, row in enumerate(pixels)]
-                    break
-                at = data + -(-int(np.prod(axes, initial=1) if axes else 0) * abs(bits) // 8 // BLOCK) * BLOCK
-        yield pd.DataFrame(out, columns=["file", "header", "width", "height", "bitpix", "y", "row"])
-
-
-def read_fits(spark: SparkSession, path: str) -> DataFrame:
-    """The first image of each file, a row for each scan line; float32 and int16 pixels only."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_images, "file string, header map<string,string>, width int, height int, bitpix int, y int, row array<double>")
+def _first_image(path: str, content: bytes) -> tuple[dict[str, str], int, int, int, int] | None:
+    """Cards, width, height, bits and offset of the first unit with two axes; other pixel types than float32 and
+    int16 are an error."""
+    at = 0
+    while (found := _header(content, at)) is not None:
+        cards, data = found
+        axes = [int(cards.get(f"NAXIS{k + 1}", 0)) for k in range(int(cards.get("NAXIS", 0)))]
+        bits = int(cards.get("BITPIX", 8))
+        if len(axes) >= 2:
+            if bits not in _TYPES:
+                raise ValueError(f"{path}: pixels of BITPIX {bits} are not supported")
+            return cards, axes[0], axes[1], bits, data
+        at = data + -(-int(np.prod(axes, initial=1) if axes else 0) * abs(bits) // 8 // BLOCK) * BLOCK
+    return None
+
+
+def _lines(first: int, last: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Scan lines from ``first`` to before ``last``, a block of them at a time."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                found = _first_image(path, content)
+                if found is None:
+                    continue
+                cards, width, height, bits, data = found
+                some = max(1, _VALUES_AT_ONCE // max(1, width))
+                for y in range(first, height if last is None else min(last, height), some):
+                    n = min(some, (height if last is None else min(last, height)) - y)
+                    rows = np.frombuffer(content, _TYPES[bits], width * n, data + y * width * abs(bits) // 8).astype(float).reshape(n, width)
+                    yield pd.DataFrame([(path, cards, width, height, bits, y + k, row.tolist()) for k, row in enumerate(rows)], columns=["file", "header", "width", "height", "bitpix", "y", "row"])
+
+    return read
+
+
+def scan_lines(files: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
+    """Scan lines of the first image of each file (path, content), all or a range of them; only the bytes of
+    those lines are decoded. Files without an image give none; float32 and int16 pixels only, others fail."""
+    return files.select("path", "content").mapInPandas(_lines(first, last), _LINES)
+
+
+def read_fits(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """``scan_lines`` of the files at a path."""
+    return scan_lines(spark.read.format("binaryFile").load(path), first, last)
 
 
 def statistics(lines: DataFrame) -> DataFrame:
