@@ -58,6 +58,7 @@ def mix_sources(
     weights: tuple[int, ...] = (1, 2, 3),
     max_epochs: int = 3,
     seed: int = SEED,
+    whole: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken.
 
@@ -69,19 +70,23 @@ def mix_sources(
 
     Nulls: a null text has size 0 and takes 0; null is a source of its own; a null identifier
     takes part like any other. Rows that repeat (identifier and size) are ordered arbitrarily but
-    are alike. Sources of size 0 have target 0. An empty table gives an empty result.
+    are alike. Sources of size 0 have target 0. An empty table gives an empty result. With ``whole``
+    each row has its document's columns as the struct ``document``; documents are not shuffled for it, but for
+    those of the one slice of a source in which it ends.
     """
-    sized = materialise(
+    keep = ["document"] * whole
+    measured = (
         docs.select(
+            *[F.struct(*docs.columns).alias("document")] * whole,
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ).withColumn("draw", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long"))
         # the order of the fractional repetition, cut into slices so that no source is sorted whole
-        .withColumn("slice", F.shiftright("draw", 60 - SLICES.bit_length() + 1).cast("int")),
-        "sized",
+        .withColumn("slice", F.shiftright("draw", 60 - SLICES.bit_length() + 1).cast("int"))
     )
-    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    sized = measured if whole else materialise(measured, "sized")
+    slices = materialise(sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "slices")
     totals = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     position = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("position") % len(weights) + 1)
@@ -116,7 +121,7 @@ def mix_sources(
         "extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("end_words") - F.col("before")))
     )
     rest = placed.where(~F.coalesce(at_end, F.lit(False))).withColumn("extra", F.when(F.col("slice") < F.col("end_slice"), F.col("size")).otherwise(0))
-    out = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")]
+    out = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *keep]
     return rest.select(*out).unionByName(boundary.select(*out))
 
 
