@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialise, table
+from tessera.llm.shared import discard, materialise, table
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DEPTH, SUPPORT, HOST_SHARE, WIDE_SHARE = 4, 5, 0.02, 0.01
+SUPPORT, WIDE_SHARE = 5, 0.01
 STRENGTH, MIN_PURITY, SIMILAR_Z = 8.0, 0.5, 1.96
 WILD = "*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,44 +38,40 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return found
 
 
-def _generalise(paths: DataFrame, whole: bool) -> DataFrame:
-    """Rows (host, segments) with their template: level by level, a segment stays if it has support
-    below its parent's template on its host, or at its level over all hosts. If ``whole``, support is a
-    number of pages only and levels go on until fewer pages than that have a further segment."""
+def _generalise(paths: DataFrame) -> DataFrame:
+    """Rows (host, segments, pages, ...) with their template: level by level, a segment stays if it has support
+    below its parent's template on its host, or at its level over all hosts. Levels go on until fewer pages than
+    support takes have a further segment; what is deeper is all wildcards."""
     grown = paths.withColumn("template", F.lit(""))
-    total = paths.count()
+    total = paths.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     level, left, done = 0, total, []
-    while left >= SUPPORT if whole else level < DEPTH:
+    while left >= SUPPORT:
         done.append(grown.where(F.size("segments") <= level))
         here = grown.where(F.size("segments") > level).withColumn("segment", F.get("segments", F.lit(level)))
-        counts = materialise(here.groupBy("host", "template", "segment").agg(F.count("*").alias("n")), "segments")
-        own = counts.where(F.col("n") >= SUPPORT)
-        if not whole:
-            parents = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
-            own = own.join(parents, ["host", "template"]).where(F.col("n") >= HOST_SHARE * F.col("all"))
-        own = own.select("host", "template", "segment", F.lit(True).alias("supported"))
+        counts = materialise(here.groupBy("host", "template", "segment").agg(F.sum("pages").alias("n")), "segments")
+        own = counts.where(F.col("n") >= SUPPORT).select("host", "template", "segment", F.lit(True).alias("supported"))
         wide = counts.groupBy("segment").agg(F.sum("n").alias("n")).where(F.col("n") >= max(SUPPORT, WIDE_SHARE * total)).select("segment", F.lit(True).alias("wide"))
         # at most 1 / WIDE_SHARE segments can be wide
-        joined = here.join(materialise(own, "own"), ["host", "template", "segment"], "left").join(F.broadcast(materialise(wide, "wide")), "segment", "left")
+        joined = here.join(own, ["host", "template", "segment"], "left").join(F.broadcast(wide), "segment", "left")
         kept = F.coalesce("supported", "wide", F.lit(False))
         step = F.when(kept, F.concat(F.lit("/"), F.col("segment"))).otherwise("/" + WILD)
         grown = materialise(joined.withColumn("template", F.concat("template", step)).drop("segment", "supported", "wide"), "grown")
+        discard(counts)
         level += 1
-        left = grown.where(F.size("segments") > level).count()
-    deeper = F.repeat(F.lit("/" + WILD), F.size("segments") - level) if whole else F.when(F.size("segments") > level, F.lit("/**")).otherwise("")
-    out = grown.withColumn("template", F.concat("template", deeper))
+        left = grown.where(F.size("segments") > level).agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    out = grown.withColumn("template", F.concat("template", F.repeat(F.lit("/" + WILD), F.size("segments") - level)))
     for part in done:
         out = out.unionByName(part)
     return out
 
 
-def _merge_similar(stats: DataFrame, whole: bool) -> DataFrame:
+def _merge_similar(stats: DataFrame) -> DataFrame:
     """Rows (host, template, labelled, blocked) with ``branch``: sibling templates that differ in one
-    segment and whose rates differ by no more than chance explains share a branch with a wildcard there.
-    If ``whole``, templates without a label join the wildcard beside labelled siblings."""
+    segment and whose rates differ by no more than chance explains share a branch with a wildcard there, and so
+    do templates without a label with labelled siblings."""
     merged = stats.withColumn("branch", F.col("template"))
     named = F.size(F.split(F.regexp_replace("template", r"(/\*)+$", ""), "/")) - 1
-    levels = (stats.agg(F.max(named)).first()[0] or 0) if whole else DEPTH
+    levels = stats.agg(F.max(named)).first()[0] or 0
     for level in reversed(range(levels)):
         parts = F.split("branch", "/")
         wild = F.when(F.size(parts) > level + 1, F.array_join(F.concat(F.slice(parts, 1, level + 1), F.array(F.lit(WILD)), F.slice(parts, F.lit(level + 3), F.size(parts))), "/")).otherwise(F.col("branch"))
@@ -86,10 +82,11 @@ def _merge_similar(stats: DataFrame, whole: bool) -> DataFrame:
         others = F.col("n_all") - F.col("n")
         differ = F.abs(F.try_divide(F.col("b"), F.col("n")) - F.try_divide(F.col("b_all") - F.col("b"), others))
         chance = SIMILAR_Z * F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), F.col("n")) + F.try_divide(F.lit(1), others)))
-        alike = F.coalesce(differ <= chance, (F.col("n") == 0) & (F.col("n_all") > 0) if whole else F.lit(False))
+        alike = F.coalesce(differ <= chance, (F.col("n") == 0) & (F.col("n_all") > 0))
         moved = own.join(pooled, ["host", "wild"]).where(alike & (F.col("wild") != F.col("branch"))).select("host", "branch", "wild")
-        merged = merged.join(materialise(moved, "moved"), ["host", "branch"], "left").withColumn("branch", F.coalesce("wild", "branch")).select(*stats.columns, "branch")
+        merged = merged.join(moved, ["host", "branch"], "left").withColumn("branch", F.coalesce("wild", "branch")).select(*stats.columns, "branch")
         merged = materialise(merged, "merged")
+        discard(own)
     return merged
 
 
@@ -100,14 +97,13 @@ def filter_urls(
     url_col: str = "url",
     rules: tuple[tuple[str, str], ...] = RULES,
     min_purity: float = MIN_PURITY,
-    whole: bool = False,
 ) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, template, purity.
 
     The longest fitting rule decides; else the page's template does: ``block`` if the smoothed share of
     pages that are not blocked is under ``min_purity``. Pages decided by a rule are the labelled ones.
-    Paths are told apart to ``DEPTH`` segments, deeper ones end in ``/**``; trailing slashes don't count.
-    If ``whole``, to any depth, and a segment is kept by its own support alone, whatever share of its host it has.
+    Paths are told apart to any depth, and a segment is kept by its own support, whatever share of its host it
+    has; trailing slashes don't count. The tree is grown from distinct paths with counts; pages meet its verdicts once.
 
     Nulls: a null url has an empty host and path and is judged by the share over all pages; a null identifier is
     carried through. Repeated rows are judged alike, each counted. Without any label the purity is 0.5 and
@@ -120,18 +116,20 @@ def filter_urls(
     segments = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, "/"))
     base = materialise(ruled.withColumn("segments", segments), "urls")
 
-    templated = _generalise(base, whole)
     label = F.col("ruled")
-    stats = materialise(templated.groupBy("host", "template").agg(F.count(label).alias("labelled"), F.count(F.when(label == "block", 1)).alias("blocked")), "templates")
-    merged = _merge_similar(stats, whole)
+    paths = base.groupBy("host", "segments").agg(F.count("*").alias("pages"), F.count(label).alias("labelled"), F.count(F.when(label == "block", 1)).alias("blocked"))
+    templated = materialise(_generalise(materialise(paths, "paths")), "templated")
+    stats = materialise(templated.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "templates")
+    merged = _merge_similar(stats)
     every = stats.agg(((F.sum("blocked") + 1) / (F.sum("labelled") + 2)).alias("every_rate")).withColumn("every_rate", F.coalesce("every_rate", F.lit(0.5)))
     shapes = stats.groupBy("template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).crossJoin(F.broadcast(every))
     shapes = shapes.select("template", ((F.col("b") + STRENGTH * F.col("every_rate")) / (F.col("n") + STRENGTH)).alias("shape_rate"))
     # a branch is smoothed towards the shapes of the templates that it holds
     branches = merged.join(shapes, "template").groupBy("host", "branch").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"), F.avg("shape_rate").alias("shape_rate"))
     rated = branches.select("host", "branch", (1 - (F.col("b") + STRENGTH * F.col("shape_rate")) / (F.col("n") + STRENGTH)).alias("purity"))
-    verdicts = materialise(merged.join(rated, ["host", "branch"]).select("host", "template", F.col("branch"), "purity"), "verdicts")
-    judged = templated.join(verdicts, ["host", "template"], "left")
+    verdicts = merged.join(rated, ["host", "branch"]).select("host", "template", F.col("branch"), "purity")
+    of_path = materialise(templated.select("host", "segments", "template").join(verdicts, ["host", "template"]).drop("template"), "verdicts")
+    judged = base.join(of_path, ["host", "segments"], "left")
     return judged.select(
         "page_id",
         "host",
@@ -144,4 +142,4 @@ def filter_urls(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), whole=True)
+    return filter_urls(table(spark, sf_dir, "pages"))

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -36,29 +37,30 @@ def brute(rows):
         plain = path[1:] if path.startswith("/") else path
         plain = plain.rstrip("/").replace("*", "%2A")
         pages.append({"id": i, "host": host, "path": path, "rule": rule, "ruled": verdict, "seg": plain.split("/") if plain else [], "t": ""})
-    for level in range(U.DEPTH):
+    level = 0
+    while sum(len(p["seg"]) > level for p in pages) >= U.SUPPORT or level == 0 and len(pages) >= U.SUPPORT:
         n = Counter((p["host"], p["t"], p["seg"][level]) for p in pages if len(p["seg"]) > level)
-        total, wide = Counter(), Counter()
+        wide = Counter()
         for (h, t, s), c in n.items():
-            total[h, t] += c
             wide[s] += c
         for p in pages:
+            p["next"] = p["t"]
             if len(p["seg"]) > level:
-                s, k = p["seg"][level], (p["host"], p["t"])
-                keep = (n[(*k, s)] >= U.SUPPORT and n[(*k, s)] >= U.HOST_SHARE * total[k]) or wide[s] >= max(U.SUPPORT, U.WIDE_SHARE * len(pages))
-                p["next"] = p["t"] + "/" + (s if keep else "*")
-            else:
-                p["next"] = p["t"]
+                s = p["seg"][level]
+                keep = n[p["host"], p["t"], s] >= U.SUPPORT or wide[s] >= max(U.SUPPORT, U.WIDE_SHARE * len(pages))
+                p["next"] += "/" + (s if keep else "*")
         for p in pages:
             p["t"] = p["next"]
+        level += 1
     for p in pages:
-        p["t"] += "/**" if len(p["seg"]) > U.DEPTH else ""
+        p["t"] += "/*" * max(0, len(p["seg"]) - level)
     n, b = Counter(), Counter()
     for p in pages:
         n[p["host"], p["t"]] += p["ruled"] is not None
         b[p["host"], p["t"]] += p["ruled"] == "block"
     branch = {k: k[1] for k in n}
-    for level in reversed(range(U.DEPTH)):
+    deepest = max(len(re.sub(r"(/\*)+$", "", k[1]).split("/")) - 1 for k in n)
+    for level in reversed(range(deepest)):
         wild = {}
         for k, x in branch.items():
             s = x.split("/")
@@ -72,6 +74,8 @@ def brute(rows):
         for k in branch:
             (m, c), (ma, ca) = own[k[0], wild[k], branch[k]], every[k[0], wild[k]]
             rate, merged[k] = (ca + 1) / (ma + 2), branch[k]
+            if not m and ma:
+                merged[k] = wild[k]
             if m and ma - m:
                 if abs(c / m - (ca - c) / (ma - m)) <= U.SIMILAR_Z * (rate * (1 - rate) * (1 / m + 1 / (ma - m))) ** 0.5:
                     merged[k] = wild[k]
