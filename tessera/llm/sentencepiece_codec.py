@@ -67,8 +67,23 @@ class Vocabulary:
         return cls(kind, ids, {p: s for p, s in pieces if p in ids}, byte_ids, unknown, raw, not inner)
 
 
+USER_DEFINED = 4
+
+
+def _refuse_unhandled(spec) -> None:
+    rule = spec.normalizer_spec
+    if rule.name not in ("", "identity") or rule.precompiled_charsmap or rule.remove_extra_whitespaces or not rule.escape_whitespaces or not rule.add_dummy_prefix or spec.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("models that normalise texts are not supported")
+    if any(piece.type == USER_DEFINED for piece in spec.pieces):
+        raise ValueError("models with pieces defined by a user are not supported")
+    if spec.trainer_spec.model_type not in (1, 2):
+        raise ValueError("only unigram and BPE models are supported")
+
+
 def load_vocabulary(model_file: str = MODEL) -> Vocabulary:
-    """Read a model file; the driver does so once and ships the pieces (bounded by the model) to tasks."""
+    """Read a model file; the driver does so once and ships the pieces (bounded by the model) to tasks.
+
+    A model whose normaliser changes texts, or that has pieces defined by a user, is refused."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -81,6 +96,7 @@ def load_vocabulary(model_file: str = MODEL) -> Vocabulary:
     spec = proto.ModelProto()
     with open(model_file, "rb") as f:
         spec.ParseFromString(f.read())
+    _refuse_unhandled(spec)
     kind = {1: "unigram", 2: "bpe"}[spec.trainer_spec.model_type]
     return Vocabulary.from_pieces(pieces, kind=kind, byte_ids=byte_ids if len(byte_ids) == 256 else None, unknown=model.unk_id(), skip=skip)
 

@@ -5,7 +5,7 @@ import random
 import pytest
 import sentencepiece
 
-from tessera.llm.sentencepiece_codec import MODEL, Vocabulary, decode, encode, encode_words
+from tessera.llm.sentencepiece_codec import MODEL, Vocabulary, decode, encode, encode_words, load_vocabulary
 
 SCHEMA = "doc_id long, text string, tokens string, words int"
 TEXTS = ["", None, "  a  b ", "a\nb", "\t x", "héllo wörld " * 30, "   ", "🙂 \x00 <s>", "x" * 3000, "the " * 20_000, " \n \n", "naïve space", "the the", "the the"]
@@ -51,3 +51,21 @@ def test_unigram_scores_are_the_best(seed):
 
 def test_empty_table(spark):
     assert decode(encode(frame(spark, []))).collect() == []
+
+
+@pytest.mark.parametrize("change", ["normaliser", "spaces", "piece"])
+def test_models_that_are_not_handled_are_refused(tmp_path, change):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    spec = proto.ModelProto()
+    with open(MODEL, "rb") as f:
+        spec.ParseFromString(f.read())
+    if change == "normaliser":
+        spec.normalizer_spec.name = "nmt_nfkc"
+    elif change == "spaces":
+        spec.normalizer_spec.remove_extra_whitespaces = True
+    else:
+        spec.pieces[500].type = 4
+    (tmp_path / "m.model").write_bytes(spec.SerializeToString())
+    with pytest.raises(ValueError):
+        load_vocabulary(str(tmp_path / "m.model"))
