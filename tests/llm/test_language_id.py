@@ -54,3 +54,34 @@ def test_no_labels_and_empty_table(spark):
     model = L.fit_languages(df)
     assert [r.lang_pred for r in L.identify_languages(df, model).collect()] == ["und"]
     assert L.identify_languages(df.where("false"), model).collect() == []
+
+
+def plain_probabilities(model, text):
+    """Every byte by itself, one after another, in windows that start afresh."""
+    p, total = {k: v.astype(np.float64) for k, v in model.params.items()}, np.zeros(len(model.languages))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for at in range(0, len(text), L.WINDOW):
+        part = text[at : at + L.WINDOW]
+        states = {}
+        for way, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            units = p["turn_" + way].shape[1]
+            h = np.zeros(units)
+            for t in order:
+                g, u = p["table_" + way][part[t]], p["turn_" + way] @ h
+                z, r = sig(g[:units] + u[:units]), sig(g[units : 2 * units] + u[units : 2 * units])
+                n = np.tanh(g[2 * units :] + r * u[2 * units :])
+                h = (1 - z) * n + z * h
+                states[way, t] = h
+        for t in range(len(part)):
+            x = p["top"] @ np.concatenate([states["f", t], states["b", t]]) + p["bias"][:, 0]
+            e = np.exp(x - x.max())
+            total += e / e.sum()
+    return total / max(1, len(text))
+
+
+def test_batches_equal_a_plain_pass_over_bytes():
+    rng = np.random.default_rng(5)
+    model = L.LanguageModel.fresh(["a", "b", "c"], seed=9)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 63, 64, 65, 200, 7, 128)]
+    got = L.document_probabilities(model, texts)
+    assert np.allclose(got, [plain_probabilities(model, t) for t in texts], atol=1e-5)
