@@ -98,7 +98,7 @@ def scene_context(spark, d):
 @query(
     "speaker_lifecycle",
     V.ctes("words")
-    + """ SELECT src, speaker, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, round(avg(luma), 6) AS conf, count(*) * 0.3 >= 2 AND speaker <> 'OFFSCREEN' AS frozen, min_by(word_id, t) AS first_word
+    + """ SELECT src, speaker, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t, round(avg(luma), 6) AS conf, count(*) * 0.3 >= 2 AND speaker <> 'OFFSCREEN' AS frozen, min_by(word_id, row(t, word_id)) AS first_word
     FROM words WHERE speaker IS NOT NULL GROUP BY src, speaker""",
 )
 def speaker_lifecycle(spark, d):

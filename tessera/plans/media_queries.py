@@ -263,11 +263,11 @@ def evidenced_values(spark, d):
     return n.select("pos", F.inline(each))
 
 
-@query("semantic_attributes", V.ctes("faces", "words") + """, sp AS (SELECT src, min(word_id) AS w, max(speaker) AS who FROM words WHERE speaker LIKE 'S%' GROUP BY src)
+@query("semantic_attributes", V.ctes("faces", "words") + """, sp AS (SELECT src, min(word_id) AS w, max(speaker) AS who FROM words WHERE speaker = 'user' GROUP BY src)
    SELECT f.pos, f.track, CASE WHEN f.track = 'T' || (sp.w % 6)::VARCHAR THEN 'speaking' ELSE 'not speaking' END AS state, CASE WHEN f.track = 'T' || (sp.w % 6)::VARCHAR THEN ['personId', 'speakerId', 'state'] ELSE ['personId', 'state'] END AS keys FROM faces f LEFT JOIN sp USING (src)""")
 def semantic_attributes(spark, d):
     """Each face with its attributes' keys in order; a face that is bound to no speaker is said not to speak."""
-    sp = V.words(spark, d).where("speaker like 'S%'").groupBy("src").agg(F.min("word_id").alias("first_word"))
+    sp = V.words(spark, d).where("speaker = 'user'").groupBy("src").agg(F.min("word_id").alias("first_word"))
     bound = F.coalesce(F.col("track") == F.concat(F.lit("T"), (F.col("first_word") % 6).cast("string")), F.lit(False))
     keys = F.array_compact(F.array(F.lit("personId"), F.when(bound, "speakerId"), F.lit("state")))
     return V.faces(spark, d).join(sp, "src", "left").select("pos", "track", F.when(bound, "speaking").otherwise("not speaking").alias("state"), keys.alias("keys"))

@@ -25,14 +25,8 @@ def time_ticks(spark, d):
     return V.timed_events(spark, d).select("event_id", S.seconds_to_ticks(F.col("luma")).alias("rounded"), S.truncated_ticks(F.col("luma")).alias("truncated"), r6(S.frame_quantise(F.col("t"), 24000, 1001)).alias("on_grid"))
 
 
-@query("rationals", "SELECT event_id, (event_id * 6) // gcd(event_id * 6, 84 + event_id % 50) AS num, (84 + event_id % 50) // gcd(event_id * 6, 84 + event_id % 50) AS den FROM events WHERE event_id > 0")
+@query("rationals", "SELECT event_id, (event_id * 6) // gcd(event_id * 6, 84 + event_id % 50) AS num, (84 + event_id % 50) // gcd(event_id * 6, 84 + event_id % 50) AS den FROM events")
 def rationals(spark, d):
-    """``rationals_all`` over the ids of its fixed SQL."""
-    return rationals_all(spark, d).where("event_id > 0")
-
-
-@query("rationals_all", "SELECT event_id, (event_id * 6) // gcd(event_id * 6, 84 + event_id % 50) AS num, (84 + event_id % 50) // gcd(event_id * 6, 84 + event_id % 50) AS den FROM events")
-def rationals_all(spark, d):
     e = V.table(spark, d, "events").select("event_id", (F.col("event_id") * 6).alias("a"), (F.col("event_id") % 50 + 84).alias("b"))
     e = e.withColumn("g", S.gcd(F.col("a"), F.col("b")))
     return e.select("event_id", F.floor(F.col("a") / F.col("g")).alias("num"), F.floor(F.col("b") / F.col("g")).alias("den"))
@@ -126,24 +120,11 @@ def deterministic_uuid(spark, d):
 
 @query(
     "vector_top_k",
-    """WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_inner_product(list_transform(embedding, lambda x: x::DOUBLE), q.e) /
-      (sqrt(list_inner_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) * sqrt(list_inner_product(q.e, q.e)) + 1e-6), 6) AS score FROM embeddings, q)
-      SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 10""",
-)
-def vector_top_k(spark, d):
-    """The ten vectors most like the first one."""
-    e = V.table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q.limit(1))).select("vec_id", r6(S.cosine(F.col("embedding"), F.col("q"))).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
-
-
-@query(
-    "vector_top_k_all",
     """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM e),
       s AS (SELECT q.vec_id AS query_id, n.vec_id, round(list_inner_product(n.e, q.e) / (n.norm * q.norm + 1e-6), 6) AS score FROM n, n q WHERE q.vec_id % 100 = 0)
       SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) r WHERE n <= 10""",
 )
-def vector_top_k_all(spark, d):
+def vector_top_k(spark, d):
     """The ten vectors most like each vector whose identifier is divisible by 100."""
     e = V.table(spark, d, "embeddings").select("vec_id", "embedding")
     return block_top_k(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, k=10)
@@ -179,16 +160,9 @@ def frame_budget(spark, d):
 _RATES = ", ".join(f"({i}, {n / m})" for i, (n, m) in enumerate(S.COMMON_RATES))
 
 
-@query("fps_snap", V.ctes("ev") + f""", x AS (SELECT event_id, luma * 120 AS fps FROM ev WHERE event_id % 20 = 0), r(i, rate) AS (VALUES {_RATES}), c AS (SELECT event_id, fps, rate, row_number() OVER (PARTITION BY event_id ORDER BY abs(rate - fps), i) AS n FROM x, r)
+@query("fps_snap", V.ctes("ev") + f""", r(i, rate) AS (VALUES {_RATES}), c AS (SELECT event_id, luma * 120 AS fps, rate, row_number() OVER (PARTITION BY event_id ORDER BY abs(rate - luma * 120), i) AS n FROM ev, r)
    SELECT event_id, CASE WHEN abs(rate - fps) <= 0.2 THEN round(rate, 6) END AS snapped FROM c WHERE n = 1""")
 def fps_snap(spark, d):
-    """``fps_snap_all`` over the ids of its fixed SQL."""
-    return fps_snap_all(spark, d).where("event_id % 20 = 0")
-
-
-@query("fps_snap_all", V.ctes("ev") + f""", r(i, rate) AS (VALUES {_RATES}), c AS (SELECT event_id, luma * 120 AS fps, rate, row_number() OVER (PARTITION BY event_id ORDER BY abs(rate - luma * 120), i) AS n FROM ev, r)
-   SELECT event_id, CASE WHEN abs(rate - fps) <= 0.2 THEN round(rate, 6) END AS snapped FROM c WHERE n = 1""")
-def fps_snap_all(spark, d):
     """The nearest of eight common rates if within 0.2; of equally near ones the first."""
     fps = F.col("luma") * 120
     rates = F.array(*[F.struct(F.abs(F.lit(n / m) - fps).alias("d"), F.lit(i).alias("i"), F.lit(n / m).alias("rate")) for i, (n, m) in enumerate(S.COMMON_RATES)])
@@ -345,22 +319,11 @@ def colour_rules(spark, d):
     return m.select("frame", v.alias("violation"))
 
 
-@query("manifest_errors", """WITH e AS (SELECT DISTINCT event_type AS id, user_id % 7 AS domain, event_id % 5 AS version FROM events WHERE event_id < 200) SELECT id, domain, version, code FROM (
-   SELECT *, 'MVFM011' AS code FROM e WHERE domain > 4 UNION ALL SELECT *, 'MVFM012' FROM e WHERE version = 0 UNION ALL SELECT *, 'MVFM010' FROM e WHERE id = 'view') u""")
+@query("manifest_errors", """WITH e AS (SELECT DISTINCT event_type AS id, user_id % 7 AS domain, event_id % 5 AS version FROM events) SELECT id, domain, version, code FROM (
+   SELECT *, 'domain' AS code FROM e WHERE domain > 4 UNION ALL SELECT *, 'version' FROM e WHERE version = 0 UNION ALL SELECT *, 'id' FROM e WHERE id = 'view') u""")
 def manifest_errors(spark, d):
-    """The errors of the rows that its fixed SQL reads; ``manifest_errors_all`` has those of all."""
-    return _manifest_errors(V.table(spark, d, "events").where("event_id < 200"))
-
-
-@query("manifest_errors_all", """WITH e AS (SELECT DISTINCT event_type AS id, user_id % 7 AS domain, event_id % 5 AS version FROM events) SELECT id, domain, version, code FROM (
-   SELECT *, 'MVFM011' AS code FROM e WHERE domain > 4 UNION ALL SELECT *, 'MVFM012' FROM e WHERE version = 0 UNION ALL SELECT *, 'MVFM010' FROM e WHERE id = 'view') u""")
-def manifest_errors_all(spark, d):
-    return _manifest_errors(V.table(spark, d, "events"))
-
-
-def _manifest_errors(events):
-    e = events.select(F.col("event_type").alias("id"), (F.col("user_id") % 7).alias("domain"), (F.col("event_id") % 5).alias("version")).distinct()
-    rules = (("MVFM011", F.col("domain") > 4), ("MVFM012", F.col("version") == 0), ("MVFM010", F.col("id") == "view"))
+    e = V.table(spark, d, "events").select(F.col("event_type").alias("id"), (F.col("user_id") % 7).alias("domain"), (F.col("event_id") % 5).alias("version")).distinct()
+    rules = (("domain", F.col("domain") > 4), ("version", F.col("version") == 0), ("id", F.col("id") == "view"))
     codes = F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))
     return e.select("id", "domain", "version", F.explode(codes).alias("code"))
 

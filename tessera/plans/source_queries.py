@@ -50,13 +50,10 @@ def srt_round_trip(spark, d):
     return _file_number(captions.read_srt(spark, folder + "/*/*.txt")).select("file", "start", "end", "text", "speaker")
 
 
-WORDS = V.ctes("words").replace(V.SQL["words"], V.WHOLE_SQL["words"])
-
-
-@query("word_records", WORDS + " SELECT word_id::VARCHAR AS word_id, round(t * 60000)::BIGINT AS source_time_ticks, speaker AS speaker_id FROM words")
+@query("word_records", V.ctes("words") + " SELECT word_id::VARCHAR AS word_id, round(t * 60000)::BIGINT AS source_time_ticks, speaker AS speaker_id FROM words")
 def word_records(spark, d):
     """Words as one JSON record a line, read back by their schema."""
-    w = V.spoken_words(spark, d).select(F.col("word_id").cast("string").alias("word_id"), F.round(F.col("t") * 60000).cast("long").alias("source_time_ticks"), F.col("speaker").alias("speaker_id"))
+    w = V.words(spark, d).select(F.col("word_id").cast("string").alias("word_id"), F.round(F.col("t") * 60000).cast("long").alias("source_time_ticks"), F.col("speaker").alias("speaker_id"))
     folder = new_folder(spark, "words")
     captions.sorted_json(w).write.text(folder)
     return captions.read_words(spark, folder).select("word_id", "source_time_ticks", "speaker_id")

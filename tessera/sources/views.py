@@ -1,10 +1,8 @@
 """The driver's tables in the shape of media tables.
 
 One media second is one hour of the event stream and ten sources share it, so samples are about a
-second apart. Each view has its SQL twin in ``SQL``, for oracles.
-
-In ``SQL`` every event has one role: sample, word or mark. For a folder given as ``Whole`` samples and
-marks are all events and words come from the conversations, with SQL twins in ``WHOLE_SQL``.
+second apart. Samples and marks are all events, words come from the conversations. Each view has its
+SQL twin in ``SQL``, for oracles.
 """
 
 from __future__ import annotations
@@ -19,14 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Whole(str):
-    """A folder of tables of which the views read all rows."""
-
-
-def of_role(events: DataFrame, sf_dir: str, ids: str) -> DataFrame:
-    return events if isinstance(sf_dir, Whole) else events.where(ids)
-
-
 def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, src, t, event_type, luma): every event on its source's clock."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
@@ -37,15 +27,12 @@ def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, src, t, luma, skin): video samples."""
-    ev = of_role(timed_events(spark, sf_dir), sf_dir, "event_id % 4 in (1, 2)")
-    return ev.select(F.col("event_id").alias("pos"), "src", "t", "luma", (F.col("event_id") % 17 / 17.0).alias("skin"))
+    return timed_events(spark, sf_dir).select(F.col("event_id").alias("pos"), "src", "t", "luma", (F.col("event_id") % 17 / 17.0).alias("skin"))
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, src, t, track, x, y, w, h, mouth): zero to three faces a sample."""
-    n = F.col("event_id") % 4
-    ev = of_role(timed_events(spark, sf_dir), sf_dir, "event_id % 4 in (1, 2)")
-    each = ev.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 5 % 4).cast("int")))).where(F.col("k") < F.col("event_id") % 5 % 4)
+    each = timed_events(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 5 % 4).cast("int")))).where(F.col("k") < F.col("event_id") % 5 % 4)
     track = (F.col("event_id") + F.col("k") * 7) % 6
     return each.select(
         F.col("event_id").alias("pos"),
@@ -61,16 +48,7 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word_id, src, t, speaker, conf): words at their middle; speaker null for one type."""
-    if isinstance(sf_dir, Whole):
-        return spoken_words(spark, sf_dir)
-    ev = timed_events(spark, sf_dir).where("event_id % 4 = 3")
-    speaker = F.when(F.col("event_type") == "error", None).when(F.col("event_type") == "purchase", "OFFSCREEN").otherwise(F.concat(F.lit("S"), (F.col("event_id") % 3).cast("string")))
-    return ev.select(F.col("event_id").alias("word_id"), "src", "t", speaker.alias("speaker"), "luma")
-
-
-def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of all conversations: ten seconds a turn, a quarter of a second a word, the role as speaker.
+    """(word_id, src, t, speaker, luma): the words of all conversations, ten seconds a turn, a quarter of a second a word, the role as speaker.
 
     An identifier holds conversation, turn (12 bits) and position (20 bits)."""
     each = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", " ")).alias("i", "word"))
@@ -86,7 +64,7 @@ def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seg, src, start, end, kind, conf): each mark lasts until the source's next one."""
     kind = F.create_map(*[F.lit(x) for item in KINDS.items() for x in item])[F.col("event_type")]
-    marks = of_role(timed_events(spark, sf_dir), sf_dir, "event_id % 4 = 0")
+    marks = timed_events(spark, sf_dir)
     nxt = F.lead("t").over(Window.partitionBy("src").orderBy("t", "event_id"))
     return marks.select(F.col("event_id").alias("seg"), "src", F.col("t").alias("start"), nxt.alias("end"), kind.alias("kind"), F.col("luma").alias("conf")).where("end is not null")
 
@@ -107,17 +85,18 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "ev": """ev AS (SELECT event_id, user_id % 10 AS src, (epoch_us(ts) - 1704067200000000) / 3600000000::DOUBLE AS t,
         event_type, value / 500::DOUBLE AS luma FROM events)""",
-    "samples": """samples AS (SELECT event_id AS pos, src, t, luma, (event_id % 17) / 17::DOUBLE AS skin FROM ev WHERE event_id % 4 IN (1, 2))""",
+    "samples": """samples AS (SELECT event_id AS pos, src, t, luma, (event_id % 17) / 17::DOUBLE AS skin FROM ev)""",
     "faces": """faces AS (SELECT event_id AS pos, src, t, 'T' || ((event_id + k * 7) % 6)::VARCHAR AS track,
         ((event_id * 13 + k * 29) % 80) / 100::DOUBLE AS x, ((event_id * 7 + k * 31) % 70) / 100::DOUBLE AS y,
         0.05::DOUBLE + ((event_id + k) % 15) / 100::DOUBLE AS w, 0.05::DOUBLE + ((event_id + k * 3) % 20) / 100::DOUBLE AS h,
         ((event_id * 3 + k * 5) % 10) / 10::DOUBLE AS mouth
-        FROM ev JOIN (SELECT unnest(range(0, 4)) AS k) n ON k < event_id % 5 % 4 WHERE event_id % 4 IN (1, 2))""",
-    "words": """words AS (SELECT event_id AS word_id, src, t, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'purchase' THEN 'OFFSCREEN'
-        ELSE 'S' || (event_id % 3)::VARCHAR END AS speaker, luma FROM ev WHERE event_id % 4 = 3)""",
+        FROM ev JOIN (SELECT unnest(range(0, 4)) AS k) n ON k < event_id % 5 % 4)""",
+    "words": """words AS (SELECT conv_id * 4294967296 + turn::BIGINT * 1048576 + i AS word_id, conv_id % 10 AS src, (turn::BIGINT * 600000 + i * 15000) / 60000::DOUBLE AS t,
+        role AS speaker, (length(word) % 10) / 20::DOUBLE AS luma
+        FROM (SELECT conv_id, turn, role, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM (SELECT *, string_split(text, ' ') AS w FROM conversations) c) x WHERE word <> '')""",
     "segments": """segments AS (SELECT * FROM (SELECT event_id AS seg, src, t AS "start", lead(t) OVER (PARTITION BY src ORDER BY t, event_id) AS "end",
         CASE event_type WHEN 'view' THEN 'speechLike' WHEN 'click' THEN 'speechLike' WHEN 'signup' THEN 'musicLike' WHEN 'error' THEN 'silence' ELSE 'unknown' END AS kind,
-        luma AS conf FROM ev WHERE event_id % 4 = 0) s WHERE "end" IS NOT NULL)""",
+        luma AS conf FROM ev) s WHERE "end" IS NOT NULL)""",
     "clips": """clips AS (SELECT l_orderkey AS timeline, l_returnflag AS track,
         CASE l_returnflag WHEN 'R' THEN 'audio' WHEN 'N' THEN 'video' ELSE 'data' END AS kind,
         concat_ws('-', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, (l_extendedprice::DECIMAL(12,2))::VARCHAR) AS clip,
@@ -167,16 +146,3 @@ def pixel_neighbours(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 SQL["pixels"] = """pixels AS (SELECT vec_id AS frame, (i % 8)::INTEGER AS x, (i // 8)::INTEGER AS y, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5 + v * 2)) AS r,
     least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.45 + v)) AS g, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.4 - v)) AS b
     FROM (SELECT vec_id, k AS i, embedding[k + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS k) n) e)"""
-
-WHOLE_SQL = {name: SQL[name].replace(f" WHERE event_id % 4 {ids}", "") for name, ids in (("samples", "IN (1, 2)"), ("faces", "IN (1, 2)"), ("segments", "= 0"))} | {
-    "words": """words AS (SELECT conv_id * 4294967296 + turn::BIGINT * 1048576 + i AS word_id, conv_id % 10 AS src, (turn::BIGINT * 600000 + i * 15000) / 60000::DOUBLE AS t,
-        role AS speaker, (length(word) % 10) / 20::DOUBLE AS luma
-        FROM (SELECT conv_id, turn, role, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM (SELECT *, string_split(text, ' ') AS w FROM conversations) c) x WHERE word <> '')""",
-}
-
-
-def whole(sql: str) -> str:
-    """``sql`` over the views of ``WHOLE_SQL``, where several words of a source start at once."""
-    for name, text in WHOLE_SQL.items():
-        sql = sql.replace(SQL[name], text)
-    return sql.replace("min_by(word_id, t)", "min_by(word_id, row(t, word_id))")

@@ -11,30 +11,29 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_event(spark):
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
-    for name in ("rationals_all", "fps_snap_all"):
+    for name in ("rationals", "fps_snap"):
         assert sorted(r.event_id for r in catalogue.queries()[name](spark, FOLDER).collect()) == sorted(r.event_id for r in events.collect())
     distinct = {(r.event_type, r.user_id % 7, r.event_id % 5) for r in events.collect()}
-    want = {(*e, code) for e in distinct for code, bad in (("MVFM011", e[1] > 4), ("MVFM012", e[2] == 0), ("MVFM010", e[0] == "view")) if bad}
-    assert {tuple(r) for r in catalogue.queries()["manifest_errors_all"](spark, FOLDER).collect()} == want
+    want = {(*e, code) for e in distinct for code, bad in (("domain", e[1] > 4), ("version", e[2] == 0), ("id", e[0] == "view")) if bad}
+    assert {tuple(r) for r in catalogue.queries()["manifest_errors"](spark, FOLDER).collect()} == want
 
 
 def test_views_of_all_rows(spark):
-    whole = V.Whole(FOLDER)
     events = spark.read.parquet(f"{FOLDER}/events.parquet").collect()
     ids = sorted(r.event_id for r in events)
-    assert sorted(r.pos for r in V.samples(spark, whole).collect()) == ids
-    assert V.faces(spark, whole).count() == sum(i % 5 % 4 for i in ids)
-    assert V.segments(spark, whole).count() == len(ids) - len({r.user_id % 10 for r in events})
+    assert sorted(r.pos for r in V.samples(spark, FOLDER).collect()) == ids
+    assert V.faces(spark, FOLDER).count() == sum(i % 5 % 4 for i in ids)
+    assert V.segments(spark, FOLDER).count() == len(ids) - len({r.user_id % 10 for r in events})
     said = spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()
-    words = V.words(spark, whole).collect()
+    words = V.words(spark, FOLDER).collect()
     assert len(words) == sum(w != "" for r in said for w in (r.text or "").split(" ")) == len({w.word_id for w in words})
-    assert catalogue.queries()["lag_deltas_whole"](spark, FOLDER).count() == len(ids)
+    assert catalogue.queries()["lag_deltas"](spark, FOLDER).count() == len(ids)
 
 
 def test_every_query_vector(spark, monkeypatch):
     rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
     asked = {r.vec_id for r in rows if r.vec_id % 100 == 0}
-    got = catalogue.queries()["vector_top_k_all"](spark, FOLDER).collect()
+    got = catalogue.queries()["vector_top_k"](spark, FOLDER).collect()
     assert Counter(r.query_id for r in got) == dict.fromkeys(asked, 10)
     monkeypatch.setattr(similar, "QUERY_ROWS", 2)
     monkeypatch.setattr(similar, "DATA_ROWS", 7)
