@@ -40,12 +40,13 @@ def attribute_words(words: DataFrame, samples: DataFrame, faces: DataFrame) -> D
     return near.join(best, "pos", "left").select("word_id", "src", "t", "pos", F.coalesce("track", F.lit("OFFSCREEN")).alias("track"), F.coalesce("n_faces", F.lit(0)).alias("n_faces"))
 
 
-def first_seen_labels(rows: DataFrame, speaker: str, *, by: list[str], order: str) -> DataFrame:
-    """Dense labels T1, T2... in the order of first appearance; OFFSCREEN keeps its name and takes no number."""
-    first = rows.groupBy(*by, speaker).agg(F.min(order).alias("first_t"))
-    on = first.where(F.col(speaker) != "OFFSCREEN")
-    numbered = on.withColumn("label", F.concat(F.lit("T"), F.row_number().over(Window.partitionBy(*by).orderBy("first_t", speaker)).cast("string")))
-    return numbered.unionByName(first.where(F.col(speaker) == "OFFSCREEN").withColumn("label", F.lit("OFFSCREEN")))
+def labelled_speakers(words: DataFrame) -> DataFrame:
+    """Words (src, track, t) to (src, track, first_t, n, label): dense labels T1, T2... in the order of first
+    appearance; OFFSCREEN keeps its name and takes no number."""
+    seen = words.groupBy("src", "track").agg(F.min("t").alias("first_t"), F.count("*").alias("n"))
+    off = F.col("track") == "OFFSCREEN"
+    number = F.row_number().over(Window.partitionBy("src", off).orderBy("first_t", "track"))
+    return seen.withColumn("label", F.when(off, F.col("track")).otherwise(F.concat(F.lit("T"), number.cast("string"))))
 
 
 def binding_weights(words: DataFrame, samples: DataFrame, faces: DataFrame, tolerance: float = 0.5) -> DataFrame:

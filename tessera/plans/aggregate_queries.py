@@ -38,12 +38,11 @@ ATTR_SQL = f"""{REACH_SQL}, best AS (SELECT pos, track FROM (SELECT pos, track,
 )
 def speaker_attribution(spark, d):
     """Words inside speech, each given to the best face near it; speakers by first appearance."""
-    attributed = A.attribute_words(V.words(spark, d), V.samples(spark, d), V.faces(spark, d))
     gates = V.segments(spark, d).where("kind = 'speechLike'").select("src", "start", "end")
-    gated = attributed.join(T.interval_join(attributed, gates, by="src", t="t").select("word_id").distinct(), "word_id", "left_semi")
-    labels = A.first_seen_labels(gated, "track", by=["src"], order="t")
-    counts = gated.groupBy("src", "track").agg(F.count("*").alias("n"))
-    return labels.join(counts, ["src", "track"]).select("src", "track", "label", r6("first_t").alias("first_t"), "n")
+    # segments of a source don't overlap, so a word is in one of them at most
+    heard = T.interval_join(V.words(spark, d), gates, by="src", t="t").select("word_id", "src", "t")
+    said = A.attribute_words(heard, V.samples(spark, d), V.faces(spark, d))
+    return A.labelled_speakers(said).select("src", "track", "label", r6("first_t").alias("first_t"), "n")
 
 
 @query(

@@ -59,9 +59,7 @@ def speaker_diarization(spark, d):
     asked = candidates(spark, d)
     heard = asked.join(speech_gating(spark, d).select("word_id"), "word_id", "left_semi")
     said = folds.sticky_speaker(heard).join(heard.select("word_id", "t"), "word_id")
-    labels = A.first_seen_labels(said, "track", by=["src"], order="t")
-    counts = said.groupBy("src", "track").agg(F.count("*").alias("n"))
-    return labels.join(counts, ["src", "track"]).select("src", "track", "label", F.round("first_t", 6).alias("first_t"), "n")
+    return A.labelled_speakers(said).select("src", "track", "label", F.round("first_t", 6).alias("first_t"), "n")
 
 
 @query(
