@@ -268,7 +268,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     # Records with magic in their payload: their pieces, which may lie in several ranges.
     broken = good.where(~F.col("whole")).select("file", F.col("start").alias("owner"), F.col("after").alias("until"))
     inside = walked.where(F.col("owner").isNotNull()).select("file", "block", "at", "start", F.col("owner").cast("long").alias("owner")).join(broken, ["file", "owner"])
-    ahead = walked.where(F.col("owner").isNull()).select("file", "block", "at", "start").join(broken, "file").where((F.col("owner") < F.col("start")) & (F.col("start") < F.col("until")))
+    # A piece before a range's first record belongs to the last record that starts before it in the file.
+    head = F.struct(F.col("start").alias("owner"), F.col("after").alias("until"), "whole")
+    heads = good.select("file", F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("at"), "start", head.alias("head"))
+    loose = walked.where(F.col("owner").isNull()).select("file", "block", "at", "start", F.lit(None).cast(heads.schema["head"].dataType).alias("head"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = heads.unionByName(loose).withColumn("head", F.last("head", True).over(earlier)).where("block is not null and not head.whole and start < head.until")
+    ahead = ahead.select("file", "block", "at", "start", F.col("head.owner").alias("owner"))
     needed = materialise(inside.select("file", "block", "at", "start", "owner").union(ahead.select("file", "block", "at", "start", "owner")), "inside")
     contents = pieces.mapInArrow(_piece_bytes, "file string, block long, at long, value binary").join(needed, ["file", "block", "at"])
     assembled = contents.select("file", "owner", "start", "value").groupBy("file", "owner").applyInPandas(_assemble, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string")
