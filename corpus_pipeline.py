@@ -13,14 +13,33 @@ from tessera.llm import exact_dedup, language_id, minhash_dedup, sentencepiece_c
 from tessera.llm.shared import materialise, table
 
 
+# How many times the even odds among all languages a text's best language must have.
+MIN_ODDS = 1.2
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number of their own for each row, written down, and that column's name."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    return docs.join(materialise(gone.select(F.col("row").alias(row)), "gone"), row, "left_anti").drop(row)
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and those without a letter go.
+    """Documents whose language the network can tell; null texts, those without a letter and those
+    for which no language has ``MIN_ODDS`` times the even odds go.
 
     With no labelled document to learn from, every text with a letter stays."""
     model = language_id.fit_languages(docs.where(~language_id.held_out()))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return language_id.identify_languages(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    least = min(1.0, MIN_ODDS / len(model.languages))
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= least)
+    return language_id.identify_languages(docs, model).where(known).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,47 +47,40 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows that repeat identifier and text leave one row, whichever of them it is.
     """
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", "text_sha256", F.lit(True).alias("stays"))
-    return _one_of_each(docs, kept)
-
-
-def _one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    ours = docs.withColumn("_sha", sha)
-    k = materialise(kept, "kept")
-    stay = ours.join(k, ours["doc_id"].eqNullSafe(k["doc_id"]) & (ours["_sha"] == k["text_sha256"]), "left_semi")
-    repeated = materialise(ours.groupBy("doc_id", "_sha").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"), F.col("_sha").alias("r_sha")), "repeated")
-    again = stay["doc_id"].eqNullSafe(F.col("r_id")) & (stay["_sha"] == F.col("r_sha"))
-    once = stay.join(repeated, again, "left_anti")
-    several = stay.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return once.unionByName(several).select(*docs.columns)
+    numbered, row = _numbered(docs)
+    return _without(numbered, row, exact_dedup.exact_dedup(numbered, row_col=row).where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest doc_id."""
-    near = minhash_dedup.near_duplicates(docs)
-    gone = materialise(near.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One document of each component of near duplicates: the one with the smallest doc_id, null last.
+
+    Two texts with one doc_id are two documents; rows that repeat identifier and text are one, as the stage
+    before leaves none of them.
+    """
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ident"), "text")
+    near = minhash_dedup.near_duplicates(named, id_col="ident", details=True).where(F.col("component").isNotNull())
+    near = materialise(near.select("component", F.struct("doc_id", "uid").alias("one")), "near")
+    stays = near.groupBy("component").agg(F.count("*").alias("n"), F.min("one").alias("stays")).where("n > 1").drop("n")
+    gone = materialise(near.join(materialise(stays, "stays"), "component").where("one <> stays").select("one.*").distinct(), "gone")
+    uid = F.xxhash64(docs["text"].cast("string").cast("binary"))
+    here = (F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == gone["doc_id"]) & (uid == gone["uid"])
+    return docs.join(gone, here, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; of the last repetition only the words it takes.
 
-    A cut text holds its first words with single spaces between them. Rows that repeat identifier,
-    source and size all get the largest of their shares.
+    A cut text ends with the last word that is taken; what stands before is left as it is.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(source_mixing.WORD)), F.lit(0)).cast("long")
-    shares = source_mixing.mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"))
-    shares = materialise(shares.where("_taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), "_taken"), "shares")
-    ours = docs.withColumn("_size", size)
-    met = ours.join(shares, ours["doc_id"].eqNullSafe(shares["_id"]) & ours["source"].eqNullSafe(shares["_source"]) & (ours["_size"] == shares["_n"]))
-    repeats = met.withColumn("_left", F.explode(F.sequence(F.col("_taken"), F.lit(1), -F.col("_size"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({source_mixing.WORD})")), F.lit(1), F.col("_left").cast("int")), " ")
-    text = F.when(F.col("_left") < F.col("_size"), cut).otherwise(F.col("text"))
-    taken = repeats.withColumn("text", text)
+    shares = source_mixing.mix_sources(docs, whole=True).where("taken > 0")
+    repeats = shares.select("document", "size", F.explode(F.sequence(F.col("taken"), F.lit(1), -F.col("size"))).alias("left"))
+    pieces = F.regexp_extract_all("document.text", F.lit(f"([\\x20\\x09-\\x0D]*{source_mixing.WORD})"))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("left").cast("int")), "")
+    text = F.when(F.col("left") < F.col("size"), cut).otherwise(F.col("document.text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        taken = taken.withColumn("n_chars", F.length("text").cast("long"))
-    return taken.select(*docs.columns)
+        changed["n_chars"] = F.length(text).cast("long")
+    return repeats.select(*[changed.get(c, F.col("document").getField(c)).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

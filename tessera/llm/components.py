@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialise
+from tessera.llm.shared import discard, materialise, same_table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,8 +23,10 @@ def components(links: DataFrame) -> DataFrame:
         nearer = materialise(nearer, "nearer")
         up = nearer.select(F.col("node").alias("next"), F.col("next").alias("up"))
         jumped = materialise(nearer.join(up, "next").select("node", F.col("label").alias("old"), F.least("next", "up").alias("label")), "labels")
-        labels = jumped.select("node", "label")
+        discard(labels, nearer)
+        labels = same_table(jumped.select("node", "label"), jumped)
         if jumped.where("old <> label").isEmpty():
+            discard(both)
             return labels
 
 
@@ -32,5 +34,8 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, label) after more links (a, b) between those nodes."""
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias("label_" + c)) for c in "ab")
     between = links.join(a, "a").join(b, "b").where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("merged"))
-    return materialise(labels.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "labels")
+    found = components(between)
+    merged = found.select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    out = materialise(labels.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "labels")
+    discard(found)
+    return out

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, merge_components
-from tessera.llm.shared import materialise, table
+from tessera.llm.shared import discard, materialise, table
 from tessera.llm.shingles import bodies, finish, in_chunks, shingle_sets
 
 TABLES, ROWS, SHINGLE = 20, 3, 5
@@ -130,7 +130,9 @@ def _shared_keys(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = halves.join(nodes.select("node", "second"), "node").select("node", "i", "part", F.posexplode("second").alias("j", "other"))
     keyed = materialise(both.select(F.xxhash64("i", "j", "part", "other").alias("key"), "node"), "keys")
     smallest = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n"), "smallest")
-    return materialise(keyed.join(smallest, "key"), "members"), halves
+    members = materialise(keyed.join(smallest, "key"), "members")
+    discard(many, keyed, smallest)
+    return members, halves
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
@@ -164,6 +166,7 @@ def _links_across(mixed: DataFrame, compared: DataFrame, nodes: DataFrame) -> Da
     most = F.col("both") + F.size("shared")
     placed = placed.withColumn("reach", F.floor((100 + PERCENT) * most / PERCENT) - F.col("n")).where(F.col("reach") >= F.floor(F.col("n") * PERCENT / 100))
     placed = materialise(placed, "placed")
+    discard(needed, known, common, shared)
 
     sketch = ("node", "label", "n", "reach", "first", "second", "hub_bits", "shared")
     ready = mixed.join(placed, ["hub", "node"])
@@ -187,7 +190,7 @@ def _links_across(mixed: DataFrame, compared: DataFrame, nodes: DataFrame) -> Da
     return outside.join(inside, ["i", "part", "size_class"]).where(met).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", details: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A document's set holds its
@@ -201,15 +204,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Nulls: a null or wordless text has no shingles, is linked to nothing and is its own component;
     a null identifier has a null component_id and is kept. Rows that repeat an identifier each get
     the component of their own text. An empty table gives an empty result. Texts may be of any length.
+
+    With ``details`` there are also ``uid``, the xxhash64 of the text's bytes, and ``component``, a number that no other
+    component has, null for rows that are linked to nothing.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body")).withColumn("uid", F.xxhash64("body"))
     sketches = materialise(named.mapInArrow(_sketch, "doc_id long, uid long, n_shingles long, digest binary, first array<long>, second array<long>"), "sketches")
     linkable = sketches.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     one = F.min(F.struct("doc_id", "uid")).alias("one")
+    told = materialise(sketches.select("doc_id", "uid", "n_shingles", "digest"), "told")
     classes = materialise(linkable.groupBy("digest").agg(one, *[F.first(c).alias(c) for c in ("n_shingles", "first", "second")]), "classes")
     # nodes are numbered by their smallest identifier
     in_order = classes.repartitionByRange("one", "digest").sortWithinPartitions("one", "digest")
     nodes = materialise(in_order.select(F.monotonically_increasing_id().alias("node"), "one.doc_id", "one.uid", "digest", "n_shingles", "first", "second"), "nodes")
+    discard(sketches, classes)
     members, halves = _shared_keys(nodes)
     involved = materialise(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "uid"), "involved")
     # Those in need of a set grow with the documents, so they are never broadcast; rows that repeat
@@ -225,17 +233,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mixed = materialise(own.drop("n").join(hubs, ["i", "part"]), "mixed")
     pairs = mixed.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     compared = materialise(_with_sets(pairs, sets).mapInArrow(_compare_with_hub, _COMPARED), "compared")
+    discard(members, halves, own, hubs, sets)
     labels = merge_components(involved.select("node", F.col("node").alias("label")), compared.where("link and a <> b").select("a", "b"))
 
     labelled = materialise(mixed.join(labels, "node"), "labelled")
-    mixed = materialise(labelled.join(_mixed(labelled), ["i", "part"]), "mixed")
-    labels = merge_components(labels, materialise(_links_across(mixed, compared, nodes), "links_across"))
-
-    reached = labels.join(nodes.select(F.col("node").alias("label"), F.col("doc_id").alias("component_id")), "label").select("node", "component_id")
-    by_digest = nodes.select("digest", "node", F.col("doc_id").alias("own")).join(reached, "node", "left").select("digest", F.coalesce("component_id", "own").alias("component_id"))
-    placed = sketches.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
-    placed = placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    apart = materialise(labelled.join(_mixed(labelled), ["i", "part"]), "apart")
+    last = merge_components(labels, materialise(_links_across(apart, compared, nodes), "links_across"))
+
+    reached = last.join(nodes.select(F.col("node").alias("label"), F.col("doc_id").alias("component_id")), "label")
+    of_node = nodes.select("digest", "node", F.col("doc_id").alias("own")).join(reached, "node", "left")
+    by_digest = materialise(of_node.select("digest", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("label", "node").alias("component")), "by_digest")
+    discard(nodes, involved, mixed, compared, labels, labelled, apart, last)
+    placed = told.join(by_digest, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    more = ["uid", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component")] if details else []
+    return placed.select("doc_id", "n_shingles", "component_id", kept, *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,8 +50,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     bounded_batches(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression="zstd")
+    return _at(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def _at(df: DataFrame, path: str) -> DataFrame:
+    df._tessera_path = path
+    return df
+
+
+def same_table(df: DataFrame, of: DataFrame) -> DataFrame:
+    """``df``, a projection of a materialised table, known to stand on its files."""
+    return _at(df, of._tessera_path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more: what was made of them is written down itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

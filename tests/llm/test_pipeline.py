@@ -4,6 +4,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline as C
+from tessera.llm import language_id
 from tests.llm.test_minhash_dedup import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept string"
@@ -21,11 +22,19 @@ def stages(spark, df, folder):
     return out
 
 
-def check(rows, outs):
+def told(df):
+    """Documents with a letter whose best language has more than MIN_ODDS times the even odds."""
+    model = language_id.fit_languages(df.where(~language_id.held_out()))
+    rows = [(r.doc_id, r.text) for r in df.collect() if r.text and any(c.isalpha() for c in r.text)]
+    best = language_id.document_probabilities(model, [t.encode() for _, t in rows]).max(axis=1)
+    return Counter(r for r, p in zip(rows, best) if p >= min(1, C.MIN_ODDS / len(model.languages)))
+
+
+def check(df, outs):
     """Each stage against plain Python on what the stage before kept."""
     lang, exact, near, mixed, coded = outs
     kept = Counter((r.doc_id, r.text) for r in lang.collect())
-    assert kept == Counter((i, t) for i, t in rows if t and any(c.isalpha() for c in t))
+    assert kept == told(df)
 
     largest = {}
     for i, t in kept:
@@ -34,9 +43,15 @@ def check(rows, outs):
     after = Counter((r.doc_id, r.text) for r in exact.collect())
     assert after == Counter({(i, t): 1 for t, i in largest.items()})
 
-    gone = {i for i, _, _, k in brute(list(after)) if not k}
+    rows = sorted(after, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    groups = defaultdict(list)
+    for n, _, component, _ in brute(list(enumerate(t for _, t in rows))):
+        groups[component].append(rows[n])
     last = Counter((r.doc_id, r.text) for r in near.collect())
-    assert last == Counter({(i, t): 1 for i, t in after if i not in gone})
+    assert sum(last.values()) == len(groups)
+    for group in groups.values():
+        (stays,) = [r for r in group if last[r]]
+        assert stays[0] == min(group, key=lambda r: (r[0] is None, r[0] or 0))[0]
 
     size = lambda t: len(t.split())
     given, taken = defaultdict(int), defaultdict(int)
@@ -54,13 +69,30 @@ def check(rows, outs):
 
 def test_edge_cases(spark, tmp_path):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    check([(r[0], r[1]) for r in ROWS], stages(spark, df, tmp_path))
+    check(df, stages(spark, df, tmp_path))
+
+
+def test_rows_that_share_an_identifier(spark, tmp_path):
+    a, b = " ".join(f"word{n}x" for n in range(60)), " ".join(f"other{n}y" for n in range(60))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (None, b + " again"), (None, "quite another text without an identifier"), (2, "a third text of the second one")]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t), 5, "k") for i, t in rows], SCHEMA)
+    outs = stages(spark, df, tmp_path)
+    check(df, outs)
+    assert {(r.doc_id, r.text) for r in outs[2].collect()} == {rows[0], rows[2], rows[5], rows[6]}
+
+
+def test_a_cut_text_keeps_its_white_space(spark):
+    text = " one\n\ttwo  three four\n"
+    rows = [(1, text * 3, "en", "a", 0, 5, "k"), (2, "x y z", "en", "b", 0, 5, "k"), (3, "u v", "en", "c", 0, 5, "k")]
+    mixed = C.mix(spark, spark.createDataFrame(rows, SCHEMA), "unused").collect()
+    assert mixed and all(r.n_chars == len(r.text) and any(t.startswith(r.text) for _, t, *_ in rows) for r in mixed)
+    assert any(r.text != t and t.startswith(r.text) for r in mixed for _, t, *_ in rows)
 
 
 def test_documents(spark, tmp_path):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     outs = stages(spark, df, tmp_path)
-    check([(r.doc_id, r.text) for r in df.collect()], outs)
+    check(df, outs)
     whole = C.run(spark, "/root/testdata/sf0.001").collect()
     assert Counter(whole) == Counter(outs[-1].collect())
 
