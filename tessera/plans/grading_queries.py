@@ -200,7 +200,7 @@ _logged = Steps().then([_cct(c) for c in RGB])
 of_pixels(
     "apply_lut",
     V.ctes("pixels") + ", " + ", ".join(_logged.parts) + ", " + _table_sql(_logged.last)
-    + " SELECT p.frame, p.x, p.y, " + ", ".join(f"round(p.{c} * 0.3 + ({_from_cct('k.' + c)}) * 0.7, 9) AS {c}" for c in RGB) + " FROM pixels p JOIN looked k USING (frame, x, y)",
+    + " SELECT p.frame, p.x, p.y, " + ", ".join(f"round(p.{c} * {1 - 0.7}::DOUBLE + ({_from_cct('k.' + c)}) * 0.7::DOUBLE, 9) AS {c}" for c in RGB) + " FROM pixels p JOIN looked k USING (frame, x, y)",
     lambda p: G.apply_table_in_log(p, warm_table(), 0.7),
 )
 

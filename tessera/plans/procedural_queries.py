@@ -111,7 +111,7 @@ def _dispersed(angle: float) -> str:
     s = Steps().then(dx="x / 8::DOUBLE - 0.5", dy="y / 8::DOUBLE - 0.5").then(far1="sqrt(power(dx + 0.0001, 2) + power(dy + 0.0001, 2))", amount=f"power(sqrt(dx * dx + dy * dy), 1.2) * 0.8 * {900 / 1080}")
     for c, side in (("r", "-"), ("b", "+")):
         s.then(**{f"{c}x": f"trunc(least(7, greatest(0, (x / 8::DOUBLE {side} {ux} * amount) * 8)))::INTEGER", f"{c}y": f"trunc(least(7, greatest(0, (y / 8::DOUBLE {side} {uy} * amount) * 8)))::INTEGER"})
-    return V.ctes("pixels") + ", " + ", ".join(s.parts) + f""" SELECT a.frame, a.x, a.y, round(a.r * 0.2 + p.r * 0.8, 9) AS r, round(a.g, 9) AS g, round(a.b * 0.2 + q.b * 0.8, 9) AS b
+    return V.ctes("pixels") + ", " + ", ".join(s.parts) + f""" SELECT a.frame, a.x, a.y, round(a.r * {1 - 0.8}::DOUBLE + p.r * 0.8::DOUBLE, 9) AS r, round(a.g, 9) AS g, round(a.b * {1 - 0.8}::DOUBLE + q.b * 0.8::DOUBLE, 9) AS b
       FROM {s.last} a JOIN pixels p ON p.frame = a.frame AND p.x = a.rx AND p.y = a.ry JOIN pixels q ON q.frame = a.frame AND q.x = a.bx AND q.y = a."by" """
 
 
