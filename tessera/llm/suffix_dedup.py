@@ -14,11 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialise, table
-from tessera.llm.shingles import _BYTE, _powers, finish, in_chunks
+from tessera.llm.shared import discard, materialise, table
+from tessera.llm.shingles import _BYTE, _powers, bodies, finish, in_chunks
 from tessera.llm.suffix_sort import suffix_order
 
 LENGTH, GRAM = 100, 32
@@ -29,6 +29,7 @@ MOST_FILTER_BITS = 1 << 28
 # Contexts of one anchor that a task compares; anchors with more are compared window by window.
 MOST_CONTEXTS = 2048
 _GROUP_ROWS = 16384
+_PIECE = 1 << 20
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _PLACE = np.uint64((1 << 30) - 1)  # texts are shorter than 1 GB
 
@@ -67,9 +68,20 @@ def _anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {"text": text, "x": x - begins[text], "low": low, "high": high, "key": grams[x].view(np.int64), "context": context.view(np.int64), "base": begins[text]}
 
 
+def _pieces(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Texts of about a megabyte together: the place of the first, the bytes before it, the texts. A longer text
+    comes in pieces that overlap by a window less one byte, so that every window is in one piece."""
+    for at, chunk in in_chunks(bodies(column), _PIECE):
+        if len(chunk) == 1 and len(chunk[0]) > _PIECE:
+            for start in range(0, len(chunk[0]) - LENGTH + 1, _PIECE):
+                yield at, start, [chunk[0][start : start + _PIECE + LENGTH - 1]]
+        else:
+            yield at, 0, chunk
+
+
 def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, chunk in in_chunks(batch.column("body").to_pylist(), 1 << 20):
+        for _, _, chunk in _pieces(batch.column("body")):
             keys, counts = np.unique(_anchors(chunk)["key"], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts > 1)], names=["key", "again"])
 
@@ -119,7 +131,7 @@ def _occurrences(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         bits = shared.value
         for batch in batches:
             docs, uids = np.asarray(batch.column("doc")), np.asarray(batch.column("uid"))
-            for at, chunk in in_chunks(batch.column("body").to_pylist(), 1 << 20):
+            for at, before, chunk in _pieces(batch.column("body")):
                 found = _anchors(chunk)
                 keep = np.ones(len(found["key"]), bool)
                 for slots in _filter_slots(found["key"], len(bits) * 8):
@@ -135,7 +147,7 @@ def _occurrences(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     bodies[n] = joined[low:at_x] + joined[at_x + GRAM : high + LENGTH]  # the anchor itself is the key's
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(found["key"]), pa.array(found["context"]), pa.array(docs[at + found["text"]]), pa.array(uids[at + found["text"]]), pa.array(found["x"]),
+                        pa.array(found["key"]), pa.array(found["context"]), pa.array(docs[at + found["text"]]), pa.array(uids[at + found["text"]]), pa.array(found["x"] + before),
                         pa.array((x - found["high"]).astype(np.int32)), pa.array((x - found["low"]).astype(np.int32)), pa.array(bodies, pa.binary()),
                     ],
                     names=["key", "context", "doc", "uid", "x", "least", "most", "body"],
@@ -310,6 +322,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keys = named.select("body").mapInArrow(_anchor_keys, "key long, again boolean")
     repeated = materialise(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("key"), "repeated")
     shared = spark.sparkContext.broadcast(_repeated_filter(repeated, repeated.count()))
+    discard(repeated)
     occurrences = materialise(
         named.select("doc", "uid", "body").mapInArrow(_occurrences(shared), "key long, context long, doc long, uid long, x long, least int, most int, body binary"), "occurrences"
     )
@@ -329,11 +342,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     same = windows.groupBy("key", "window", "a").agg(first.alias("e"), F.sum("n").alias("n")).where("n > 1").select("key", "window", "a", "e")
     more = windows.join(same, ["key", "window", "a"]).select("key", "context", F.col("a").alias("a_from"), F.col("a").alias("a_to"), F.col("e.doc").alias("e_doc"), F.col("e.uid").alias("e_uid"), F.col("e.x").alias("e_x"))
     runs = materialise(runs.unionByName(more), "runs")
+    discard(contexts, common, windows)
 
     later = ~((F.col("doc") == F.col("e_doc")) & (F.col("uid") == F.col("e_uid")) & (F.col("x") == F.col("e_x")))
     covered = occurrences.select("context", "doc", "uid", "x").join(runs.drop("key"), "context").where(later)
-    ranges = covered.groupBy("doc", "uid").agg(F.collect_list(F.struct((F.col("x") - F.col("a_to")).alias("start"), (F.col("x") - F.col("a_from") + LENGTH).alias("stop"))).alias("ranges"))
-    ranges = materialise(ranges, "ranges")
+    covered = covered.select("doc", "uid", (F.col("x") - F.col("a_to")).alias("start"), (F.col("x") - F.col("a_from") + LENGTH).alias("stop"))
+    # ranges that touch become one, so a text has as many as it has removed runs
+    by = Window.partitionBy("doc", "uid").orderBy("start")
+    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.coalesce((F.col("start") > F.col("reach")).cast("int"), F.lit(1))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    islands = covered.withColumn("reach", reach).withColumn("island", island).groupBy("doc", "uid", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    ranges = materialise(islands.groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "ranges")
+    discard(occurrences, runs)
     return named.join(ranges, ["doc", "uid"], "left").select("doc_id", "body", "ranges").mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
     )

@@ -57,3 +57,14 @@ def test_against_brute_force(spark, monkeypatch, most):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_text_of_several_pieces(spark):
+    rng = random.Random(8)
+    words = [f"w{n}" for n in range(5000)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = line(60)
+    text = line(195_000)[: (1 << 20) - 150]
+    rows = [(1, passage), (2, text + passage + line(9000) + passage + text[500:900])]
+    got = remove_repeats(spark.createDataFrame([(*r, "b", 1, 2) for r in rows], SCHEMA)).drop("kept_bytes").collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
