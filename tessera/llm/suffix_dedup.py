@@ -2,9 +2,9 @@
 
 Every window of ``LENGTH`` bytes has an anchor: its leftmost ``GRAM``-byte string of smallest hash.
 Equal windows have equal anchors at the same place, so only text around anchors that occur again
-needs to be compared. Occurrences with the same bytes around an anchor are one context; within
-an anchor, a suffix array of the contexts' continuations puts those with long common prefixes side by
-side, and windows are equal if they share such an interval and the bytes before the anchor.
+needs to be compared. Occurrences with the same bytes around an anchor are one context. The contexts
+of a bounded number of anchors are joined to one text, whose suffix array, built by linear grouping, has
+equal windows side by side: those in one interval of common prefixes as long as a window are equal.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SPAN = LENGTH - GRAM  # places that an anchor can have in a window, less one
 MOST_FILTER_BITS = 1 << 28
 # Contexts of one anchor that a task compares; anchors with more are compared window by window.
 MOST_CONTEXTS = 2048
-_GROUP_ROWS = 16384
+_GROUP_ROWS, _SORT_ROWS = 16384, 2048
 _PIECE = 1 << 20
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _PLACE = np.uint64((1 << 30) - 1)  # texts are shorter than 1 GB
@@ -160,58 +160,82 @@ _CONTEXT = ("key", "context", "doc", "uid", "x", "n", "least", "most")
 _RUNS = "key long, context long, a_from int, a_to int, e_doc long, e_uid long, e_x long"
 
 
-def _interval_order(key: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Rows by key and then by what follows the anchor, from a suffix array of the distinct ones."""
-    width = -(-right.shape[1] // 8) * 8
-    blocks = np.ascontiguousarray(np.pad(right, ((0, 0), (0, width - right.shape[1])))).view(">u8").astype(np.uint64)
-    mixed = key.view(np.uint64).copy()
-    for b in range(blocks.shape[1]):
-        mixed = finish(mixed * _ODD + blocks[:, b])
-    _, rep, kind = np.unique(mixed, return_index=True, return_inverse=True)
-    keys, of_rep = np.unique(key[rep], return_inverse=True)
-    several = np.flatnonzero(np.bincount(of_rep, minlength=len(keys))[of_rep] > 1)
-    rank = np.zeros(len(rep), np.int64)
-    if len(several):
-        symbols, flat = np.unique(blocks[rep[several]], return_inverse=True)
-        text = np.concatenate([of_rep[several][:, None], flat.reshape(len(several), -1) + len(keys)], axis=1)
-        order = np.array(suffix_order(text.ravel().tolist()), np.int64)
-        own = order[order % text.shape[1] == 0] // text.shape[1]
-        rank[several[own]] = np.arange(len(own))
-    return np.lexsort((rank[kind], key))
+def _common(parts: list[bytes]) -> int:
+    """How many leading bytes all parts share."""
+    low, high = min(parts), max(parts)
+    n = min(len(low), len(high))
+    differ = np.flatnonzero(np.frombuffer(low, np.uint8, n) != np.frombuffer(high, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
+
+
+def _joined(keys: np.ndarray, bodies: list[bytes], most: list[int]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """One text of all contexts, and for each where its anchor stands and how many bytes left and right of it
+    it shares with all contexts of its anchor. Anchor and shared bytes are one symbol, which names the anchor; 0
+    ends a context."""
+    text: list[int] = []
+    at, left, right = (np.empty(len(bodies), np.int64) for _ in range(3))
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
+    for n, (a, b) in enumerate(zip(edges, edges[1:])):
+        before = _common([body[:m][::-1] for body, m in zip(bodies[a:b], most[a:b])])
+        after = _common([body[m:] for body, m in zip(bodies[a:b], most[a:b])])
+        left[a:b], right[a:b] = before, after
+        for i in range(a, b):
+            text += [c + 1 for c in bodies[i][: most[i] - before]]
+            at[i] = len(text)
+            text.append(257 + n)
+            text += [c + 1 for c in bodies[i][most[i] + after :]]
+            text.append(0)
+    return text, at, left, right
+
+
+def _common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """Of neighbouring suffixes in order, the length of their common prefix, up to ``most``."""
+    padded = np.concatenate([text, np.full(most, -1)])
+    out, open_ = np.zeros(len(order) - 1, np.int64), np.arange(len(order) - 1)
+    for k in range(most):
+        open_ = open_[padded[order[open_] + k] == padded[order[open_ + 1] + k]]
+        if not len(open_):
+            break
+        out[open_] += 1
+    return out
 
 
 def _compare(rows: dict[str, np.ndarray], bodies: list[bytes]) -> dict[str, np.ndarray]:
-    """Of all contexts of some anchors: for ranges of windows, the earliest occurrence of the same bytes."""
+    """Of all contexts of some anchors: for ranges of windows, the earliest occurrence of the same bytes.
+
+    A window is named by its context and the number of bytes before the anchor. The suffix array of the joined
+    contexts has equal windows in one interval of common prefixes as long as they are."""
     n = len(bodies)
-    right, left = np.zeros((n, SPAN), np.uint8), np.zeros((n, SPAN), np.uint8)
-    for i, (body, most) in enumerate(zip(bodies, rows["most"].tolist())):
-        b = np.frombuffer(body, np.uint8)
-        r, l = b[most:], b[:most][::-1]
-        right[i, : len(r)], left[i, : len(l)] = r, l
-    order = _interval_order(rows["key"], right)
-    differ = right[order[1:]] != right[order[:-1]]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), SPAN)
-    common[rows["key"][order[1:]] != rows["key"][order[:-1]]] = -1
+    text, at, left, right = _joined(rows["key"], bodies, rows["most"].tolist())
+    order = np.array(suffix_order(text), np.int64)
+    rank = np.empty(len(text), np.int64)
+    rank[order] = np.arange(len(text))
+    common = _common_prefixes(np.array(text), order, SPAN + 1)
+
+    least, sizes = rows["least"].astype(np.int64), (rows["most"] - rows["least"] + 1).astype(np.int64)
+    row = np.repeat(np.arange(n), sizes)
+    a = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + least[row]
+    ahead, behind = np.maximum(0, a - left[row]), np.maximum(0, SPAN - a - right[row])
+    place, need = rank[at[row] - ahead], ahead + 1 + behind
+    interval = np.empty(len(row), np.int64)
+    by_need = np.argsort(need, kind="stable")
+    bounds = np.searchsorted(need[by_need], np.arange(SPAN + 3))
+    for length in range(1, SPAN + 2):
+        some = by_need[bounds[length] : bounds[length + 1]]
+        if len(some):
+            interval[some] = np.concatenate([[0], np.cumsum(common < length)])[place[some]]
+
     age = np.empty(n, np.int64)
     age[np.lexsort((rows["x"], rows["uid"], rows["doc"]))] = np.arange(n)
-    earliest = np.full((n, SPAN + 1), -1, np.int32)
-    before = np.zeros(n, np.uint64)
-    for a in range(SPAN + 1):
-        if a:
-            before = finish(before * _ODD + left[:, a - 1].astype(np.uint64) + np.uint64(1))
-        interval = np.empty(n, np.uint64)
-        interval[order] = np.concatenate([[0], np.cumsum(common < SPAN - a)]).astype(np.uint64)
-        some = np.flatnonzero((rows["least"] <= a) & (a <= rows["most"]))
-        if not len(some):
-            continue
-        kind = finish(interval[some] * _ODD + before[some])
-        by = np.lexsort((age[some], kind))
-        new = np.concatenate([[True], kind[by][1:] != kind[by][:-1]])
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        again = (size[group] > 1) | (rows["n"][some[by]] > 1)
-        earliest[some[by], a] = np.where(again, some[by[new]][group], -1)
-    flat = np.pad(earliest, ((0, 0), (0, 1)), constant_values=-1).ravel()
+    anchor = np.cumsum(np.concatenate([[0], rows["key"][1:] != rows["key"][:-1]]))
+    by = np.lexsort((age[row], interval, a, anchor[row]))
+    same = (np.diff(interval[by]) == 0) & (np.diff(a[by]) == 0) & (np.diff(anchor[row[by]]) == 0)
+    new = np.concatenate([[True], ~same])
+    group = np.cumsum(new) - 1
+    again = (np.bincount(group)[group] > 1) | (rows["n"][row[by]] > 1)
+    earliest = np.full((n, SPAN + 2), -1, np.int64)
+    earliest[row[by], a[by]] = np.where(again, row[by[new]][group], -1)
+    flat = earliest.ravel()
     change = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     stop = np.concatenate([change[1:], [len(flat)]])
     real = flat[change] >= 0
@@ -223,6 +247,16 @@ def _compare(rows: dict[str, np.ndarray], bodies: list[bytes]) -> dict[str, np.n
     }
 
 
+def _compare_some(rows: dict[str, np.ndarray], bodies: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
+    """``_compare`` for about ``_SORT_ROWS`` contexts at a time, whole anchors together."""
+    edges = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1], [True]]))
+    start = 0
+    for end in edges[1:].tolist():
+        if end - start >= _SORT_ROWS or end == len(bodies):
+            yield _compare({c: v[start:end] for c, v in rows.items()}, bodies[start:end])
+            start = end
+
+
 def _compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, compared a number of whole keys at a time."""
 
@@ -236,8 +270,8 @@ def _compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(rows[c][same]) for c in took.values()], names=list(took))
         if not single.all():
             several = np.flatnonzero(~single)
-            out = _compare({c: v[several] for c, v in rows.items()}, part.column("body").take(pa.array(several)).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], names=list(out))
+            for out in _compare_some({c: v[several] for c, v in rows.items()}, part.column("body").take(pa.array(several)).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], names=list(out))
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
