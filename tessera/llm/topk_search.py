@@ -27,7 +27,7 @@ from tessera.llm.shared import materialise, table
 MOST_PIVOTS = 1024
 # Data and queries that meet in one task, each.
 GROUP_BYTES = 4 << 20
-LEAF = 64
+LEAF, TILE = 256, 1024
 _SLACK = 1e-9
 
 
@@ -173,9 +173,9 @@ class DualSearch:
             worst = min(c.worst for c in at.children) if at is not None else worst
 
     def _base(self, q: Node, d: Node) -> None:
-        for a in range(0, len(q.queries), 16 * LEAF):
-            for b in range(0, len(d.data), 16 * LEAF):
-                self._score(q.queries[a : a + 16 * LEAF], d.data[b : b + 16 * LEAF])
+        for a in range(0, len(q.queries), TILE):
+            for b in range(0, len(d.data), TILE):
+                self._score(q.queries[a : a + TILE], d.data[b : b + TILE])
         self._raise(q)
 
     def _score(self, queries: np.ndarray, data: np.ndarray) -> None:
