@@ -160,32 +160,40 @@ _CONTEXT = ("key", "context", "doc", "uid", "x", "n", "least", "most")
 _RUNS = "key long, context long, a_from int, a_to int, e_doc long, e_uid long, e_x long"
 
 
-def _common(parts: list[bytes]) -> int:
-    """How many leading bytes all parts share."""
-    low, high = min(parts), max(parts)
-    n = min(len(low), len(high))
-    differ = np.flatnonzero(np.frombuffer(low, np.uint8, n) != np.frombuffer(high, np.uint8, n))
-    return int(differ[0]) if len(differ) else n
-
-
-def _joined(keys: np.ndarray, bodies: list[bytes], most: list[int]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """One text of all contexts, and for each where its anchor stands and how many bytes left and right of it
-    it shares with all contexts of its anchor. Anchor and shared bytes are one symbol, which names the anchor; 0
-    ends a context."""
+def _shared(parts: list[bytes]) -> tuple[int, list[int]]:
+    """How many leading bytes all parts share, and of each part how many can tell it from the others: one more
+    than it shares with any of them."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    kept, fewest = [0] * len(parts), len(parts[0])
+    for i, j in zip(order, order[1:]):
+        n = min(len(parts[i]), len(parts[j]))
+        differ = np.flatnonzero(np.frombuffer(parts[i], np.uint8, n) != np.frombuffer(parts[j], np.uint8, n))
+        n = int(differ[0]) if len(differ) else n
+        fewest = min(fewest, n)
+        kept[i], kept[j] = max(kept[i], n + 1), max(kept[j], n + 1)
+    return fewest, [min(k, len(part)) for k, part in zip(kept, parts)]
+
+
+def _joined(keys: np.ndarray, bodies: list[bytes], most: list[int]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One text of all contexts, and for each where its anchor stands, how many bytes left and right of it
+    it shares with all contexts of its anchor, and how many bytes left of it the text has. Anchor and shared bytes are
+    one symbol, which names the anchor; bytes behind those in which a context differs from all others can be in no
+    equal window and are left out; 0 ends a context."""
     text: list[int] = []
-    at, left, right = (np.empty(len(bodies), np.int64) for _ in range(3))
+    at, left, right, kept = (np.empty(len(bodies), np.int64) for _ in range(4))
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
     for n, (a, b) in enumerate(zip(edges, edges[1:])):
-        before = _common([body[:m][::-1] for body, m in zip(bodies[a:b], most[a:b])])
-        after = _common([body[m:] for body, m in zip(bodies[a:b], most[a:b])])
-        left[a:b], right[a:b] = before, after
+        before, back = _shared([body[:m][::-1] for body, m in zip(bodies[a:b], most[a:b])])
+        after, on = _shared([body[m:] for body, m in zip(bodies[a:b], most[a:b])])
+        left[a:b], right[a:b], kept[a:b] = before, after, back
         for i in range(a, b):
-            text += [c + 1 for c in bodies[i][: most[i] - before]]
+            body, m = bodies[i], most[i]
+            text += [c + 1 for c in body[m - back[i - a] : m - before]]
             at[i] = len(text)
             text.append(257 + n)
-            text += [c + 1 for c in bodies[i][most[i] + after :]]
+            text += [c + 1 for c in body[m + after : m + on[i - a]]]
             text.append(0)
-    return text, at, left, right
+    return text, at, left, right, kept
 
 
 def _common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -206,7 +214,7 @@ def _compare(rows: dict[str, np.ndarray], bodies: list[bytes]) -> dict[str, np.n
     A window is named by its context and the number of bytes before the anchor. The suffix array of the joined
     contexts has equal windows in one interval of common prefixes as long as they are."""
     n = len(bodies)
-    text, at, left, right = _joined(rows["key"], bodies, rows["most"].tolist())
+    text, at, left, right, kept = _joined(rows["key"], bodies, rows["most"].tolist())
     order = np.array(suffix_order(text), np.int64)
     rank = np.empty(len(text), np.int64)
     rank[order] = np.arange(len(text))
@@ -216,8 +224,9 @@ def _compare(rows: dict[str, np.ndarray], bodies: list[bytes]) -> dict[str, np.n
     row = np.repeat(np.arange(n), sizes)
     a = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + least[row]
     ahead, behind = np.maximum(0, a - left[row]), np.maximum(0, SPAN - a - right[row])
-    place, need = rank[at[row] - ahead], ahead + 1 + behind
-    interval = np.empty(len(row), np.int64)
+    known = a <= kept[row]
+    place, need = rank[np.where(known, at[row] - ahead, 0)], np.where(known, ahead + 1 + behind, 0)
+    interval = -1 - np.arange(len(row))  # what starts before the text is like no other
     by_need = np.argsort(need, kind="stable")
     bounds = np.searchsorted(need[by_need], np.arange(SPAN + 3))
     for length in range(1, SPAN + 2):
