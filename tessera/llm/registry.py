@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language_id, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, suffix_dedup, topk_search, url_filters, warc
+from tessera.llm import exact_dedup, importance, language_id, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, suffix_dedup, topk_search, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_minhash_dedup": minhash_dedup.query,
     "op9_warc": warc.query,
     "op10_license_scan": license_scan.query,
+    "op11_vector_codes": vector_codes.query,
+    "op13_importance": importance.query,
 }
 
 ORACLES = {
@@ -23,4 +25,6 @@ ORACLES = {
     "op7_topk_search": topk_search.ORACLE,
     "op8_minhash_dedup": minhash_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_importance": importance.ORACLE,
 }

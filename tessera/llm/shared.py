@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+TREE_DEPTH = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,3 +79,31 @@ def discard(*tables: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def partition_totals(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], length: int) -> np.ndarray:
+    """The sum over all partitions of one vector of ``length`` whole numbers each, to which ``add`` adds every batch.
+
+    The vectors meet pair by pair in tasks, a tree of ``TREE_DEPTH`` levels, so the driver gets only a few.
+    """
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length, np.int64)
+        for batch in batches:
+            add(total, batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    bounded_batches(df.sparkSession)
+    vectors = df.mapInArrow(one, "total binary").rdd.mapPartitions(lambda rows: [sum((np.frombuffer(r.total, np.int64) for r in rows), start=np.zeros(length, np.int64))])
+    return vectors.treeReduce(np.add, TREE_DEPTH) if vectors.getNumPartitions() else np.zeros(length, np.int64)
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``rank``, 1 for the first row of the order. Rows are range-partitioned and sorted, so no task holds
+    more than its range; only the number of rows of each range passes through one task."""
+    rows = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "in_order")
+    part = F.shiftright("place", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialise(sizes.select("part", ahead.alias("ahead")), "starts")
+    return rows.join(starts, part == F.col("part")).withColumn("rank", F.col("ahead") + F.col("place").bitwiseAND((1 << 33) - 1) + 1).drop("place", "part", "ahead")
