@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, importance, language_id, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, suffix_dedup, topk_search, url_filters, vector_codes, warc
+from tessera.llm import exact_dedup, importance, jaccard_join, language_id, license_scan, minhash_dedup, sentencepiece_codec, source_mixing, suffix_dedup, topk_search, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.query,
     "op10_license_scan": license_scan.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_jaccard_join": jaccard_join.query,
     "op13_importance": importance.query,
 }
 
@@ -26,5 +27,6 @@ ORACLES = {
     "op8_minhash_dedup": minhash_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op12_jaccard_join": jaccard_join.ORACLE,
     "op13_importance": importance.ORACLE,
 }
