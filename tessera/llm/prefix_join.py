@@ -71,7 +71,7 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     rows = [F.sum(F.when(F.col("place") <= F.col("longest") + m, F.col("often")).otherwise(0)).alias(f"rows_{m}") for m in MATCHES]
     costs = placed.groupBy("node").agg(F.first("n").alias("n"), *rows)
     cost = [F.struct((F.col(f"rows_{m}") * (1 + F.col("n") * COMPARE / m)).alias("cost"), F.lit(m).alias("matches")) for m in MATCHES]
-    chosen = materialise(costs.select("node", F.least(F.col("n"), F.array_min(F.array(*cost))["matches"]).cast("int").alias("matches")), "chosen")
+    chosen = materialise(costs.select("node", F.array_min(F.array(*cost))["matches"].alias("matches")), "chosen")
     smallest = least_partner(F.col("n"), percent)
     classes = F.sequence(size_class(smallest), size_class(F.greatest(smallest, F.floor(100 * F.col("n") / percent))))
 
@@ -131,8 +131,9 @@ def links_across(keys: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "place", "n", "matches", "label")]
     outside = mixed.where("label <> largest").select("key", F.col("with").alias("class"), *side("a"))
     inside = mixed.select("key", F.col("of").alias("class"), (F.col("label") == F.col("largest")).alias("of_largest"), *side("b"))
-    matches = F.least("matches_a", "matches_b")
-    spare = matches - least_overlap(F.col("n_a"), F.col("n_b"), percent)
+    overlap = least_overlap(F.col("n_a"), F.col("n_b"), percent)
+    matches = F.least("matches_a", "matches_b", overlap)
+    spare = matches - overlap
     met = (
         (F.col("label_a") != F.col("label_b"))
         & (F.col("of_largest") | (F.col("node_a") < F.col("node_b")))
