@@ -1,7 +1,7 @@
-"""Operators that depend on the rows before in order: hysteresis, spacing, chunking, clustering.
+"""Operators that depend on the rows before in order: hysteresis, chunking, clustering.
 
-A fold reads each source's rows in order from its sorted task and keeps only its state, so memory
-doesn't grow with a source.
+A fold reads each source's rows in order from its sorted task and keeps only its state. Folds whose steps can be composed
+are in ``blocks``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def ordered_fold(rows: DataFrame, *, by: str, order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple[object, list[tuple]]], schema: str, finish: Callable[[object], list[tuple]] | None = None) -> DataFrame:
@@ -38,17 +39,6 @@ def ordered_fold(rows: DataFrame, *, by: str, order: list[str], start: Callable[
     return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(fold, schema)
 
 
-def spaced(rows: DataFrame, *, by: str, t: str, key: str, gap: float) -> DataFrame:
-    """Rows at least ``gap`` after the last accepted one: punch-in spacing and throttling."""
-    own = rows.select(by, t, key)
-
-    def step(last, row):
-        src, at, name = row
-        return (at, [(src, at, name)]) if last is None or at - last >= gap else (last, [])
-
-    return ordered_fold(own, by=by, order=[t, key], start=lambda: None, step=step, schema=f"{by} long, {t} double, {key} long")
-
-
 def sticky_speaker(candidates: DataFrame, *, factor: float = 1.15, lift: float = 0.005) -> DataFrame:
     """Rows (src, word_id, tracks, scores) to (src, word_id, track): the speaker changes only for a clearly better
     candidate, or when the last one is absent; without candidates it is OFFSCREEN."""
@@ -66,27 +56,6 @@ def sticky_speaker(candidates: DataFrame, *, factor: float = 1.15, lift: float =
     return ordered_fold(own, by="src", order=["word_id"], start=lambda: None, step=step, schema="src long, word_id long, track string")
 
 
-def undo_redo(edits: DataFrame) -> DataFrame:
-    """Edits (doc, seq, kind, value) to (doc, seq, value, undoable, redoable): the value in force after each step.
-
-    An undo takes the last step back and a redo the last one undone forward again; a new edit forgets what was undone."""
-    own = edits.select("doc", "seq", "kind", "value")
-
-    def step(state, row):
-        doc, seq, kind, value = row
-        done, undone = state
-        if kind == "undo" and done:
-            undone.append(done.pop())
-        elif kind == "redo" and undone:
-            done.append(undone.pop())
-        elif kind == "edit":
-            done.append(value)
-            undone.clear()
-        return state, [(doc, seq, done[-1] if done else None, len(done), len(undone))]
-
-    return ordered_fold(own, by="doc", order=["seq"], start=lambda: ([], []), step=step, schema="doc long, seq long, value long, undoable long, redoable long")
-
-
 def caption_chunks(words: DataFrame, *, seconds: float = 4.0, most: int = 12, gap: float = 0.8) -> DataFrame:
     """Words (src, start, end, word, speaker) to cues: a cue ends at its length, word count, a gap, a sentence end or another speaker."""
     own = words.select("src", "start", "end", "word", "speaker")
@@ -109,28 +78,14 @@ def caption_chunks(words: DataFrame, *, seconds: float = 4.0, most: int = 12, ga
 
 
 def normalise_cues(cues: DataFrame) -> DataFrame:
-    """Drop broken cues and let each start no earlier than the last kept one ended."""
-    own = cues.select("src", "start", "end", "text", "speaker")
-
-    def step(reach, row):
-        src, start, end, text, speaker = row
-        bad = start is None or end is None or not np.isfinite(start) or not np.isfinite(end) or start < 0 or not (text or "").strip()
-        start = start if bad else max(start, reach)
-        return (reach, []) if bad or end <= start else (end, [(src, start, end, text, speaker)])
-
-    return ordered_fold(own, by="src", order=["start", "end"], start=lambda: 0.0, step=step, schema="src long, start double, end double, text string, speaker string")
-
-
-def accumulate(rows: DataFrame, *, by: str, order: list[str], key: str, value: str, weight: float) -> DataFrame:
-    """The exponential moving average acc = mix(acc, value, weight), from the first value on."""
-    own = rows.select(by, *order, key, value) if key not in order else rows.select(by, *order, value)
-    at = own.columns.index(key)
+    """Drop broken cues (src, start, end, text, speaker) and let each start no earlier than the last kept one ended.
 
-    def step(acc, row):
-        acc = row[-1] if acc is None else acc * (1 - weight) + row[-1] * weight
-        return acc, [(row[0], row[at], acc)]
-
-    return ordered_fold(own, by=by, order=order, start=lambda: None, step=step, schema=f"{by} long, {key} long, acc double")
+    A sound cue that reaches beyond all before it is kept, so the last kept end is the greatest end so far."""
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    sound = cues.where(number("start") & number("end") & (F.col("start") >= 0) & (F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) != ""))
+    before = Window.partitionBy("src").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.lit(0.0), F.max(F.when(F.col("end") > F.col("start"), F.col("end"))).over(before))
+    return sound.withColumn("start", F.greatest("start", reach)).where("end > start").select("src", "start", "end", "text", "speaker")
 
 
 def online_clusters(vectors: DataFrame, *, threshold: float = 0.72) -> DataFrame:
@@ -156,22 +111,6 @@ def online_clusters(vectors: DataFrame, *, threshold: float = 0.72) -> DataFrame
     return ordered_fold(own, by="src", order=["key"], start=dict, step=step, schema="src long, key long, cluster string")
 
 
-def pink_noise(white: DataFrame) -> DataFrame:
-    """A seven-state filter over white samples (src, i, value)."""
-    own = white.select("src", "i", "value")
-    # The filter's poles and gains.
-    poles = (0.99886, 0.99332, 0.96900, 0.86650, 0.55000, -0.7616)
-    gains = (0.0555179, 0.0750759, 0.1538520, 0.3104856, 0.5329522, -0.0168980)
-
-    def step(b, row):
-        src, i, w = row
-        now = [p * x + g * w for p, g, x in zip(poles, gains, b)]
-        value = sum(now) + b[6] + w * 0.5362
-        return [*now, w * 0.115926], [(src, i, value * 0.11)]
-
-    return ordered_fold(own, by="src", order=["i"], start=lambda: [0.0] * 7, step=step, schema="src long, i long, value double")
-
-
 def one_to_one(bindings: DataFrame, *, least: float = 0.7) -> DataFrame:
     """Edges (src, speaker, track, posterior), best first, each speaker and track used once."""
     own = bindings.where(f"posterior >= {least}").selectExpr("src", "-posterior as rank", "speaker", "track")
@@ -180,6 +119,7 @@ def one_to_one(bindings: DataFrame, *, least: float = 0.7) -> DataFrame:
         src, rank, speaker, track = row
         if ("s", speaker) in used or ("t", track) in used:
             return used, []
-        return used | {("s", speaker), ("t", track)}, [(src, speaker, track, -rank)]
+        used.update((("s", speaker), ("t", track)))
+        return used, [(src, speaker, track, -rank)]
 
-    return ordered_fold(own, by="src", order=["rank", "speaker", "track"], start=frozenset, step=step, schema="src long, speaker string, track string, posterior double")
+    return ordered_fold(own, by="src", order=["rank", "speaker", "track"], start=set, step=step, schema="src long, speaker string, track string, posterior double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import attribution as A
-from tessera.operators import folds
+from tessera.operators import blocks, folds
 from tessera.plans.aggregate_queries import NEAR_SQL, REACH_SQL, SCORE_SQL
 from tessera.plans.registry import Registry
 from tessera.plans.temporal_queries import GATED, speech_gating
@@ -23,7 +23,7 @@ QUERIES, ORACLES = query.queries, query.oracles
 )
 def punch_in_spacing(spark, d):
     beats = V.samples(spark, d).where("luma > 0.05")
-    return folds.spaced(beats, by="src", t="t", key="pos", gap=3.0).select("src", "pos")
+    return blocks.spaced(beats, by="src", t="t", key="pos", gap=3.0).select("src", "pos")
 
 
 CANDIDATES = REACH_SQL + f""", cand AS (SELECT pos, list(track ORDER BY s DESC, track) AS tracks, list(s ORDER BY s DESC, track) AS scores FROM (SELECT pos, track, {SCORE_SQL} AS s FROM faces) z GROUP BY pos),
@@ -73,7 +73,7 @@ def speaker_diarization(spark, d):
 )
 def undo_redo(spark, d):
     kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "purchase", "redo").otherwise("edit")
-    return folds.undo_redo(V.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").alias("value")))
+    return blocks.undo_redo(V.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").alias("value")))
 
 
 @query(
@@ -107,7 +107,7 @@ def online_clusters(spark, d):
       SELECT src, pos, round(acc, 9) AS acc FROM r""",
 )
 def moving_average(spark, d):
-    return folds.accumulate(V.samples(spark, d), by="src", order=["t", "pos"], key="pos", value="luma", weight=0.2).withColumn("acc", F.round("acc", 9))
+    return blocks.accumulate(V.samples(spark, d), by="src", order=["t", "pos"], key="pos", value="luma", weight=0.2).withColumn("acc", F.round("acc", 9))
 
 
 EDGES = f"""{NEAR_SQL}, seen AS (SELECT n.word_id, n.src, n.speaker, f.track, (f.w * f.h) * (1 + 0.2 * greatest(0, 1 - sqrt(power(f.x + f.w / 2 - 0.5, 2) + power(f.y + f.h / 2 - 0.5, 2)) / 0.7071)) * (1 + f.mouth) AS score
@@ -144,7 +144,7 @@ def normalised_cues(spark, d):
     return folds.normalise_cues(cues).select("src", F.round("start", 6).alias("start_t"), F.round("end", 6).alias("end_t"), "text")
 
 
-_POLES = ((0.99886, 0.0555179), (0.99332, 0.0750759), (0.96900, 0.1538520), (0.86650, 0.3104856), (0.55000, 0.5329522), (-0.7616, -0.0168980))
+_POLES = list(zip(blocks.PINK_POLES, blocks.PINK_GAINS))
 _FILTER = ", ".join(f"x.b{k} * {p}::DOUBLE + {g}::DOUBLE * x.w AS b{k}" for k, (p, g) in enumerate(_POLES))
 
 
@@ -157,4 +157,37 @@ _FILTER = ", ".join(f"x.b{k} * {p}::DOUBLE + {g}::DOUBLE * x.w AS b{k}" for k, (
 )
 def pink_noise(spark, d):
     white = V.samples(spark, d).select("src", F.col("pos").alias("i"), (F.col("skin") * 2 - 1).alias("value"))
-    return folds.pink_noise(white).withColumn("value", F.round("value", 9))
+    return blocks.pink_noise(white).withColumn("value", F.round("value", 9))
+
+
+_FRAMES = """WITH RECURSIVE b AS (SELECT label AS src, vec_id AS frame, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n,
+        list_concat(list_concat(list_transform(embedding, lambda v: least(1, greatest(0, 0.5::DOUBLE + v::DOUBLE * 2))), list_transform(embedding, lambda v: least(1, greatest(0, 0.45::DOUBLE + v::DOUBLE)))),
+                    list_transform(embedding, lambda v: least(1, greatest(0, 0.4::DOUBLE - v::DOUBLE)))) AS f FROM embeddings WHERE label IS NOT NULL),
+      r AS (SELECT src, n, frame, f AS acc FROM b WHERE n = 1 UNION ALL
+        SELECT b.src, b.n, b.frame, list_transform(list_zip(r.acc, b.f), lambda z: z[1] * 0.85::DOUBLE + z[2] * 0.15::DOUBLE) FROM r JOIN b ON b.src = r.src AND b.n = r.n + 1)"""
+_AT = ", ".join(f"round(acc[i + {64 * k + 1}], 9) AS {c}" for k, c in enumerate("rgb"))
+
+
+def accumulated_frames(spark, d):
+    """Every source's frames as red, green and blue in one array, averaged over the frames before."""
+    frames = V.frames(spark, d, "label").where("label is not null").select("frame", F.col("label").cast("long").alias("src"), F.concat("r", "g", "b").alias("f"))
+    return blocks.accumulate(frames, by="src", order=["frame"], key="frame", value="f", weight=0.15)
+
+
+def _to_pixels(frames, *names):
+    i = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")
+    at = frames.select(*names, "acc", i)
+    return at.select(*names, (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), *[F.round(F.get("acc", F.col("i") + 64 * k), 9).alias(c) for k, c in enumerate("rgb")])
+
+
+@query("px_accumulate", _FRAMES + f" SELECT src, frame, (i % 8)::INTEGER AS x, (i // 8)::INTEGER AS y, {_AT} FROM r, (SELECT unnest(range(64)) AS i)")
+def px_accumulate(spark, d):
+    """The temporal accumulator after each frame of a source."""
+    return _to_pixels(accumulated_frames(spark, d), "src", "frame")
+
+
+@query("px_resolve", _FRAMES + f" SELECT src, (i % 8)::INTEGER AS x, (i // 8)::INTEGER AS y, {_AT} FROM r, (SELECT unnest(range(64)) AS i) WHERE (src, n) IN (SELECT src, max(n) FROM r GROUP BY src)")
+def px_resolve(spark, d):
+    """What a source's accumulator holds in the end."""
+    last = accumulated_frames(spark, d).groupBy("src").agg(F.max_by("acc", "frame").alias("acc"))
+    return _to_pixels(last, "src")

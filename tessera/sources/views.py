@@ -120,11 +120,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame, r, g, b): every vector as a frame of 8 by 8 pixels, an array by rows for each channel."""
+def frames(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(frame, r, g, b): every vector as a frame of 8 by 8 pixels, an array by rows for each channel; ``more`` columns of its row stay."""
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     of = lambda f: F.transform("embedding", lambda v: unit(f(v.cast("double"))))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), of(lambda v: 0.5 + v * 2).alias("r"), of(lambda v: 0.45 + v).alias("g"), of(lambda v: 0.4 - v).alias("b"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), *more, of(lambda v: 0.5 + v * 2).alias("r"), of(lambda v: 0.45 + v).alias("g"), of(lambda v: 0.4 - v).alias("b"))
 
 
 def pixel_neighbours(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:

@@ -1,9 +1,9 @@
-from tessera.operators import folds
+from tessera.operators import blocks, folds
 
 
 def test_spacing(spark):
     rows = spark.createDataFrame([(1, float(t), i) for i, t in enumerate([0, 0.5, 0.75, 1.4, 1.5, 3])] + [(2, 0.1, 9)], "src long, t double, id long")
-    got = folds.spaced(rows, by="src", t="t", key="id", gap=0.75).collect()
+    got = blocks.spaced(rows, by="src", t="t", key="id", gap=0.75).collect()
     assert sorted((r.src, r.id) for r in got) == [(1, 0), (1, 2), (1, 4), (1, 5), (2, 9)]
 
 
