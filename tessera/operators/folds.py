@@ -39,18 +39,21 @@ def ordered_fold(rows: DataFrame, *, by: str, order: list[str], start: Callable[
     return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(fold, schema)
 
 
+def sticky_step(last: str | None, tracks: list[str] | None, scores: list[float] | None, factor: float = 1.15, lift: float = 0.005) -> str:
+    """The track that speaks after ``last``: it changes only for a clearly better candidate, or when it is absent."""
+    found = sorted(zip(scores, tracks), key=lambda x: (-x[0], x[1])) if tracks is not None else [(1.0, "OFFSCREEN")]
+    of = {t: s for s, t in found}
+    best = found[0]
+    return last if last in of and best[0] < of[last] * factor + lift else best[1]
+
+
 def sticky_speaker(candidates: DataFrame, *, factor: float = 1.15, lift: float = 0.005) -> DataFrame:
-    """Rows (src, word_id, tracks, scores) to (src, word_id, track): the speaker changes only for a clearly better
-    candidate, or when the last one is absent; without candidates it is OFFSCREEN."""
+    """Rows (src, word_id, tracks, scores) to (src, word_id, track) in the order of words; without candidates it is OFFSCREEN."""
     own = candidates.select("src", "word_id", "tracks", "scores")
 
     def step(last, row):
         src, word, tracks, scores = row
-        found = sorted(zip(scores, tracks), key=lambda x: (-x[0], x[1])) if tracks is not None else [(1.0, "OFFSCREEN")]
-        of = {t: s for s, t in found}
-        best = found[0]
-        keep = last in of and best[0] < of[last] * factor + lift
-        track = last if keep else best[1]
+        track = sticky_step(last, tracks, scores, factor, lift)
         return track, [(src, word, track)]
 
     return ordered_fold(own, by="src", order=["word_id"], start=lambda: None, step=step, schema="src long, word_id long, track string")

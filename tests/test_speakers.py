@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.operators import clustering as C
+from tessera.operators.masks import propagate_masks
 from tessera.plans import speaker_queries as Q
 
 
@@ -83,7 +84,7 @@ def test_rare_speakers_by_hand(spark):
 def test_masks_move_between_key_frames(spark):
     square = [int(y in (2, 3) and x in (2, 3)) for y in range(8) for x in range(8)]
     rows = [(1, k, square, [1] * 64, [0] * 64) for k in range(8)]
-    got = {r.key: r for r in Q.propagate_masks(spark.createDataFrame(rows, "src long, key long, own array<int>, dx array<int>, dy array<int>"), every=4).collect()}
+    got = {r.key: r for r in propagate_masks(spark.createDataFrame(rows, "src long, key long, own array<int>, dx array<int>, dy array<int>"), every=4).collect()}
     at = lambda k: {(n // 8, n % 8) for n, c in enumerate(got[k].mask) if c == "1"}
     assert at(0) == at(4) == {(y, x) for y in (2, 3) for x in (2, 3)}
     assert at(3) == {(y, x) for y in (2, 3) for x in (5, 6)}
