@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import Registry
-from tessera.sources import captions, fits
+from tessera.sources import captions, fits, fits_files
 from tessera.sources import views as V
 from tessera.sources.scratch import new_folder
 
@@ -130,6 +130,59 @@ def fits_lines(spark, d):
     return fits.scan_lines(images(spark, d), 3, 5).select(F.col("file").cast("long").alias("vec_id"), "y", F.round(total, 9).alias("total"))
 
 
+_SHEETS = """WITH i AS (SELECT vec_id // 64 AS file, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS y, count(*) OVER (PARTITION BY vec_id // 64) AS height, embedding FROM embeddings)"""
+
+
+def image_files(spark, d):
+    """Sixty-four vectors make an image of as many lines; gives the folder of the files."""
+    one = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    e = V.table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 64).alias("file")).agg(one.alias("lines"))
+    images = e.select(F.col("file").cast("string").alias("file"), F.size(F.col("lines")[0]["embedding"]).alias("width"), F.flatten("lines.embedding").alias("pixels"))
+    folder = new_folder(spark, "fits")
+    fits_files.write_images(images, folder)
+    return folder
+
+
+def _sheet(df):
+    return df.withColumn("file", F.regexp_extract("file", r"(\d+)\.fits$", 1).cast("long"))
+
+
+@query("fits_files", _SHEETS + " SELECT file, height::INTEGER AS height, y::INTEGER AS y, round(list_sum(embedding::DOUBLE[]), 9) AS total FROM i")
+def fits_files_query(spark, d):
+    """All lines of all image files, in splits that end within files."""
+    total = F.round(F.aggregate("row", F.lit(0.0), lambda s, v: s + v), 9).alias("total")
+    return _sheet(fits_files.read_lines(spark, image_files(spark, d), split=4096)).select("file", "height", "y", total)
+
+
+@query("fits_row_range", _SHEETS + """ SELECT file, y::INTEGER AS y, round(list_sum(embedding::DOUBLE[]), 9) AS total, (len(embedding) * 4 + CASE WHEN y = least_y THEN 2880 ELSE 0 END)::BIGINT AS bytes_read
+      FROM (SELECT *, min(y) OVER (PARTITION BY file) AS least_y FROM i WHERE y BETWEEN 10 AND 12)""")
+def fits_row_range(spark, d):
+    """Three lines of each image and the bytes that were read for them: no others, and the header once."""
+    lines = fits_files.read_lines(spark, image_files(spark, d)).where("y >= 10 and y < 13")
+    return _sheet(lines).select("file", "y", F.round(F.aggregate("row", F.lit(0.0), lambda s, v: s + v), 9).alias("total"), "bytes_read")
+
+
+_PIXELS = _SHEETS + """, p AS (SELECT file, unnest(embedding)::DOUBLE AS v FROM i), s AS (SELECT file, min(v) AS lo, max(v) AS hi, avg(v) AS mean, count(*) AS n FROM p GROUP BY file),
+      b AS (SELECT file, CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 9999) ELSE 0 END::BIGINT AS bin, count(*) AS k FROM p JOIN s USING (file) GROUP BY ALL),
+      c AS (SELECT file, bin, sum(k) OVER (PARTITION BY file ORDER BY bin) AS up_to FROM b)"""
+
+
+def _share(q: float) -> str:
+    return f"round(lo + (SELECT min(bin) FROM c WHERE c.file = s.file AND up_to >= greatest(1, floor(n * {q}::DOUBLE))) / 9999::DOUBLE * (hi - lo), 9)"
+
+
+@query("fits_statistics", _PIXELS + f" SELECT file, round(lo, 9) AS lo, round(hi, 9) AS hi, round(mean, 9) AS mean, n, {_share(0.5)} AS p50, {_share(0.9)} AS p90, {_share(0.99)} AS p99 FROM s")
+def fits_statistics(spark, d):
+    s = fits.statistics(_sheet(fits_files.read_lines(spark, image_files(spark, d))))
+    return s.select("file", *[F.round(c, 9).alias(c) for c in ("lo", "hi", "mean")], "n", *[F.round(c, 9).alias(c) for c in ("p50", "p90", "p99")])
+
+
+@query("fits_stretch", _PIXELS + f" SELECT file, {_share(0.02)} AS black, {_share(0.995)} AS white FROM s")
+def fits_stretch(spark, d):
+    s = fits.stretch_range(_sheet(fits_files.read_lines(spark, image_files(spark, d))), 0.02, 0.995)
+    return s.select("file", F.round("black", 9).alias("black"), F.round("white", 9).alias("white"))
+
+
 @query("caption_files", """WITH f AS (SELECT p_partkey % 50 AS asset, 'clip' || p_partkey::VARCHAR || CASE p_size % 3 WHEN 0 THEN '.vtt' WHEN 1 THEN '.SRT' ELSE '.txt' END AS path, p_size % 3 AS k FROM part) SELECT asset, arg_min(path, row(k, path)) AS path FROM f WHERE k < 2 GROUP BY asset""")
 def caption_files(spark, d):
     """The caption file that counts for each asset."""

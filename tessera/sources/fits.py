@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK, CARD = 2880, 80
 _VALUES_AT_ONCE = 1 << 18
-_TYPES = {-32: ">f4", 16: ">i2"}
+TYPES = {-32: ">f4", 16: ">i2"}
 _LINES = "file string, header map<string,string>, width int, height int, bitpix int, y int, row array<double>"
 
 
@@ -37,7 +37,7 @@ def _first_image(path: str, content: bytes) -> tuple[dict[str, str], int, int, i
         axes = [int(cards.get(f"NAXIS{k + 1}", 0)) for k in range(int(cards.get("NAXIS", 0)))]
         bits = int(cards.get("BITPIX", 8))
         if len(axes) >= 2:
-            if bits not in _TYPES:
+            if bits not in TYPES:
                 raise ValueError(f"{path}: pixels of BITPIX {bits} are not supported")
             return cards, axes[0], axes[1], bits, data
         at = data + -(-int(np.prod(axes, initial=1) if axes else 0) * abs(bits) // 8 // BLOCK) * BLOCK
@@ -57,7 +57,7 @@ def _lines(first: int, last: int | None) -> Callable[[Iterator[pd.DataFrame]], I
                 some = max(1, _VALUES_AT_ONCE // max(1, width))
                 for y in range(first, height if last is None else min(last, height), some):
                     n = min(some, (height if last is None else min(last, height)) - y)
-                    rows = np.frombuffer(content, _TYPES[bits], width * n, data + y * width * abs(bits) // 8).astype(float).reshape(n, width)
+                    rows = np.frombuffer(content, TYPES[bits], width * n, data + y * width * abs(bits) // 8).astype(float).reshape(n, width)
                     yield pd.DataFrame([(path, cards, width, height, bits, y + k, row.tolist()) for k, row in enumerate(rows)], columns=["file", "header", "width", "height", "bitpix", "y", "row"])
 
     return read
@@ -74,7 +74,44 @@ def read_fits(spark: SparkSession, path: str, first: int = 0, last: int | None =
     return scan_lines(spark.read.format("binaryFile").load(path), first, last)
 
 
+BINS = 10_000
+
+
+def histograms(lines: DataFrame, by: str = "file", bins: int = BINS) -> DataFrame:
+    """Rows (by, lo, hi, mean, n, bin, k): how many of the finite pixels of each image fall in each bin between its least and greatest.
+
+    Images without a finite pixel have one row without a bin, those of one value one bin. Only counts are shuffled, so an image may have any size.
+    """
+    finite = F.filter("row", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    pixels = lines.select(by, finite.alias("row"))
+    total = F.aggregate("row", F.lit(0.0), lambda s, v: s + v)
+    ranges = pixels.groupBy(by).agg(F.min(F.array_min("row")).alias("lo"), F.max(F.array_max("row")).alias("hi"), F.try_divide(F.sum(total), F.sum(F.size("row"))).alias("mean"), F.sum(F.size("row")).cast("long").alias("n"))
+    within = pixels.join(ranges, by).select(by, "lo", "hi", F.explode("row").alias("v"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (bins - 1))).otherwise(0)
+    counts = within.groupBy(by, place.cast("int").alias("bin")).agg(F.count("*").alias("k"))
+    return ranges.join(counts, by, "left")
+
+
+def percentiles(histogram: DataFrame, shares: dict[str, float], by: str = "file", bins: int = BINS) -> DataFrame:
+    """One row for each image: lo, hi, mean, n and the value under which each of ``shares`` of its pixels lie, read off its histogram.
+
+    A percentile is the lower edge of the first bin up to which as many pixels are counted, but at least one; an image of one value has that
+    everywhere, one without finite pixels has zeros."""
+    up_to = F.sum("k").over(Window.partitionBy(by).orderBy("bin"))
+    counted = histogram.withColumn("up_to", up_to)
+    first = [F.min(F.when(F.col("up_to") >= F.greatest(F.lit(1), F.floor(F.col("n") * share)), F.col("bin"))).alias(name) for name, share in shares.items()]
+    found = counted.groupBy(by).agg(*[F.first(c).alias(c) for c in ("lo", "hi", "mean", "n")], *first)
+    value = lambda c: F.col("lo") + F.col(c) / (bins - 1) * (F.col("hi") - F.col("lo"))
+    or_zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return found.select(by, *[or_zero(F.col(c)).alias(c) for c in ("lo", "hi", "mean")], F.coalesce("n", F.lit(0)).alias("n"), *[or_zero(value(c)).alias(c) for c in shares])
+
+
 def statistics(lines: DataFrame) -> DataFrame:
-    """Range and mean of the finite pixels of every file."""
-    v = lines.select("file", F.explode("row").alias("v")).where(~F.isnan("v") & (F.abs("v") < float("inf")))
-    return v.groupBy("file").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"))
+    """Range, mean, median and upper percentiles of the finite float32 pixels of every file; files of int16 have zeros."""
+    floats = lines.withColumn("row", F.when(F.col("bitpix") == -32, F.col("row")).otherwise(F.array().cast("array<double>")))
+    return percentiles(histograms(floats), {"p50": 0.50, "p90": 0.90, "p99": 0.99})
+
+
+def stretch_range(lines: DataFrame, black: float, white: float) -> DataFrame:
+    """The values between which each file's image is stretched."""
+    return percentiles(histograms(lines), {"black": black, "white": white}).select("file", "black", "white")
