@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import merge_components
-from tessera.llm.prefix_join import hub_links, least_overlap, links_across, prefix_keys
+from tessera.llm.prefix_join import least_overlap, linked, links_across, prefix_keys, with_hubs
 from tessera.llm.shared import discard, materialise, table
 from tessera.llm.shingles import bodies, in_chunks, shingle_sets
 
@@ -102,15 +102,16 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = materialise(wanted.select("node", "body").mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
 
     keys = prefix_keys(sets, percent)
-    labels = merge_components(nodes.select("node", F.col("node").alias("label")), hub_links(keys, sets, percent))
-    labels = merge_components(labels, links_across(keys, labels, sets, percent))
+    compared = with_hubs(keys, sets)
+    labels = merge_components(nodes.select("node", F.col("node").alias("label")), linked(compared, percent))
+    labels = merge_components(labels, links_across(keys, compared, labels, sets, percent))
 
     reached = labels.join(nodes.select(F.col("node").alias("label"), F.col("doc_id").alias("component_id")), "label")
     by_digest = materialise(nodes.join(reached, "node").select("digest", "component_id"), "by_digest")
     # texts without partners are still one component with their copies
     alone = told.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("smallest"))
     of_text = materialise(alone.join(by_digest, "digest", "left").select("digest", F.coalesce("component_id", "smallest").alias("component_id")), "of_text")
-    discard(partnered, nodes, sets, keys, labels, by_digest)
+    discard(partnered, nodes, sets, keys, compared, labels, by_digest)
     placed = told.join(of_text, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     return placed.select("doc_id", "n_shingles", component)

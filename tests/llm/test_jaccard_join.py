@@ -5,7 +5,7 @@ import pytest
 
 from tessera.llm import prefix_join
 from tessera.llm.jaccard_join import _prefix_sizes, jaccard_classes
-from tessera.llm.prefix_join import least_overlap, links_across, prefix_keys
+from tessera.llm.prefix_join import least_overlap, links_across, prefix_keys, with_hubs
 
 SCHEMA = "doc_id long, text string, node long, label string, token int"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -130,7 +130,7 @@ def test_links_only_between_labels(spark):
     sets = spark.createDataFrame([(n, np.sort(np.append(one, np.uint64(1000 + n % 2))).tobytes()) for n in range(4)], "node long, shingles binary")
     keys = prefix_keys(sets, 80)
     labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "node long, label long")
-    found = {frozenset(map(int, r)) for r in links_across(keys, labels, sets, 80).collect()}
+    found = {frozenset(map(int, r)) for r in links_across(keys, with_hubs(keys, sets), labels, sets, 80).collect()}
     assert found == {frozenset(p) for p in [(0, 1), (0, 3), (2, 1), (2, 3)]}
 
 
