@@ -72,3 +72,15 @@ def bounded_change(current: Column, proposed: Column, low: float, high: float, m
 def network_allowed(mode: Column, privacy: Column) -> Column:
     """Whether a policy lets anything leave the machine."""
     return (mode != "off") & (privacy != "localOnly")
+
+
+def media_upload_allowed(source: Column, raw: Column, deliverables: Column) -> Column:
+    """Whether a privacy policy lets media out: deliverables by their own flag, raw media by either."""
+    return F.when(source == "rawAllowed", raw | deliverables).otherwise(deliverables)
+
+
+def usage_allowed(mode: Column, source: Column, raw: Column, deliverables: Column) -> tuple[Column, Column, Column]:
+    """What a policy of use allows: network, images and video. Text alone needs no upload of media, ``off`` allows nothing."""
+    media = media_upload_allowed(source, raw, deliverables)
+    images, video = mode.isin("textAndImages", "textImagesAndVideo"), mode.isin("textAndVideo", "textImagesAndVideo")
+    return (mode == "textOnly") | ((images | video) & media), images & media, video & media

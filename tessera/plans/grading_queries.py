@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.functions.half import round_half
 from tessera.operators import grading as G
 from tessera.operators import pixels as P
 from tessera.plans.pixel_queries import L709, LAP1, PQ, RGB, _clamp, _mat, _mix, _select, _smooth, frames_beside, rounded
@@ -196,6 +197,25 @@ def _table_sql(source: str) -> str:
 
 
 of_pixels("lut_apply_3d", V.ctes("pixels") + ", " + _table_sql("pixels") + _select(RGB, "looked"), lambda p: G.apply_table(p, warm_table()))
+
+
+def _half(e: str) -> str:
+    """SQL of the nearest half-precision number of a normal or smaller one."""
+    step = f"power(2::DOUBLE, greatest(floor(log2(abs({e}))), -14) - 10)"
+    return f"CASE WHEN {e} = 0 THEN 0 ELSE round_even({e} / {step}, 0) * {step} END"
+
+
+def in_half(frames):
+    return G.step(frames, P.source().each(round_half))
+
+
+of_pixels(
+    "lut_apply_3d_half",
+    V.ctes("pixels") + f", half AS (SELECT frame, x, y, {', '.join(f'{_half(c)} AS {c}' for c in RGB)} FROM pixels), "
+    + _table_sql("half").replace("cube AS (SELECT i, j, k,", "wide AS (SELECT i, j, k,", 1).replace("corner(d0", f"cube AS (SELECT i, j, k, {', '.join(f'{_half(c)} AS {c}' for c in ('lr', 'lg', 'lb'))} FROM wide), corner(d0", 1)
+    + _select([_half(c) for c in RGB], "looked"),
+    lambda p: in_half(G.apply_table(in_half(p), warm_table().astype(np.float16))),
+)
 _logged = Steps().then([_cct(c) for c in RGB])
 of_pixels(
     "apply_lut",

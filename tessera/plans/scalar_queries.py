@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import json_text as J
 from tessera.functions import scalars as S
 from tessera.operators import attribution as A
 from tessera.operators import temporal as T
@@ -225,6 +226,41 @@ def json_numbers(spark, d):
     return V.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+_RESPONSES = (
+    'Sure: ```json {"action": "cut", "target": "clip", "params": {"at": %n, "gain": 0.5}} ``` done',
+    '```json\n{"action": "move", "target": "%l", "params": {"by": %n, "deep": {"x": 1}}}\n```',
+    'no json in here',
+    '{"action": "speed", "target": "a", "params": {"factor": 1.5e2}} and {"more": 1}',
+    '{"action": "unknown", "target": "%l", "params": {}}',
+    'it says {"action": "color_grade", "target": "sky", "params": {"ev": -0.25, "n": %n}} so',
+    '{"action": "fly", "target": "x", "params": {}}',
+    '{"action": "trim_in", "params": {"n": %n}}',
+    '```json {"action": "cut", "target": 7, "params": {}} ```',
+    '} none {',
+)
+
+
+@query(
+    "text_intents",
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') || chr(10) || replace(replace(CASE doc_id % 10 """ + " ".join(f"WHEN {n} THEN '{r}'" for n, r in enumerate(_RESPONSES)).replace("\n", "' || chr(10) || '") + r""" END, '%n', n_chars::VARCHAR), '%l', coalesce(lang, 'none')) AS text FROM documents),
+      p AS (SELECT doc_id, CASE WHEN regexp_matches(text, '```json.*?```') THEN trim(regexp_extract(text, '```json(.*?)```', 1), ' ' || chr(9) || chr(10) || chr(13)) WHEN regexp_matches(text, '\{.*\}', 's') THEN regexp_extract(text, '\{.*\}', 0, 's') END AS part FROM t),
+      j AS (SELECT doc_id, part, CASE WHEN json_valid(part) THEN part::JSON END AS j FROM p),
+      k AS (SELECT *, j ->> '$.action' AS action, json_type(j, '$.action') = 'VARCHAR' AND json_type(j, '$.target') = 'VARCHAR' AND json_type(j, '$.params') = 'OBJECT' AS typed,
+            list_transform(json_keys(j, '$.params'), lambda key: json_extract(j, '$.params.' || key)) AS vs FROM j),
+      d AS (SELECT *, coalesce(typed AND action IN ('color_grade', 'cut', 'speed', 'move', 'trim_in', 'trim_end', 'ripple_trim_out', 'ripple_trim_in', 'ripple_delete', 'unknown') AND len(list_filter(vs, lambda v: json_type(v) NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE'))) = 0, FALSE) AS ok FROM k)
+      SELECT doc_id, CASE WHEN part IS NULL THEN 'none' WHEN j IS NULL THEN 'malformed' WHEN NOT ok THEN 'undecodable' WHEN action = 'unknown' THEN 'invalid' ELSE 'valid' END AS status,
+        CASE WHEN ok THEN action END AS action, CASE WHEN ok THEN j ->> '$.target' END AS target, CASE WHEN ok THEN len(vs) END::INTEGER AS n_params, CASE WHEN ok THEN round(coalesce(list_sum(list_transform(vs, lambda v: v::DOUBLE)), 0), 6) END AS total FROM d""",
+)
+def text_intents(spark, d):
+    """An answer behind every whole text, and what JSON is found in both: fenced, nested, malformed or none."""
+    filled = lambda r: F.replace(F.replace(F.lit(r), F.lit("%n"), F.col("n_chars").cast("string")), F.lit("%l"), F.coalesce("lang", F.lit("none")))
+    answer = F.element_at(F.array(*map(filled, _RESPONSES)), (F.col("doc_id") % len(_RESPONSES) + 1).cast("int"))
+    t = V.table(spark, d, "documents").select("doc_id", J.json_part(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), answer)).alias("part"))
+    found = t.select("doc_id", J.intent(J.strict_json(F.col("part")), F.col("part")).alias("i"))
+    total = F.aggregate(F.map_values("i.params"), F.lit(0.0), lambda s, v: s + v)
+    return found.select("doc_id", "i.status", "i.action", "i.target", F.when(F.col("i.params").isNotNull(), F.size("i.params")).alias("n_params"), F.round(total, 6).alias("total"))
+
+
 @query(
     "rule_intents",
     r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\bthe\b') THEN 'trim' WHEN regexp_matches(lower(text), '\bde\b') THEN 'grade' WHEN regexp_matches(lower(text), '\bund\b') THEN 'move' ELSE 'unknown' END AS action,

@@ -82,6 +82,22 @@ def policy_predicates(spark, d):
     return V.table(spark, d, "events").select("event_type", (F.col("user_id") % 3).alias("privacy"), L.network_allowed(mode, privacy).alias("network")).distinct()
 
 
+@query(
+    "usage_policies",
+    """WITH p AS (SELECT DISTINCT event_type, user_id % 2 AS raw, event_id % 2 AS deliverables, event_id % 3 = 0 AS sole FROM events),
+      m AS (SELECT *, CASE WHEN sole THEN deliverables = 1 ELSE raw = 1 OR deliverables = 1 END AS media FROM p)
+      SELECT event_type, raw, deliverables, sole, event_type = 'click' OR (event_type IN ('view', 'signup', 'purchase') AND media) AS network, event_type IN ('view', 'purchase') AND media AS images, event_type IN ('signup', 'purchase') AND media AS video FROM m""",
+)
+def usage_policies(spark, d):
+    """The truth table of modes and privacy rules over network, images and video."""
+    modes = {"error": "off", "click": "textOnly", "view": "textAndImages", "signup": "textAndVideo", "purchase": "textImagesAndVideo"}
+    mode = F.create_map(*[F.lit(x) for item in modes.items() for x in item])[F.col("event_type")]
+    p = V.table(spark, d, "events").select("event_type", (F.col("user_id") % 2).alias("raw"), (F.col("event_id") % 2).alias("deliverables"), (F.col("event_id") % 3 == 0).alias("sole")).distinct()
+    source = F.when(F.col("sole"), "deliverablesOnly").otherwise("rawAllowed")
+    network, images, video = L.usage_allowed(mode, source, F.col("raw") == 1, F.col("deliverables") == 1)
+    return p.select("event_type", "raw", "deliverables", "sole", network.alias("network"), images.alias("images"), video.alias("video"))
+
+
 @query(
     "container_rules",
     V.ctes("samples") + """, f AS (SELECT src, max(t) - min(t) AS dur, count(*) AS n, max(luma) AS peak FROM samples GROUP BY src)
