@@ -1,7 +1,7 @@
 """The driver's tables in the shape of media tables.
 
-One media second is one hour of the event stream and ten sources share it, so samples are about a
-second apart. Samples and marks are all events, words come from the conversations. Each view has its
+A user's events are one source, a conversation's words are spoken in the source of its number, so sources grow with the tables. One
+media second is ten hours of the event stream, which puts a source's samples about a second apart. Samples and marks are all events, words come from the conversations. Each view has its
 SQL twin in ``SQL``, for oracles.
 """
 
@@ -21,7 +21,7 @@ def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, src, t, event_type, luma): every event on its source's clock."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     return table(spark, sf_dir, "events").select(
-        "event_id", (F.col("user_id") % 10).alias("src"), (micros / F.lit(3600000000.0)).alias("t"), "event_type", (F.col("value") / 500).alias("luma")
+        "event_id", F.col("user_id").alias("src"), (micros / F.lit(36000000000.0)).alias("t"), "event_type", (F.col("value") / 500).alias("luma")
     )
 
 
@@ -54,7 +54,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", " ")).alias("i", "word"))
     return each.where("word <> ''").select(
         (F.col("conv_id") * 4294967296 + F.col("turn").cast("long") * 1048576 + F.col("i")).alias("word_id"),
-        (F.col("conv_id") % 10).alias("src"),
+        F.col("conv_id").alias("src"),
         ((F.col("turn").cast("long") * 600000 + F.col("i") * 15000) / F.lit(60000.0)).alias("t"),
         F.col("role").alias("speaker"),
         (F.length("word") % 10 / 20.0).alias("luma"),
@@ -83,7 +83,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "ev": """ev AS (SELECT event_id, user_id % 10 AS src, (epoch_us(ts) - 1704067200000000) / 3600000000::DOUBLE AS t,
+    "ev": """ev AS (SELECT event_id, user_id AS src, (epoch_us(ts) - 1704067200000000) / 36000000000::DOUBLE AS t,
         event_type, value / 500::DOUBLE AS luma FROM events)""",
     "samples": """samples AS (SELECT event_id AS pos, src, t, luma, (event_id % 17) / 17::DOUBLE AS skin FROM ev)""",
     "faces": """faces AS (SELECT event_id AS pos, src, t, 'T' || ((event_id + k * 7) % 6)::VARCHAR AS track,
@@ -91,7 +91,7 @@ SQL = {
         0.05::DOUBLE + ((event_id + k) % 15) / 100::DOUBLE AS w, 0.05::DOUBLE + ((event_id + k * 3) % 20) / 100::DOUBLE AS h,
         ((event_id * 3 + k * 5) % 10) / 10::DOUBLE AS mouth
         FROM ev JOIN (SELECT unnest(range(0, 4)) AS k) n ON k < event_id % 5 % 4)""",
-    "words": """words AS (SELECT conv_id * 4294967296 + turn::BIGINT * 1048576 + i AS word_id, conv_id % 10 AS src, (turn::BIGINT * 600000 + i * 15000) / 60000::DOUBLE AS t,
+    "words": """words AS (SELECT conv_id * 4294967296 + turn::BIGINT * 1048576 + i AS word_id, conv_id AS src, (turn::BIGINT * 600000 + i * 15000) / 60000::DOUBLE AS t,
         role AS speaker, (length(word) % 10) / 20::DOUBLE AS luma
         FROM (SELECT conv_id, turn, role, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM (SELECT *, string_split(text, ' ') AS w FROM conversations) c) x WHERE word <> '')""",
     "segments": """segments AS (SELECT * FROM (SELECT event_id AS seg, src, t AS "start", lead(t) OVER (PARTITION BY src ORDER BY t, event_id) AS "end",
