@@ -53,14 +53,14 @@ def source_time(spark, d):
     return V.clips(spark, d).select("timeline", "clip", r6(((F.lit(150000) - F.col("start")) / 60000.0 + F.col("off") / 100.0) * factor).alias("source_s"))
 
 
-@query("frames_sampled", V.ctes("samples") + """, g AS (SELECT src, max(t) AS last FROM samples GROUP BY src), k AS (SELECT src, unnest(range(0, 400)) * 2.5::DOUBLE AS point, last FROM g),
+@query("frames_sampled", V.ctes("samples") + """, g AS (SELECT src, max(t) AS last FROM samples GROUP BY src), k AS (SELECT src, unnest(range(0, floor(last / 2.5)::BIGINT + 1)) * 2.5::DOUBLE AS point, last FROM g),
    n AS (SELECT k.src, k.point, (SELECT min(row(s.t, s.pos)) FROM samples s WHERE s.src = k.src AND s.t >= k.point - 1e-4) AS hit FROM k WHERE k.point < last - 1e-4)
    SELECT src, point, hit[2] AS pos FROM n""")
 def frames_sampled(spark, d):
     """The first frame at or behind every point of a grid of two and a half seconds."""
     s = V.samples(spark, d)
     last = s.groupBy("src").agg(F.max("t").alias("last"))
-    grid = last.select("src", "last", F.explode(F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: k * F.lit(2.5).cast("double"))).alias("point")).where(F.col("point") < F.col("last") - 1e-4)
+    grid = last.select("src", "last", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 2.5)), lambda k: k * F.lit(2.5).cast("double"))).alias("point")).where(F.col("point") < F.col("last") - 1e-4)
     marks = s.select("src", F.col("t").alias("when"), F.struct("t", "pos").alias("frame"), F.lit(None).cast("double").alias("point"))
     both = marks.unionByName(grid.select("src", (F.col("point") - 1e-4).alias("when"), F.lit(None).cast("struct<t: double, pos: bigint>").alias("frame"), "point"))
     # going back in time, a frame comes before a point that it still serves

@@ -15,15 +15,15 @@ from tessera.sources.scratch import new_folder
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
-CUES = r"""WITH c AS (SELECT conv_id % 16 AS file, (conv_id % 3000) * 100.0::DOUBLE + turn * 3 AS start, (conv_id % 3000) * 100.0::DOUBLE + turn * 3 + 2.5 AS "end", role AS speaker, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations WHERE text IS NOT NULL)
+CUES = r"""WITH c AS (SELECT conv_id // 8 AS file, (conv_id % 3000) * 100.0::DOUBLE + turn * 3 AS start, (conv_id % 3000) * 100.0::DOUBLE + turn * 3 + 2.5 AS "end", role AS speaker, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations WHERE text IS NOT NULL)
   SELECT file, start, "end", text, speaker FROM c WHERE text <> ''"""
 
 
 def turns_as_cues(spark, d):
-    """Every turn as a cue, sixteen files of them."""
+    """Every turn as a cue, a file for eight conversations."""
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     start = F.col("conv_id") % 3000 * 100.0 + F.col("turn") * 3
-    c = V.table(spark, d, "conversations").where("text is not null").select((F.col("conv_id") % 16).alias("file"), start.alias("start"), (start + 2.5).alias("end"), text.alias("text"), F.col("role").alias("speaker"))
+    c = V.table(spark, d, "conversations").where("text is not null").select(F.floor(F.col("conv_id") / 8).alias("file"), start.alias("start"), (start + 2.5).alias("end"), text.alias("text"), F.col("role").alias("speaker"))
     return c.where("text <> ''")
 
 
@@ -68,10 +68,10 @@ def json_lines(spark, d):
     return spark.read.text(folder)
 
 
-@query("json_documents", "SELECT o_custkey % 8 AS doc, count(*) AS samples, round(max(o_totalprice::DOUBLE), 2) AS most FROM orders GROUP BY 1")
+@query("json_documents", "SELECT o_custkey // 10 AS doc, count(*) AS samples, round(max(o_totalprice::DOUBLE), 2) AS most FROM orders GROUP BY 1")
 def json_documents(spark, d):
-    """Whole documents over several lines, each with all its samples."""
-    o = V.table(spark, d, "orders").select((F.col("o_custkey") % 8).alias("doc"), F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("luma")).alias("s"))
+    """Whole documents over several lines, one for ten customers with all their samples."""
+    o = V.table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 10).alias("doc"), F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("luma")).alias("s"))
     text = F.to_json(F.struct(F.col("doc"), F.collect_list("s").alias("samples")), {"pretty": "true"})
     folder = _written(spark, o.groupBy("doc").agg(text.alias("value")).withColumnRenamed("doc", "file"), "documents")
     read = spark.read.schema("doc long, samples array<struct<id: long, luma: double>>").option("multiLine", True).option("mode", "FAILFAST").json(folder)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import edits
 from tessera.operators import timeline as L
 from tessera.plans.registry import Registry
 from tessera.sources import views as V
@@ -98,6 +99,67 @@ def usage_policies(spark, d):
     return p.select("event_type", "raw", "deliverables", "sole", network.alias("network"), images.alias("images"), video.alias("video"))
 
 
+def editable_clips(spark, d):
+    """The clips of ``views`` with fades and effects, and for some a sound clip that goes with them."""
+    number = lambda n: F.split("clip", "-")[n].cast("long")
+    effects = F.when(number(3) % 3 == 0, F.array(F.struct(F.lit(edits.RETIME).alias("id"), F.lit(2.0).alias("value")))).otherwise(F.array().cast("array<struct<id:string,value:double>>"))
+    fade = lambda n, k: F.when(number(n) % 2 == k, F.lit(90000).cast("long"))
+    c = V.clips(spark, d).select("timeline", "track", "kind", "clip", "start", "dur", (F.col("off") * 600).alias("off"), fade(1, 0).alias("fade_in"), fade(3, 1).alias("fade_out"), effects.alias("effects"))
+    sound = c.where((F.col("kind") == "video") & (number(2) % 2 == 0)).withColumns({"track": F.lit("S"), "kind": F.lit("audio"), "clip": F.concat("clip", F.lit("-s"))})
+    return c.unionByName(sound)
+
+
+def edit_commands(spark, d):
+    """A command for each timeline, in turn: on its first clip, on one by name, or on none."""
+    named = V.clips(spark, d).groupBy("timeline").agg(F.max(F.when(F.col("kind") == "video", F.col("clip"))).alias("last"))
+    t = F.col("timeline")
+    command = F.element_at(F.array(*[F.lit(c) for c in edits.COMMANDS]), (t % len(edits.COMMANDS) + 1).cast("int"))
+    target = F.when(t % 11 == 0, "none").when(t % 2 == 0, F.col("last"))
+    return named.select("timeline", command.alias("command"), target.alias("target"), (t % 7 * 40000 + 20000).alias("ticks"), (t % 5 * 0.25).cast("double").alias("value"))
+
+
+def _settle(source: str, touched: str) -> str:
+    w = 'WINDOW w AS (PARTITION BY timeline, track ORDER BY s, pos)'
+    return f"""SELECT * EXCLUDE (fi, fo, nfi, pfo, ov, pov), CASE WHEN NOT {touched} OR fi IS NULL OR pfo IS NULL THEN fi WHEN pov > 0 THEN least(fi, pov) END AS fi, CASE WHEN NOT {touched} OR fo IS NULL OR nfi IS NULL THEN fo WHEN ov > 0 THEN least(fo, ov) END AS fo
+        FROM (SELECT *, lead(fi) OVER w AS nfi, lag(fo) OVER w AS pfo, s + dur - lead(s) OVER w AS ov, lag(s + dur) OVER w - s AS pov FROM {source} {w})"""
+
+
+_RIPPLES = "('trim_end', 'move', 'ripple_trim_out', 'ripple_trim_in', 'ripple_delete')"
+
+
+@query(
+    "edited_timelines",
+    V.ctes("clips") + f""", c0 AS (SELECT timeline, track, kind, clip, "start" AS s, dur, off * 600 AS off, CASE WHEN split_part(clip, '-', 2)::BIGINT % 2 = 0 THEN 90000 END AS fi, CASE WHEN split_part(clip, '-', 4)::BIGINT % 2 = 1 THEN 90000 END AS fo,
+        CASE WHEN split_part(clip, '-', 4)::BIGINT % 3 = 0 THEN 'mv.retime=2.0' ELSE '' END AS fx FROM clips),
+      c1 AS (SELECT * FROM c0 UNION ALL SELECT timeline, 'S', 'audio', clip || '-s', s, dur, off, fi, fo, fx FROM c0 WHERE kind = 'video' AND split_part(clip, '-', 3)::BIGINT % 2 = 0),
+      c AS (SELECT *, row_number() OVER (PARTITION BY timeline, track ORDER BY s, clip) AS pos FROM c1),
+      cmd AS (SELECT timeline, ['grade', 'trim_end', 'retime', 'move', 'trim_in', 'blade', 'ripple_trim_out', 'ripple_trim_in', 'ripple_delete'][timeline % 9 + 1] AS command,
+        CASE WHEN timeline % 11 = 0 THEN 'none' WHEN timeline % 2 = 0 THEN max(clip) FILTER (kind = 'video') END AS target, timeline % 7 * 40000 + 20000 AS ticks, timeline % 5 * 0.25::DOUBLE AS value FROM clips GROUP BY timeline),
+      m AS (SELECT cmd.*, v.track AS tt, v.pos AS tp, v.s AS ts, v.dur AS td, v.off AS toff FROM cmd JOIN c v ON v.timeline = cmd.timeline AND v.kind = 'video' AND (target IS NULL OR target = v.clip) QUALIFY row_number() OVER (PARTITION BY cmd.timeline ORDER BY v.track, v.pos) = 1),
+      n AS (SELECT *, CASE WHEN command = 'move' THEN ticks ELSE ts END AS ns, CASE WHEN command IN ('trim_end', 'ripple_trim_out') THEN ticks - ts WHEN command = 'ripple_trim_in' THEN td - (ticks - toff) ELSE td END AS nd, CASE WHEN command IN ('trim_in', 'ripple_trim_in') THEN ticks ELSE toff END AS noff FROM m
+        WHERE CASE WHEN command IN ('trim_end', 'ripple_trim_out') THEN ticks > ts WHEN command = 'blade' THEN ticks > ts AND ticks < ts + td WHEN command = 'ripple_trim_in' THEN td - (ticks - toff) > 0 ELSE TRUE END),
+      k AS (SELECT *, CASE WHEN command = 'ripple_delete' THEN -td WHEN command LIKE 'ripple%' THEN nd - td ELSE 0 END AS ripple FROM n),
+      q AS (SELECT c.*, k.* EXCLUDE (timeline), coalesce(track = tt AND pos = tp, FALSE) AS own, coalesce(track = tt, FALSE) AS mine, coalesce(command IN {_RIPPLES} AND kind = 'audio' AND s = ts AND dur = td, FALSE) AS linked,
+        coalesce(ripple <> 0 AND CASE WHEN track = tt THEN pos > tp ELSE s >= ts + td END, FALSE) AS shifted FROM c LEFT JOIN k USING (timeline)),
+      g AS (SELECT *, coalesce(command = 'ripple_delete' AND (own OR linked), FALSE) AS gone FROM q),
+      h AS (SELECT *, coalesce(lead(gone) OVER w, FALSE) AS lost_out, coalesce(lag(gone) OVER w, FALSE) AS lost_in, bool_or(linked) OVER (PARTITION BY timeline, track) AS by_sound FROM g WINDOW w AS (PARTITION BY timeline, track ORDER BY s, clip)),
+      e AS (SELECT timeline, track, kind, clip, pos, CASE WHEN own THEN ns WHEN linked AND command = 'move' THEN greatest(0, s + ns - ts) ELSE s END AS s, CASE WHEN own OR (linked AND command <> 'move') THEN nd ELSE dur END AS dur,
+        CASE WHEN own OR (linked AND command = 'ripple_trim_in') THEN noff ELSE off END AS off, CASE WHEN NOT lost_in THEN fi END AS fi, CASE WHEN NOT lost_out THEN fo END AS fo,
+        CASE WHEN own AND command = 'retime' THEN 'mv.retime=' || value::VARCHAR WHEN own AND command = 'grade' THEN CASE WHEN fx = '' THEN '' ELSE fx || ' ' END || 'mv.colorGrade=' || value::VARCHAR ELSE fx END AS fx,
+        CASE WHEN shifted THEN ripple END AS shift, by_sound, coalesce(command IN {_RIPPLES} AND mine, FALSE) OR by_sound OR coalesce(ripple <> 0, FALSE) AS touched, CASE WHEN own AND command = 'blade' THEN ticks - s END AS cut FROM h WHERE NOT gone),
+      first AS ({_settle('e', 'by_sound')}),
+      moved AS (SELECT * REPLACE (CASE WHEN shift IS NOT NULL THEN greatest(0, s + shift) ELSE s END AS s) FROM first),
+      done AS ({_settle('moved', 'touched')})
+      SELECT timeline, track, clip, part::INTEGER AS part, CASE part WHEN 1 THEN s ELSE s + cut END AS start_tick, CASE WHEN cut IS NULL THEN dur WHEN part = 1 THEN cut ELSE dur - cut END AS dur, CASE part WHEN 1 THEN off ELSE off + cut END AS off,
+        CASE part WHEN 1 THEN fi END::BIGINT AS fade_in, CASE WHEN cut IS NULL OR part = 2 THEN fo END::BIGINT AS fade_out, fx AS effects FROM done, (VALUES (1), (2)) parts(part) WHERE part = 1 OR cut IS NOT NULL""",
+)
+def edited_timelines(spark, d):
+    """All clips after their timeline's command."""
+    effects = F.concat_ws(" ", F.transform("effects", lambda fx: F.concat(fx["id"], F.lit("="), fx["value"].cast("string"))))
+    out = edits.apply_commands(editable_clips(spark, d), edit_commands(spark, d))
+    return out.select("timeline", "track", "clip", "part", F.col("start").alias("start_tick"), "dur", "off", "fade_in", "fade_out", effects.alias("effects"))
+
+
 @query(
     "container_rules",
     V.ctes("samples") + """, f AS (SELECT src, max(t) - min(t) AS dur, count(*) AS n, max(luma) AS peak FROM samples GROUP BY src)
