@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import json_text as J
 from tessera.functions import scalars as S
 from tessera.operators import attribution as A
+from tessera.operators import dynamics as D
 from tessera.operators import temporal as T
 from tessera.operators.similar import block_top_k
 from tessera.plans.registry import Registry
@@ -221,6 +222,27 @@ def limiter(spark, d):
     return V.table(spark, d, "embeddings").select("vec_id", r6(F.least(F.lit(1.0), F.lit(0.98) / F.greatest(F.lit(1e-9), peak))).alias("scale"))
 
 
+@query(
+    "mastered_chunks",
+    f"""WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x, ['ebuR128', 'aesStreaming', 'none'][vec_id % 3 + 1] AS standard FROM embeddings WHERE embedding IS NOT NULL),
+      l AS (SELECT *, 20 * log10(greatest(1e-9::DOUBLE, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)))) AS level FROM c),
+      g AS (SELECT *, least(12, greatest(-20, CASE standard WHEN 'ebuR128' THEN -23 WHEN 'aesStreaming' THEN -14 ELSE level END - level)) AS gain FROM l),
+      a AS (SELECT *, list_transform(x, lambda v: v * power(10::DOUBLE, gain / 20)) AS y FROM g),
+      k AS (SELECT *, CASE WHEN abs(gain) >= 3 THEN list_transform(y, lambda v: sign(v) * CASE WHEN abs(v) <= {10 ** (-12 / 20)}::DOUBLE THEN abs(v) ELSE {10 ** (-12 / 20)}::DOUBLE + (abs(v) - {10 ** (-12 / 20)}::DOUBLE) / 3 END) ELSE y END AS z FROM a),
+      p AS (SELECT *, list_max(list_transform(z, lambda v: abs(v))) AS peak FROM k)
+      SELECT vec_id, round(gain, 6) AS gain, abs(gain) >= 3 AS compressed, round(CASE WHEN peak > 0.98 THEN 0.98 ELSE peak END, 6) AS peak, round(list_sum(z) * CASE WHEN peak > 0.98 THEN 0.98 / peak ELSE 1 END, 6) AS total FROM p""",
+)
+def mastered_chunks(spark, d):
+    """Every vector as a chunk of samples, brought to the loudness of its standard."""
+    e = V.table(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    power = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v) / F.size("x")
+    level = 20 * F.log10(F.greatest(F.lit(1e-9), F.sqrt(power)))
+    standard = F.element_at(F.array(F.lit("ebuR128"), F.lit("aesStreaming"), F.lit("none")), (F.col("vec_id") % 3 + 1).cast("int"))
+    g = e.withColumn("gain", D.engineer_gain(level, standard)).withColumn("y", D.mastered(F.col("x"), F.col("gain")))
+    peak, total = F.array_max(F.transform("y", F.abs)), F.aggregate("y", F.lit(0.0), lambda s, v: s + v)
+    return g.select("vec_id", r6("gain").alias("gain"), (F.abs("gain") >= D.COMPRESSED_FROM).alias("compressed"), r6(peak).alias("peak"), r6(total).alias("total"))
+
+
 @query("json_numbers", """SELECT event_id, regexp_extract(props, '"k": ([0-9]+)', 1)::BIGINT AS k FROM events""")
 def json_numbers(spark, d):
     return V.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
