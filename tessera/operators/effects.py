@@ -59,6 +59,7 @@ def false_color(exposure: float = 0.2, gamma: float = 1.2) -> Rgb:
 
 
 def hlg_output() -> Rgb:
+    """Hybrid log-gamma of scene light; its numbers are fixed values of the standard."""
     return source().each(lambda c: F.when(c <= 1 / 12, F.sqrt(F.greatest(c, F.lit(0.0)) * 3)).otherwise(F.log(F.greatest(c * 12 - 0.28466892, F.lit(1e-9))) * 0.17883277 + 0.55991073))
 
 

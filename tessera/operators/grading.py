@@ -55,6 +55,7 @@ def from_hsl(frames: DataFrame) -> DataFrame:
 
 
 def cct_encode(x: Column) -> Column:
+    """The log encoding; 9.72 and 17.52 are fixed values of it like those above."""
     return F.when(x <= CCT_LINEAR, x * CCT_SLOPE + CCT_OFFSET).otherwise((F.log2(F.greatest(x, F.lit(CCT_LINEAR))) + 9.72) / 17.52)
 
 
@@ -63,6 +64,7 @@ def cct_decode(x: Column) -> Column:
 
 
 def fitted_curve(x: Column) -> Column:
+    """The fitted rendering curve; its numbers are fixed values."""
     return (x * (x + 0.0245786) - 0.000090537) / (x * (x * 0.983729 + 0.4329510) + 0.238081)
 
 

@@ -89,3 +89,25 @@ def test_recall_in_a_large_group_around_the_threshold(spark, most):
         rows.append((n, " ".join(out)))
     got = near_duplicates(spark.createDataFrame([(*r, 1, "l", 2) for r in rows], SCHEMA)).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_a_template_with_other_fillings_makes_no_pairs(spark, monkeypatch):
+    """Texts under the threshold that share all but their fillings: no candidate is compared pair by pair."""
+    from tessera.llm import minhash_dedup, prefix_join
+
+    rng = random.Random(6)
+    words = [f"w{n}" for n in range(100_000)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for n in range(300):
+        out = list(base)
+        for at in range(15, 300, 30):
+            out[at] = rng.choice(words)
+        rows.append((n, " ".join(out)))
+    compared = []
+    counted = prefix_join.overlaps
+    for module in (minhash_dedup, prefix_join):
+        monkeypatch.setattr(module, "overlaps", lambda pairs, sets: (compared.append(pairs.count()), counted(pairs, sets))[1])
+    got = near_duplicates(spark.createDataFrame([(*r, 1, "l", 2) for r in rows], SCHEMA)).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    assert compared and compared[-1] == 0 and max(compared) < 20 * len(rows)

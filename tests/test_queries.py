@@ -42,6 +42,6 @@ def test_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracles())))
-def test_runs(spark, name):
-    assert catalogue.queries()[name](spark, FOLDER).count() >= 0
+def test_what_has_no_sql():
+    """These are tested against plain Python in test_folds, test_speakers and test_nebula."""
+    assert set(catalogue.queries()) - set(catalogue.oracles()) == {"agglomerative_clusters", "high_similarity_collapse", "mask_propagation", "online_clusters", "px_nebula", "small_cluster_merge"}
