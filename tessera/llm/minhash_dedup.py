@@ -13,15 +13,15 @@ dropped on a sketch.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, merge_components
+from tessera.llm.prefix_join import linked, links_across, overlaps, prefix_keys, with_hubs
 from tessera.llm.shared import discard, materialise, table
 from tessera.llm.shingles import bodies, finish, in_chunks, shingle_sets
 
@@ -29,7 +29,6 @@ TABLES, ROWS, SHINGLE = 20, 3, 5
 _HASHES = 2 * TABLES * ROWS
 _FACTORS = np.random.default_rng(8).integers(1, 2**63, _HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 PERCENT = 75
-_SIZE_STEP = 1.1
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -76,50 +75,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(chunk)), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
-def _shared_part(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each pair of sets: the first, the second, and which of the first's members the second has."""
-    for one, two in zip(batch.column("set_a"), batch.column("set_b")):
-        x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-        yield x, y, y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-
-
-def _is_link(both: int, x: int, y: int) -> bool:
-    return 100 * both >= PERCENT * (x + y - both)
-
-
-_COMPARED = "a long, b long, link boolean, both long, hub_bits array<long>, rest array<long>"
-
-
-def _compare_with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of a hub and a node: whether they are linked, which of the hub's shingles the node has
-    (how many and as bits), and what else it has."""
-    longs = pa.list_(pa.int64())
-    for batch in batches:
-        link, count, bits, rest = [], [], [], []
-        for x, y, has in _shared_part(batch):
-            both = int(has.sum())
-            link.append(_is_link(both, len(x), len(y)))
-            count.append(both)
-            bits.append(np.packbits(np.pad(has, (0, -len(x) % 64))).view(np.int64).tolist())
-            rest.append(np.setdiff1d(y, x, assume_unique=True).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(link, pa.bool_()), pa.array(count, pa.int64()), pa.array(bits, longs), pa.array(rest, longs)],
-            names=["a", "b", "link", "both", "hub_bits", "rest"],
-        )
-
-
-def _first_shared(keys: str) -> Column:
-    """Position, from 1, of the first key that both sides of a pair have."""
-    return F.array_position(F.zip_with("x_" + keys, "y_" + keys, lambda x, y: x == y), True)
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with both whole sets."""
-    # a hub has many pairs, so its set comes last and is moved once
-    full = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return full.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
-
-
 def _shared_keys(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (key, node, hub) for every table key that at least two nodes share, hub being its smallest node; and
     rows (node, i, part) for every key of the first collection that at least two share."""
@@ -142,54 +97,6 @@ def _mixed(labelled: DataFrame) -> DataFrame:
     return materialise(largest.where("apart > 1").drop("apart"), "mixed_keys")
 
 
-def _size_class(n: Column) -> Column:
-    return F.floor(F.log(n) / math.log(_SIZE_STEP)).cast("int")
-
-
-def _links_across(mixed: DataFrame, compared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of different labels that share a table key.
-
-    All nodes of a mixed key were compared with one hub. What two of them have in common is what both
-    have of the hub, and what both have besides, which is among the shingles that several nodes of the
-    hub have besides. That gives the intersection of any two without their sets, and bounds the sizes
-    of a node's partners, so a node meets only those of sizes that it can be linked to.
-    """
-    needed = materialise(mixed.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "needed")
-    known = materialise(compared.join(needed, ["a", "b"], "left_semi").drop("link"), "known")
-    others = known.select("a", "b", F.explode("rest").alias("shingle"))
-    common = materialise(others.groupBy("a", "shingle").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "common")
-    shared = materialise(others.join(common, ["a", "shingle"], "left_semi").groupBy("a", "b").agg(F.collect_list("shingle").alias("shared")), "shared")
-    placed = known.drop("rest").join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
-    codes = [F.transform(c, lambda x: F.shiftright(x, 32).cast("int")).alias(c) for c in ("first", "second")]
-    placed = placed.withColumnsRenamed({"a": "hub", "b": "node"}).join(nodes.select("node", F.col("n_shingles").alias("n"), *codes), "node")
-    # a link needs 100 * both >= PERCENT * (x + y - both), and both is at most this
-    most = F.col("both") + F.size("shared")
-    placed = placed.withColumn("reach", F.floor((100 + PERCENT) * most / PERCENT) - F.col("n")).where(F.col("reach") >= F.floor(F.col("n") * PERCENT / 100))
-    placed = materialise(placed, "placed")
-    discard(needed, known, common, shared)
-
-    sketch = ("node", "label", "n", "reach", "first", "second", "hub_bits", "shared")
-    ready = mixed.join(placed, ["hub", "node"])
-    outside = ready.where("label <> largest").select("i", "part", *[F.col(c).alias("x_" + c) for c in sketch])
-    of_largest = (F.col("label") == F.col("largest")).alias("y_largest")
-    inside = ready.select("i", "part", of_largest, *[F.col(c).alias("y_" + c) for c in sketch], _size_class(F.col("n")).alias("size_class"))
-    least, greatest = F.greatest(F.lit(1), F.floor(F.col("x_n") * PERCENT / 100)), F.least(F.col("x_reach"), F.ceil(F.col("x_n") * 100 / PERCENT))
-    outside = outside.withColumn("size_class", F.explode(F.sequence(_size_class(least), _size_class(F.greatest(least, greatest)))))
-    ands = F.zip_with("x_hub_bits", "y_hub_bits", lambda x, y: F.bit_count(x.bitwiseAND(y)))
-    both = F.aggregate(ands, F.lit(0), lambda s, n: s + n) + F.size(F.array_intersect("x_shared", "y_shared"))
-    met = (
-        (F.col("x_label") != F.col("y_label"))
-        & (F.col("y_largest") | (F.col("x_node") < F.col("y_node")))
-        & (F.col("y_n") <= F.col("x_reach"))
-        & (F.col("x_n") <= F.col("y_reach"))
-        # of the first keys that a pair shares only one gives it, and with one of the second it is a table's key
-        & (_first_shared("first") == F.col("i") + 1)
-        & (_first_shared("second") > 0)
-        & (both * 100 >= (F.col("x_n") + F.col("y_n") - both) * PERCENT)
-    )
-    return outside.join(inside, ["i", "part", "size_class"]).where(met).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", details: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -198,8 +105,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     100 * intersection >= 75 * union; component_id is the smallest identifier that links reach.
 
     Equal sets are one node from the start. All nodes of a key are compared to one representative, which
-    costs one comparison for each member. From these follow the intersections of all other pairs of
-    the key, and only real links between components become rows.
+    costs one comparison for each member. Nodes of keys that still hold several components meet on prefixes of their shingles, rarest first, as
+    long as their sizes require (see ``prefix_join``), so a group of texts that are all under the threshold makes no pairs of what each has alone.
 
     Nulls: a null or wordless text has no shingles, is linked to nothing and is its own component;
     a null identifier has a null component_id and is kept. Rows that repeat an identifier each get
@@ -232,18 +139,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs = materialise(hubs, "hubs")
     mixed = materialise(own.drop("n").join(hubs, ["i", "part"]), "mixed")
     pairs = mixed.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    compared = materialise(_with_sets(pairs, sets).mapInArrow(_compare_with_hub, _COMPARED), "compared")
-    discard(members, halves, own, hubs, sets)
-    labels = merge_components(involved.select("node", F.col("node").alias("label")), compared.where("link and a <> b").select("a", "b"))
+    compared = materialise(overlaps(pairs.where("a <> b"), sets), "compared")
+    discard(members, halves, own, hubs)
+    labels = merge_components(involved.select("node", F.col("node").alias("label")), linked(compared, PERCENT))
 
+    # what is still apart under some key meets on prefixes of its rarest shingles there
     labelled = materialise(mixed.join(labels, "node"), "labelled")
-    apart = materialise(labelled.join(_mixed(labelled), ["i", "part"]), "apart")
-    last = merge_components(labels, materialise(_links_across(apart, compared, nodes), "links_across"))
+    apart = materialise(labelled.join(_mixed(labelled), ["i", "part"]).select("node").distinct(), "apart")
+    some = materialise(sets.join(apart, "node", "left_semi"), "sets_apart")
+    keys = prefix_keys(some, PERCENT)
+    closer = with_hubs(keys, some)
+    labels = merge_components(labels, linked(closer, PERCENT))
+    last = merge_components(labels, links_across(keys, closer, labels, some, PERCENT))
 
     reached = last.join(nodes.select(F.col("node").alias("label"), F.col("doc_id").alias("component_id")), "label")
     of_node = nodes.select("digest", "node", F.col("doc_id").alias("own")).join(reached, "node", "left")
     by_digest = materialise(of_node.select("digest", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("label", "node").alias("component")), "by_digest")
-    discard(nodes, involved, mixed, compared, labels, labelled, apart, last)
+    discard(nodes, involved, sets, mixed, compared, labelled, apart, some, keys, closer, labels, last)
     placed = told.join(by_digest, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     more = ["uid", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component")] if details else []

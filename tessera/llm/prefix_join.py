@@ -70,8 +70,10 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     found = members.join(often, "token").withColumn("n_common", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("often", "token")) + F.col("n") - F.col("n_common"))
     # members that no other set has come first, and take up place but no rows
     longest = F.col("n") - least_overlap(F.col("n"), least_partner(F.col("n"), percent), percent)
-    placed = materialise(found.where(F.col("place") <= longest + max(MATCHES)).select("node", "n", "token", "often", "place", "n_common", longest.alias("longest")), "placed")
-    rows = [F.sum(F.when(F.col("place") <= F.col("longest") + m, F.col("often")).otherwise(0)).alias(f"rows_{m}") for m in MATCHES]
+    placed = materialise(found.where(F.col("place") <= longest + max(MATCHES)).select("node", "n", "token", "often", "place", "n_common"), "placed")
+    # the estimate is for partners of the set's own size
+    usual = F.col("n") - least_overlap(F.col("n"), F.col("n"), percent)
+    rows = [F.sum(F.when(F.col("place") <= usual + m, F.col("often")).otherwise(0)).alias(f"rows_{m}") for m in MATCHES]
     costs = placed.groupBy("node").agg(F.first("n").alias("n"), *rows)
     cost = [F.struct((F.col(f"rows_{m}") * (1 + F.col("n") * COMPARE / m)).alias("cost"), F.lit(m).alias("matches")) for m in MATCHES]
     chosen = materialise(costs.select("node", F.array_min(F.array(*cost))["matches"].alias("matches")), "chosen")
