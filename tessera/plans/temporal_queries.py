@@ -45,7 +45,7 @@ def asof_frame_word(spark, d):
     "nearest_frame",
     V.ctes("words", "samples")
     + """ SELECT src, word_id, pos, round(dt, 6) AS dt FROM (SELECT w.src, w.word_id, s.pos, abs(s.t - w.t) AS dt,
-      row_number() OVER (PARTITION BY w.word_id ORDER BY abs(s.t - w.t), s.t DESC, s.pos) AS n FROM words w JOIN samples s ON s.src = w.src) q WHERE n = 1""",
+      row_number() OVER (PARTITION BY w.word_id ORDER BY abs(s.t - w.t), s.t DESC, s.pos) AS n FROM words w LEFT JOIN samples s ON s.src = w.src) q WHERE n = 1""",
 )
 def nearest_frame(spark, d):
     out = T.asof_bracket(V.words(spark, d), V.samples(spark, d), by="src", t="t", key="word_id", pos="pos")
