@@ -1,30 +1,65 @@
 """Timelines compiled at a time into layers, effect chains and one composite, and rendered to pixels.
 
 A compiled timeline is a row: what each layer shows, the chain of effects on it, and how the layers meet. Rendering takes the rows of
-all timelines through the same plan: frames are fetched by one join, layers meet as arrays of whole frames, and pixels go through input
-transform, chain, composite and output transform as expressions.
+all timelines through the same plan: frames are fetched by one join, and pixels go through input transform, chain, composite and output
+transform as numpy arrays of some timelines at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.grading import to_rec709
-from tessera.operators.pixels import LUMA_AP1, REC709_TO_ACESCG, Rgb, clamp, dot, film, matrix, mix, srgb_decode
+from tessera.operators.pixels import ACESCG_TO_REC709, LUMA_AP1, REC709_TO_ACESCG, Rgb, dot, matrix, mix
 from tessera.operators.timeline import clip_alpha, transition_progress
 
-# What an effect makes of a pixel with its two parameters.
-EFFECTS: dict[str, Callable[[Rgb, Column, Column], Rgb]] = {
-    "exposure": lambda p, a, b: p.each(lambda c: c * F.pow(F.lit(2.0), a)),
+_PIXELS_AT_ONCE = 1 << 17
+WIPES = ("left", "right", "up", "down")
+
+
+def _decoded(x: np.ndarray) -> np.ndarray:
+    return np.where(x <= 0.04045, x / 12.92, ((np.fmax(x, 0.0) + 0.055) / 1.055) ** 2.4)
+
+
+def _clamp(x: np.ndarray) -> np.ndarray:
+    return np.fmin(1.0, np.fmax(0.0, x))
+
+
+def _film(x: np.ndarray) -> np.ndarray:
+    return _clamp(x * (x * 2.51 + 0.03) / (x * (x * 2.43 + 0.59) + 0.14))
+
+
+def _smooth(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    t = _clamp((x - a) / (b - a))
+    return t * t * (3 - 2 * t)
+
+
+def _rec709(p: Rgb) -> Rgb:
+    """``grading.to_rec709`` on arrays, with its usual strengths."""
+    luma = dot(p, LUMA_AP1)
+    high = _smooth(1.0, 4.0, np.fmax(luma, 0.0)) * 0.12
+    p = p.each(lambda c: mix(c, luma, high))
+    spread = np.sqrt(sum((c - luma) ** 2 for c in p))
+    pull = _smooth(0.0, 0.25, p.r - np.fmax(p.g, p.b)) * _smooth(0.03, 0.25, spread) * 0.06
+    p = p._replace(r=mix(p.r, luma, pull)).each(lambda c: np.fmax(c, 0.0))
+    p = p.each(lambda x: (x * (x + 0.0245786) - 0.000090537) / (x * (x * 0.983729 + 0.4329510) + 0.238081))
+    p = Rgb(*matrix(p, ACESCG_TO_REC709)).each(_clamp)
+    return p.each(lambda c: _clamp(np.where(c <= 0.0031308, c * 12.92, c ** (1 / 2.4) * 1.055 - 0.055)))
+
+
+# What an effect makes of pixels (layers, pixels) with its two parameters (layers, 1).
+EFFECTS: dict[str, Callable[[Rgb, np.ndarray, np.ndarray], Rgb]] = {
+    "exposure": lambda p, a, b: p.each(lambda c: c * 2.0**a),
     "contrast": lambda p, a, b: p.each(lambda c: (c - b) * a + b),
     "saturation": lambda p, a, b: p.each(lambda c: mix(dot(p, LUMA_AP1), c, a)),
     "temperature": lambda p, a, b: Rgb(p.r + a * 0.1, p.g + b * 0.1, p.b - a * 0.1),
-    "tonemap": lambda p, a, b: p.each(film),
+    "tonemap": lambda p, a, b: p.each(_film),
 }
-WIPES = ("left", "right", "up", "down")
 
 
 def compile_at(clips: DataFrame, effects: DataFrame, t: int) -> DataFrame:
@@ -58,30 +93,86 @@ def compile_at(clips: DataFrame, effects: DataFrame, t: int) -> DataFrame:
     return every.select("timeline", composite.alias("composite"), progress.alias("progress"), F.when(two, b["direction"]).alias("direction"), F.when(two, b["dip"]).alias("dip"), "layers")
 
 
-def _shaded(layer: Column, pixel: Rgb) -> Column:
-    """A layer's pixel in the working space, through its chain."""
-    linear = Rgb(*[F.when(layer["linear"], c).otherwise(srgb_decode(c)) for c in pixel])
-    start = F.struct(*[c.alias(n) for n, c in zip("rgb", matrix(linear, REC709_TO_ACESCG))])
-
-    def apply(p: Column, fx: Column) -> Column:
-        now = Rgb(p["r"], p["g"], p["b"])
-        made = {name: f(now, fx["a"], fx["b"]) for name, f in EFFECTS.items()}
-        out = []
-        for k, n in enumerate("rgb"):
-            value = now[k]
-            for name, channels in made.items():
-                value = F.when(fx["effect"] == name, channels[k]).otherwise(value)
-            out.append(value.alias(n))
-        return F.struct(*out)
-
-    return F.aggregate(F.coalesce(layer["chain"], F.array().cast("array<struct<position:int,effect:string,a:double,b:double>>")), start, apply)
-
-
-def render(plans: DataFrame, frames: DataFrame, width: int, height: int, ticks: int) -> DataFrame:
-    """Pixels (timeline, composite, x, y, r, g, b) of compiled timelines, ready for a standard display.
+def _column(array: pa.Array) -> np.ndarray:
+    """Numbers with NaN for null."""
+    return array.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _starts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins in ``flatten()``, and its length; null lists are empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(sizes) - sizes, sizes
+
+
+def _channel(lists: pa.ListArray, n: int) -> np.ndarray:
+    """Arrays of pixels as (layers, n); what is missing is black."""
+    starts, sizes = _starts(lists)
+    values = np.nan_to_num(_column(lists.flatten()), nan=0.0, posinf=np.inf, neginf=-np.inf)
+    if len(sizes) and (sizes == n).all():
+        return values.reshape(-1, n)
+    out = np.zeros((len(sizes), n))
+    at = np.arange(n)
+    there = at < sizes[:, None]
+    out[there] = values[(starts[:, None] + at)[there]]
+    return out
+
+
+def _shaded(layers: pa.StructArray, n: int) -> Rgb:
+    """The layers' pixels in the working space, each through its chain."""
+    linear = pc.fill_null(layers.field("linear"), False).to_numpy(zero_copy_only=False).astype(bool)[:, None]
+    raw = Rgb(*[_channel(layers.field(c), n) for c in "rgb"])
+    p = np.stack(matrix(raw.each(lambda c: np.where(linear, c, _decoded(c))), REC709_TO_ACESCG))
+    starts, sizes = _starts(layers.field("chain"))
+    chain = layers.field("chain").flatten()
+    names, a, b = chain.field("effect").to_numpy(zero_copy_only=False), _column(chain.field("a")), _column(chain.field("b"))
+    for step in range(int(sizes.max(initial=0))):
+        rows = np.flatnonzero(sizes > step)
+        at = starts[rows] + step
+        for name, effect in EFFECTS.items():
+            some = names[at] == name
+            if some.any():
+                own = rows[some]
+                p[:, own] = effect(Rgb(*p[:, own]), a[at[some]][:, None], b[at[some]][:, None])
+    return Rgb(*p)
+
+
+def _met(batch: pa.RecordBatch, width: int, height: int) -> Rgb:
+    """The layers of each timeline of a batch met by its composite, as (timelines, pixels)."""
+    n = width * height
+    lists = batch.column("layers")
+    starts, sizes = _starts(lists)
+    layers = lists.flatten()
+    shaded, alpha = np.stack(_shaded(layers, n)), _column(layers.field("alpha"))
+    out = np.zeros((3, len(sizes), n))
+    composite = batch.column("composite").to_numpy(zero_copy_only=False)
+    t = np.fmin(1.0, np.fmax(0.0, _column(batch.column("progress"))))[:, None]
+    one = np.flatnonzero(composite == "single")
+    out[:, one] = shaded[:, starts[one]]
+    two = np.flatnonzero(np.isin(composite, ("crossfade", "wipe", "dip")))
+    kind, t, a, b = composite[two][:, None], t[two], shaded[:, starts[two]], shaded[:, starts[two] + 1]
+    u, v = np.arange(n) % width / max(1, width - 1), np.arange(n) // width / max(1, height - 1)
+    direction = batch.column("direction").to_numpy(zero_copy_only=False)[two][:, None]
+    incoming = np.select([direction == "right", direction == "up", direction == "down"], [u >= 1 - t, v <= t, v >= 1 - t], u <= t)
+    colour = _channel(batch.column("dip"), 3)[two].T[:, :, None]
+    dipped = np.where(t < 0.5, mix(a, colour, t * 2), mix(colour, b, (t - 0.5) * 2))
+    out[:, two] = np.where(kind == "crossfade", mix(a, b, t), np.where(kind == "dip", dipped, np.where(incoming, b, a)))
+    over = np.flatnonzero(composite == "over")
+    p, weight, before = shaded[:, starts[over]], np.ones(len(over)), alpha[starts[over]]
+    for k in range(1, int(sizes[over].max(initial=0))):
+        rows = np.flatnonzero(sizes[over] > k)
+        at = starts[over[rows]] + k
+        below, own = weight[rows] * before[rows], alpha[at]
+        p[:, rows] = shaded[:, at] * own[:, None] + p[:, rows] * (below * (1 - own))[:, None]
+        weight[rows], before[rows] = own + below * (1 - own), own
+    out[:, over] = p
+    return Rgb(*out)
+
+
+def pictures(plans: DataFrame, frames: DataFrame, width: int, height: int, ticks: int) -> DataFrame:
+    """Pictures (timeline, composite, r, g, b) of compiled timelines as arrays by rows, ready for a standard display.
 
     ``frames`` are (asset, k, n, r, g, b): the k-th of an asset's n frames as arrays by rows, ``ticks`` apart. Beyond an asset's last frame that one is
-    shown, before its first the first; what an asset doesn't have is black.
+    shown, before its first the first; what an asset doesn't have is black. Layers are shaded and met as arrays, some timelines at a time.
     """
     each = plans.select("timeline", "composite", "progress", "direction", "dip", F.posexplode_outer("layers").alias("order", "layer"))
     sizes = frames.groupBy("asset").agg(F.max("n").alias("n"))
@@ -89,31 +180,21 @@ def render(plans: DataFrame, frames: DataFrame, width: int, height: int, ticks:
     fetched = asked.join(frames.select("asset", "k", "r", "g", "b"), ["asset", "k"], "left")
     one = F.struct("order", F.col("layer.alpha").alias("alpha"), F.col("layer.linear").alias("linear"), F.col("layer.chain").alias("chain"), "r", "g", "b")
     stacked = fetched.groupBy("timeline", "composite", "progress", "direction", "dip").agg(F.array_sort(F.collect_list(F.when(F.col("order").isNotNull(), one))).alias("layers"))
+    at_once = max(1, _PIXELS_AT_ONCE // (width * height))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, at_once):
+                batch = whole.slice(begin, at_once)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (width * height)), pa.array(c.ravel())) for c in _rec709(_met(batch, width, height))]
+                yield pa.RecordBatch.from_arrays([batch.column("timeline"), batch.column("composite"), *lists], names=["timeline", "composite", "r", "g", "b"])
+
+    kind = plans.schema["timeline"].dataType.simpleString()
+    return stacked.mapInArrow(met, f"timeline {kind}, composite string, r array<double>, g array<double>, b array<double>")
+
+
+def render(plans: DataFrame, frames: DataFrame, width: int, height: int, ticks: int) -> DataFrame:
+    """The pixels (timeline, composite, x, y, r, g, b) of ``pictures``."""
     i = F.col("i")
-    placed = stacked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1)))).withColumn("x", i % width).withColumn("y", F.floor(i / width).cast("int"))
-    black = lambda c: F.coalesce(F.get(c, i), F.lit(0.0))
-    shaded = F.transform("layers", lambda la: F.struct(la["alpha"].alias("alpha"), _shaded(la, Rgb(black(la["r"]), black(la["g"]), black(la["b"]))).alias("p")))
-    placed = placed.withColumn("shaded", shaded)
-    first, second = F.get("shaded", F.lit(0)), F.get("shaded", F.lit(1))
-    u, v = F.col("x") / max(1, width - 1), F.col("y") / max(1, height - 1)
-    t = clamp(F.col("progress"))
-    incoming = F.when(F.col("direction") == "right", u >= 1 - t).when(F.col("direction") == "up", v <= t).when(F.col("direction") == "down", v >= 1 - t).otherwise(u <= t)
-    start = F.struct(first["p"].alias("p"), F.lit(1.0).cast("double").alias("a"), first["alpha"].alias("before"))
-
-    def over(acc: Column, layer: Column) -> Column:
-        below = acc["a"] * acc["before"]
-        left = F.lit(1.0) - layer["alpha"]
-        p = F.struct(*[(layer["p"][n] * layer["alpha"] + acc["p"][n] * below * left).alias(n) for n in "rgb"])
-        return F.struct(p.alias("p"), (layer["alpha"] + below * left).alias("a"), layer["alpha"].alias("before"))
-
-    stack = F.aggregate(F.slice("shaded", 2, F.greatest(F.lit(0), F.size("shaded") - 1)), start, over)["p"]
-    placed = placed.withColumn("stack", F.when(F.col("composite") == "over", stack))
-    out = []
-    for k, n in enumerate("rgb"):
-        a, b = first["p"][n], second["p"][n]
-        dip = F.get("dip", F.lit(k))
-        dipped = F.when(t < 0.5, mix(a, dip, t * 2)).otherwise(mix(dip, b, (t - 0.5) * 2))
-        wiped = F.when(incoming, b).otherwise(a)
-        kinds = F.when(F.col("composite") == "empty", 0.0).when(F.col("composite") == "single", a).when(F.col("composite") == "wipe", wiped).when(F.col("composite") == "dip", dipped)
-        out.append(kinds.when(F.col("composite") == "crossfade", mix(a, b, t)).otherwise(F.col("stack")[n]).alias(n))
-    return to_rec709(placed.select("timeline", "composite", "x", "y", *out))
+    placed = pictures(plans, frames, width, height, ticks).select("timeline", "composite", F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "p"))
+    return placed.select("timeline", "composite", (i % width).alias("x"), F.floor(i / width).cast("int").alias("y"), "p.r", "p.g", "p.b")

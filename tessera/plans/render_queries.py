@@ -133,6 +133,6 @@ def _pixels_sql() -> str:
 def rendered_timelines(spark, d):
     """Every timeline's picture at one time: its mean colour and two of its corners."""
     plans = render.compile_at(clips(spark, d), effects(spark, d), AT)
-    p = render.render(plans, frames(spark, d), 8, 8, TICKS)
-    corner = lambda c, x, y: F.round(F.max(F.when((F.col("x") == x) & (F.col("y") == y), F.col(c))), 6)
-    return p.groupBy("timeline").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in RGB], corner("r", 0, 0).alias("first_r"), corner("b", 7, 7).alias("last_b"))
+    p = render.pictures(plans, frames(spark, d), 8, 8, TICKS)
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / 64
+    return p.select("timeline", *[F.round(mean(c), 6).alias(f"mean_{c}") for c in RGB], F.round(F.get("r", F.lit(0)), 6).alias("first_r"), F.round(F.get("b", F.lit(63)), 6).alias("last_b"))
