@@ -89,3 +89,20 @@ def test_masks_move_between_key_frames(spark):
     assert at(0) == at(4) == {(y, x) for y in (2, 3) for x in (2, 3)}
     assert at(3) == {(y, x) for y in (2, 3) for x in (5, 6)}
     assert got[1].stability == pytest.approx(2 / 6) and got[0].stability is None and got[1].score == pytest.approx(3 * 4 / 64)
+
+
+def test_many_clusters_are_merged_in_time(spark):
+    """Two thousand clusters hardly alike, as pairs of random vectors: comparing all pairs anew after each merge would take hours."""
+    import time
+
+    rng = np.random.default_rng(5)
+    half = rng.normal(size=(1000, 64))
+    both = np.concatenate([half, half + rng.normal(size=half.shape) * 0.1])
+    unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+    rows = [(1, f"C{n + 1}", 1, float(n), v.tolist()) for n, v in enumerate(unit)]
+    begun = time.time()
+    got = {r.cluster: r.into for r in C.collapse_alike(sums(spark, rows), threshold=0.9).collect()}
+    assert all(got[f"C{n + 1}"] == got[f"C{n + 1001}"] == f"C{n + 1}" for n in range(1000))
+    got = {r.cluster: r.into for r in C.absorb_small(sums(spark, rows), threshold=0.95).collect()}
+    assert all(got[f"C{n + 1}"] == got[f"C{n + 1001}"] for n in range(1000)) and len(set(got.values())) == 1000
+    assert time.time() - begun < 60
