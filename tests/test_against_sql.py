@@ -28,11 +28,20 @@ def both(spark, tmp_path):
 
 
 def test_means_on_a_limit(both):
-    """Many means lie on the limit or between two roundings."""
-    got, want = both("colour_proposal", events="SELECT i AS event_id, (hash(i) % 2000)::BIGINT AS user_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, 'view' AS event_type, (hash(i + 7) % 10000) / 100 AS value, '' AS props FROM range(80000) r(i)")
+    """A user's events are spread over files, and many means lie on the limit or between two roundings."""
+    got, want = both("colour_proposal", files=4, events="SELECT i AS event_id, (hash(i) % 2000)::BIGINT AS user_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, 'view' AS event_type, (hash(i + 7) % 10000) / 100 AS value, '' AS props FROM range(80000) r(i)")
     assert not set(got) ^ set(want)
 
 
 def test_words_end_at_letters_beyond_ascii(both):
     got, want = both("rule_intents", conversations="SELECT i AS conv_id, 0 AS turn, 'user' AS role, t AS text FROM (VALUES (1, 'ge undüber 12'), (2, 'éde 3'), (3, 'Thé'), (4, 'and_the'), (5, 'DE.')) v(i, t)")
     assert got == want and "(1, 0, 'move', '12')" in got
+
+
+@pytest.mark.parametrize("name", ["asof_word_sample", "asof_frame_word", "interval_confidence", "beat_window", "widened_window", "face_window_stats"])
+def test_words_meet_samples_of_other_numbers(both, name):
+    """Ten sources are shared, so words of conversations without a user of their number meet samples, hundreds of words at one time."""
+    events = "SELECT i AS event_id, (i % 37 + 100)::BIGINT AS user_id, TIMESTAMP '2024-01-01' + to_seconds(i * 40) AS ts, ['view', 'error', 'purchase', 'click'][(hash(i) % 4 + 1)::BIGINT] AS event_type, (hash(i + 7) % 10000) / 100 AS value, '' AS props FROM range(9000) r(i)"
+    talk = "SELECT c AS conv_id, turn, 'user' AS role, 'one word and another, all of them short' AS text FROM range(150) r(c), range(3) s(turn)"
+    got, want = both(name, events=events, conversations=talk)
+    assert got == want and len(got) > 500
