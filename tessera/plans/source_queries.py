@@ -109,8 +109,10 @@ def cube_tables(spark, d):
 def _as_fits(batches):
     cards = ["SIMPLE  =                    T", "BITPIX  =                  -32", "NAXIS   =                    2", "NAXIS1  =                    8", "NAXIS2  =                    8", "END"]
     head = "".join(c.ljust(80) for c in cards).ljust(2880).encode()
-    for b in batches:
-        yield pd.DataFrame({"path": b["vec_id"].astype(str), "content": [head + struct.pack(">64f", *v).ljust(2880, b"\0") for v in b["embedding"]]})
+    for whole in batches:
+        for at in range(0, len(whole), 256):
+            b = whole.iloc[at : at + 256]
+            yield pd.DataFrame({"path": b["vec_id"].astype(str), "content": [head + struct.pack(">64f", *v).ljust(2880, b"\0") for v in b["embedding"]]})
 
 
 def images(spark, d):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BLOCK, CARD = 2880, 80
 _VALUES_AT_ONCE = 1 << 18
+#: Values that a line's header and other columns count as.
+_LINE_COST = 64
 TYPES = {-32: ">f4", 16: ">i2"}
 _LINES = "file string, header map<string,string>, width int, height int, bitpix int, y int, row array<double>"
 
@@ -47,7 +49,10 @@ def _first_image(path: str, content: bytes) -> tuple[dict[str, str], int, int, i
 def _lines(first: int, last: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Scan lines from ``first`` to before ``last``, a block of them at a time."""
 
+    columns = ["file", "header", "width", "height", "bitpix", "y", "row"]
+
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, held = [], 0
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 found = _first_image(path, content)
@@ -58,7 +63,13 @@ def _lines(first: int, last: int | None) -> Callable[[Iterator[pd.DataFrame]], I
                 for y in range(first, height if last is None else min(last, height), some):
                     n = min(some, (height if last is None else min(last, height)) - y)
                     rows = np.frombuffer(content, TYPES[bits], width * n, data + y * width * abs(bits) // 8).astype(float).reshape(n, width)
-                    yield pd.DataFrame([(path, cards, width, height, bits, y + k, row.tolist()) for k, row in enumerate(rows)], columns=["file", "header", "width", "height", "bitpix", "y", "row"])
+                    made += [(path, cards, width, height, bits, y + k, row) for k, row in enumerate(rows)]
+                    held += n * (width + _LINE_COST)
+                    if held >= _VALUES_AT_ONCE:
+                        yield pd.DataFrame(made, columns=columns)
+                        made, held = [], 0
+        if made:
+            yield pd.DataFrame(made, columns=columns)
 
     return read
 
@@ -66,6 +77,8 @@ def _lines(first: int, last: int | None) -> Callable[[Iterator[pd.DataFrame]], I
 def scan_lines(files: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
     """Scan lines of the first image of each file (path, content), all or a range of them; only the bytes of
     those lines are decoded. Files without an image give none; float32 and int16 pixels only, others fail."""
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
     return files.select("path", "content").mapInPandas(_lines(first, last), _LINES)
 
 
