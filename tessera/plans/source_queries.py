@@ -70,10 +70,11 @@ def json_lines(spark, d):
 
 @query("json_documents", "SELECT o_custkey // 10 AS doc, count(*) AS samples, round(max(o_totalprice::DOUBLE), 2) AS most FROM orders GROUP BY 1")
 def json_documents(spark, d):
-    """Whole documents over several lines, one for ten customers with all their samples."""
+    """Whole documents over several lines, one for ten customers with all their samples; a file is an array of a hundred documents, so files don't stay tiny as they grow in number."""
     o = V.table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 10).alias("doc"), F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("luma")).alias("s"))
     text = F.to_json(F.struct(F.col("doc"), F.collect_list("s").alias("samples")), {"pretty": "true"})
-    folder = _written(spark, o.groupBy("doc").agg(text.alias("value")).withColumnRenamed("doc", "file"), "documents")
+    documents = o.groupBy("doc").agg(text.alias("value")).groupBy(F.floor(F.col("doc") / 100).alias("file"))
+    folder = _written(spark, documents.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value")), "documents")
     read = spark.read.schema("doc long, samples array<struct<id: long, luma: double>>").option("multiLine", True).option("mode", "FAILFAST").json(folder)
     s = read.select("doc", F.explode("samples").alias("s"))
     return s.groupBy("doc").agg(F.count("*").alias("samples"), F.round(F.max("s.luma"), 2).alias("most"))
