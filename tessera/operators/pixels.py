@@ -204,12 +204,24 @@ def test_color(spark: SparkSession, width: int = 64, height: int = 4) -> DataFra
     return grid(spark, width, height).select("x", "y", u.alias("r"), (u * 0.5).alias("g"), (1 - u).alias("b"))
 
 
+_FEW_FACES = 3
+
+
 def face_mask(faces: DataFrame, spark: SparkSession, width: int = 16, height: int = 9) -> DataFrame:
     """(pos, x, y, mask): the largest of soft ellipses over the faces of each sample; the grid is fixed and small."""
-    each = faces.select("pos", F.col("x").alias("fx"), F.col("y").alias("fy"), "w", "h").crossJoin(F.broadcast(grid(spark, width, height)))
-    dx = (F.col("x") / width - (F.col("fx") + F.col("w") * 0.5)) / (F.col("w") * 0.5)
-    dy = (F.col("y") / height - (F.col("fy") + F.col("h") * 0.5)) / (F.col("h") * 0.5)
-    return each.groupBy("pos", "x", "y").agg(F.max(1 - smoothstep(0.5, 1.5, dx * dx + dy * dy)).alias("mask"))
+    one = F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("faces")
+    each = faces.groupBy("pos").agg(one).crossJoin(F.broadcast(grid(spark, width, height)))
+
+    def soft(f: Column) -> Column:
+        dx = (F.col("x") / width - (f["x"] + f["w"] * 0.5)) / (f["w"] * 0.5)
+        dy = (F.col("y") / height - (f["y"] + f["h"] * 0.5)) / (f["h"] * 0.5)
+        return 1 - smoothstep(0.5, 1.5, dx * dx + dy * dy)
+
+    # faces are grouped before pixels are made; the first few are plain columns, any more an array
+    few = [soft(F.get("faces", F.lit(k))) for k in range(_FEW_FACES)]
+    more = F.when(F.size("faces") > _FEW_FACES, F.array_max(F.transform(F.slice("faces", _FEW_FACES + 1, F.greatest(F.lit(0), F.size("faces") - _FEW_FACES)), soft)))
+    there = [F.when(F.size("faces") > k, m) for k, m in enumerate(few)]
+    return each.select("pos", "x", "y", F.greatest(*there, more).alias("mask"))
 
 
 # Two frames, the second with channels r2, g2, b2.
