@@ -1,6 +1,6 @@
 """Edit commands on timelines: one command for each timeline, all timelines at once.
 
-A command's target gives the numbers that every clip of its timeline needs: where the target was, where it is now, and what ripples. One join brings them to
+A command's target gives the numbers that every clip of its timeline needs: where the target was, where it is now, and what ripples. A window brings them to
 the clips, whose new versions are expressions. A command without a target, or out of range, changes nothing.
 """
 
@@ -14,25 +14,25 @@ GRADE, RETIME = "mv.colorGrade", "mv.retime"
 _EFFECT = "struct<id:string,value:double>"
 
 
-def _targets(clips: DataFrame, commands: DataFrame) -> DataFrame:
-    """Commands with the clip they mean, and what they make of it; those that change nothing are gone."""
-    video = clips.where("kind = 'video'").select("timeline", *[F.col(c).alias("t_" + c) for c in ("track", "pos", "clip", "start", "dur", "off")])
-    meant = commands.join(video, "timeline").where(F.col("target").isNull() | (F.col("target") == F.col("t_clip")))
-    first = F.row_number().over(Window.partitionBy("timeline").orderBy("t_track", "t_pos"))
-    t = meant.withColumn("nth", first).where("nth = 1").drop("nth")
-    end, at = F.col("t_start") + F.col("t_dur"), F.col("ticks")
+def _with_targets(placed: DataFrame) -> DataFrame:
+    """Clips beside their timeline's command with the clip it means, and what it makes of it; a command that changes nothing is null, and its clip too."""
+    meant = (F.col("kind") == "video") & F.col("command").isNotNull() & (F.col("target").isNull() | (F.col("target") == F.col("clip")))
+    first = F.min(F.when(meant, F.struct("track", "pos", "start", "dur", "off"))).over(Window.partitionBy("timeline"))
+    t = placed.withColumn("t", first)
+    at, t_start, t_dur, t_off = F.col("ticks"), F.col("t.start"), F.col("t.dur"), F.col("t.off")
     off = F.greatest(F.lit(0).cast("long"), at)
     is_ = lambda *names: F.col("command").isin(*names)
     valid = (
-        F.when(is_("trim_end", "ripple_trim_out"), at > F.col("t_start"))
-        .when(is_("blade"), (at > F.col("t_start")) & (at < end))
-        .when(is_("ripple_trim_in"), F.col("t_dur") - (off - F.col("t_off")) > 0)
+        F.when(is_("trim_end", "ripple_trim_out"), at > t_start)
+        .when(is_("blade"), (at > t_start) & (at < t_start + t_dur))
+        .when(is_("ripple_trim_in"), t_dur - (off - t_off) > 0)
         .otherwise(is_(*COMMANDS))
     )
-    dur = F.when(is_("trim_end", "ripple_trim_out"), at - F.col("t_start")).when(is_("ripple_trim_in"), F.col("t_dur") - (off - F.col("t_off"))).otherwise(F.col("t_dur"))
-    t = t.where(valid).withColumns({"n_start": F.when(is_("move"), F.greatest(F.lit(0).cast("long"), at)).otherwise(F.col("t_start")), "n_dur": dur, "n_off": F.when(is_("trim_in", "ripple_trim_in"), off).otherwise(F.col("t_off"))})
-    ripple = F.when(is_("ripple_delete"), -F.col("t_dur")).when(is_("ripple_trim_out", "ripple_trim_in"), F.col("n_dur") - F.col("t_dur")).otherwise(F.lit(0).cast("long"))
-    return t.withColumns({"ripple": ripple, "t_end": end}).drop("target")
+    t = t.withColumn("valid", F.col("t").isNotNull() & F.coalesce(valid, F.lit(False))).withColumns({"command": F.when(F.col("valid"), F.col("command")), "t": F.when(F.col("valid"), F.col("t"))})
+    dur = F.when(is_("trim_end", "ripple_trim_out"), at - t_start).when(is_("ripple_trim_in"), t_dur - (off - t_off)).otherwise(t_dur)
+    t = t.withColumns({"n_start": F.when(is_("move"), off).otherwise(t_start), "n_dur": dur, "n_off": F.when(is_("trim_in", "ripple_trim_in"), off).otherwise(t_off)})
+    ripple = F.when(is_("ripple_delete"), -t_dur).when(is_("ripple_trim_out", "ripple_trim_in"), F.col("n_dur") - t_dur).otherwise(F.lit(0).cast("long"))
+    return t.withColumns({"ripple": ripple, "t_track": F.col("t.track"), "t_pos": F.col("t.pos"), "t_start": t_start, "t_dur": t_dur, "t_end": t_start + t_dur}).drop("t", "valid", "target")
 
 
 def _with_effect(effects: Column, name: str, value: Column) -> Column:
@@ -58,8 +58,8 @@ def apply_commands(clips: DataFrame, commands: DataFrame) -> DataFrame:
     behind the target's old end; nothing starts before 0. Both halves of a cut keep the name. A kind belongs to a track.
     """
     order = Window.partitionBy("timeline", "track").orderBy("start", "clip")
-    placed = clips.withColumn("pos", F.row_number().over(order))
-    q = placed.join(_targets(placed, commands), "timeline", "left")
+    # dealt by timeline once: the join and all windows keep clips where they are
+    q = _with_targets(clips.repartition("timeline").join(commands, "timeline", "left").withColumn("pos", F.row_number().over(order)))
     is_ = lambda *names: F.coalesce(F.col("command").isin(*names), F.lit(False))
     own_track = F.coalesce(F.col("track") == F.col("t_track"), F.lit(False))
     q = q.withColumn("own", own_track & (F.col("pos") == F.col("t_pos")))
@@ -90,5 +90,5 @@ def apply_commands(clips: DataFrame, commands: DataFrame) -> DataFrame:
     cut = F.col("cut")
     whole = half(1, F.col("start"), F.coalesce("cut", "dur"), F.col("off"), F.col("fade_in"), F.when(cut.isNull(), F.col("fade_out")))
     rest = half(2, F.col("start") + cut, F.col("dur") - cut, F.col("off") + cut, none, F.col("fade_out"))
-    halves = q.select("timeline", "track", "kind", "clip", "effects", F.inline(F.array_compact(F.array(whole, F.when(cut.isNotNull(), rest)))))
+    halves = q.select("timeline", "track", "kind", "clip", "effects", F.inline(F.when(cut.isNull(), F.array(whole)).otherwise(F.array(whole, rest))))
     return halves.select("timeline", "track", "kind", "clip", "part", "start", "dur", "off", "fade_in", "fade_out", "effects")

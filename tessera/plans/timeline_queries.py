@@ -101,12 +101,15 @@ def usage_policies(spark, d):
 
 def editable_clips(spark, d):
     """The clips of ``views`` with fades and effects, and for some a sound clip that goes with them."""
-    number = lambda n: F.split("clip", "-")[n].cast("long")
+    number = lambda n: F.col("parts")[n].cast("long")
     effects = F.when(number(3) % 3 == 0, F.array(F.struct(F.lit(edits.RETIME).alias("id"), F.lit(2.0).alias("value")))).otherwise(F.array().cast("array<struct<id:string,value:double>>"))
     fade = lambda n, k: F.when(number(n) % 2 == k, F.lit(90000).cast("long"))
-    c = V.clips(spark, d).select("timeline", "track", "kind", "clip", "start", "dur", (F.col("off") * 600).alias("off"), fade(1, 0).alias("fade_in"), fade(3, 1).alias("fade_out"), effects.alias("effects"))
-    sound = c.where((F.col("kind") == "video") & (number(2) % 2 == 0)).withColumns({"track": F.lit("S"), "kind": F.lit("audio"), "clip": F.concat("clip", F.lit("-s"))})
-    return c.unionByName(sound)
+    c = V.clips(spark, d).withColumn("parts", F.split("clip", "-"))
+    c = c.select("timeline", "track", "kind", "clip", "start", "dur", (F.col("off") * 600).alias("off"), fade(1, 0).alias("fade_in"), fade(3, 1).alias("fade_out"), effects.alias("effects"), ((F.col("kind") == "video") & (number(2) % 2 == 0)).alias("heard"))
+    own = F.struct("track", "kind", "clip")
+    sound = F.struct(F.lit("S").alias("track"), F.lit("audio").alias("kind"), F.concat("clip", F.lit("-s")).alias("clip"))
+    each = c.withColumn("own", F.explode(F.when(F.col("heard"), F.array(own, sound)).otherwise(F.array(own))))
+    return each.select("timeline", "own.track", "own.kind", "own.clip", "start", "dur", "off", "fade_in", "fade_out", "effects")
 
 
 def edit_commands(spark, d):
