@@ -8,7 +8,7 @@ from tessera.operators import attribution as A
 from tessera.operators import blocks, folds
 from tessera.plans.aggregate_queries import NEAR_SQL, REACH_SQL, SCORE_SQL
 from tessera.plans.registry import Registry
-from tessera.plans.temporal_queries import GATED, speech_gating
+from tessera.plans.temporal_queries import GATED, words_in_speech
 from tessera.sources import views as V
 
 query = Registry()
@@ -34,16 +34,16 @@ STICKY = """b AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY word_id
         FROM r JOIN b ON b.src = r.src AND b.n = r.n + 1)"""
 
 
-def candidates(spark, d):
+def candidates(spark, d, words):
     """Words with the faces that may speak them, and their scores."""
-    near = A.nearest_samples(V.words(spark, d), V.samples(spark, d))
+    near = A.nearest_samples(words, V.samples(spark, d))
     seen = V.faces(spark, d).groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("track", A.face_score().alias("score")))).alias("f"))
     return near.join(seen, "pos", "left").select("src", "word_id", "t", F.col("f.track").alias("tracks"), F.col("f.score").alias("scores"))
 
 
 @query("sticky_speaker", V.ctes("words", "samples", "faces") + ", " + CANDIDATES + ", " + STICKY.format(source="asked") + " SELECT src, word_id, track FROM r")
 def sticky_speaker(spark, d):
-    return folds.sticky_speaker(candidates(spark, d))
+    return folds.sticky_speaker(candidates(spark, d, V.words(spark, d)))
 
 
 @query(
@@ -56,9 +56,8 @@ def sticky_speaker(spark, d):
 )
 def speaker_diarization(spark, d):
     """Words in speech, each with the face that goes on speaking; speakers by first appearance."""
-    asked = candidates(spark, d)
-    heard = asked.join(speech_gating(spark, d).select("word_id"), "word_id", "left_semi")
-    said = folds.sticky_speaker(heard).join(heard.select("word_id", "t"), "word_id")
+    heard = candidates(spark, d, words_in_speech(spark, d))
+    said = folds.sticky_speaker(heard, keep=("t",))
     return A.labelled_speakers(said).select("src", "track", "label", F.round("first_t", 6).alias("first_t"), "n")
 
 
