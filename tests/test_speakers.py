@@ -117,6 +117,6 @@ def test_diarization_reads_words_once_for_each_side(spark, tmp_path):
     turns.union(turns).write.parquet(f"{tmp_path}/conversations.parquet")
     (tmp_path / "events.parquet").symlink_to(f"{data}/events.parquet")
     found = fold_queries.speaker_diarization(spark, str(tmp_path))
-    words = temporal_queries.words_in_speech(spark, str(tmp_path))
+    words = temporal_queries.speech_gating(spark, str(tmp_path))
     assert found.agg({"n": "sum"}).first()[0] == words.count() == 2 * temporal_queries.speech_gating(spark, data).count()
     assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") <= 4
